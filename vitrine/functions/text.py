@@ -20,8 +20,8 @@ MAX_TERMS = 8
 STEM_LENGTH = 6
 
 
-# Latin, Greek and Cyrillic letters, and the combining marks they use.
-_LETTER_BLOCKS = (range(0xC0, 0x530), range(0x1E00, 0x2000))
+# Latin letters and the combining marks they use.
+_LETTER_BLOCKS = (range(0xC0, 0x250), range(0x1E00, 0x1F00))
 _MARKS = range(0x300, 0x370)
 
 

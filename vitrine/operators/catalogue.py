@@ -30,12 +30,16 @@ def best_promo(promotions: DataFrame) -> DataFrame:
     )
 
 
-def build_catalogue(products: DataFrame, categories: DataFrame, promotions: DataFrame) -> DataFrame:
-    """Products with category name, nested promo (NULL when there is none or it is 0 %) and effective price.
+def listing(products: DataFrame, categories: DataFrame) -> DataFrame:
+    """Products with their category name: what a search reads.
 
     Products without a known category drop out; ``quality.audit`` reports them.
     """
-    names = categories.select("category_id", F.col("name").alias("category"))
+    return products.join(categories.select("category_id", F.col("name").alias("category")), "category_id")
+
+
+def build_catalogue(products: DataFrame, categories: DataFrame, promotions: DataFrame) -> DataFrame:
+    """The listing with nested promo (NULL when there is none or it is 0 %) and effective price."""
     promo = F.when(
         F.coalesce(F.col("discount_percent"), F.lit(0)) != 0,
         F.struct(
@@ -45,7 +49,7 @@ def build_catalogue(products: DataFrame, categories: DataFrame, promotions: Data
         ),
     )
     return (
-        products.join(names, "category_id")
+        listing(products, categories)
         .join(best_promo(promotions).drop("promotion_id"), "product_id", "left")
         .withColumn("promo", promo)
         .withColumn("effective_price", F.coalesce("promo.promo_price_brl", "price_brl"))

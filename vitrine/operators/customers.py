@@ -33,7 +33,7 @@ def _matches(asked: DataFrame, customers: DataFrame) -> DataFrame:
     def of(way: int) -> DataFrame:
         return keys.where(F.col("way") == way).select("key")
 
-    by_phone = contains_pairs(phones, ["customer_id"], "text", of(PHONE), "key")
+    by_phone = contains_pairs(phones, ["customer_id"], "text", of(PHONE), "key", phrases=False)
     by_name = contains_pairs(names, ["customer_id"], "text", of(NAME), "key")
     by_email = emails.join(of(EMAIL), "key")
     parts = [(PHONE, by_phone), (EMAIL, by_email), (NAME, by_name)]

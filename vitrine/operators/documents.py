@@ -35,10 +35,9 @@ def _cut(documents: DataFrame, running_header: str | None) -> DataFrame:
 
 def doc_sections(documents: DataFrame, running_header: str | None = None) -> DataFrame:
     """``(doc_id, section_no, section, body)``; no shuffle."""
-    cut = _cut(documents, running_header)
-    return cut.select("doc_id", F.posexplode("sections").alias("section_no", "s")).select(
-        "doc_id", "section_no", "s.section", "s.body"
-    )
+    # The outer form keeps Catalyst from inferring a filter that would cut every document a second time.
+    cut = _cut(documents, running_header).select("doc_id", F.posexplode_outer("sections").alias("section_no", "s"))
+    return cut.where("s is not null").select("doc_id", "section_no", "s.section", "s.body")
 
 
 def doc_chunks(

@@ -30,69 +30,105 @@ def prefixes(words: Column, lengths: Column) -> Column:
     )
 
 
+WINDOW = 256
+
+
+def _windows(word: Column, longest: Column) -> Column:
+    """A very long word as overlapping windows, so that cutting it stays linear; other words as they are.
+
+    Each window holds 256 characters and the ``longest - 1`` that follow.
+    """
+    blocks = F.regexp_extract_all(word, F.lit(f"(?s).{{1,{WINDOW}}}"), F.lit(0))
+    after = F.ceil(longest / WINDOW).cast("int")
+    overlapping = F.transform(
+        blocks,
+        lambda b, i: F.concat(b, F.left(F.array_join(F.slice(blocks, i + 2, after), ""), longest - 1)),
+    )
+    return F.when(F.length(word) <= 2 * WINDOW, F.array(word)).otherwise(overlapping)
+
+
 def _substrings(word: Column, lengths: Column) -> Column:
-    return F.array_distinct(
-        F.flatten(
+    """Distinct substrings of a word at the given lengths."""
+    cut = F.transform(
+        _windows(word, F.array_max(lengths)),
+        lambda part: F.flatten(
             F.transform(
-                F.filter(lengths, lambda n: n <= F.length(word)),
+                F.filter(lengths, lambda n: n <= F.length(part)),
                 lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length(word) - n + 1), lambda i: F.substring(word, i, n)
+                    F.sequence(F.lit(1), F.length(part) - n + 1), lambda i: F.substring(part, i, n)
                 ),
             )
-        )
+        ),
     )
+    return F.array_distinct(F.flatten(cut))
+
+
+def _word_pairs(rows: DataFrame, ids: list[str], scope: list[str], parts: DataFrame) -> DataFrame:
+    """``(ids..., scope..., _part)`` where a space-separated word of ``_text`` contains the part.
+
+    Only the distinct words of the whole table are cut into substrings; rows then join on equal words.
+    """
+    keep = list(dict.fromkeys([*ids, *scope]))
+    words = rows.select(*keep, F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")).where("_word != ''")
+    wanted = parts.select("_part").distinct()
+    known = (
+        words.select("_word")
+        .distinct()
+        .withColumn("_lengths", asked_lengths(wanted, "_part"))
+        .select("_word", F.explode(_substrings(F.col("_word"), F.col("_lengths"))).alias("_part"))
+        .join(wanted, "_part")
+    )
+    pairs = words.join(known, "_word").select(*keep, "_part")
+    if scope:
+        pairs = pairs.join(parts, [*scope, "_part"], "left_semi")
+    return pairs.distinct()
 
 
 def contains_pairs(
-    haystack: DataFrame, ids: list[str], text: str, needles: DataFrame, needle: str, scope: list[str] | None = None
+    haystack: DataFrame,
+    ids: list[str],
+    text: str,
+    needles: DataFrame,
+    needle: str,
+    scope: list[str] | None = None,
+    phrases: bool = True,
 ) -> DataFrame:
     """All ``(ids..., needle)`` where ``text`` contains ``needle`` (and the ``scope`` columns agree).
 
-    A needle without a space lies inside one space-separated word, so it is matched against the
-    distinct words and only then against the rows. A needle with spaces is cut out of the text around
-    each space, at the (offset, length) pairs that occur among the needles. Both joins are equalities.
-    Empty needles match nothing here.
+    A needle without a space lies inside one word, so its word matches are the answer. A phrase must
+    match with every one of its parts; only rows holding its rarest part are then compared with it.
+    ``phrases=False`` is for needles that never hold a space. Empty needles match nothing.
     """
     scope = scope or []
-    wanted = needles.select(*scope, F.col(needle).alias("_needle")).where(F.length("_needle") > 0).distinct()
-    plain = wanted.where(~F.contains("_needle", F.lit(" ")))
-    spaced = wanted.where(F.contains("_needle", F.lit(" ")))
-    rows = haystack.select(*{*ids, *scope}, F.col(text).alias("_text")).where("_text is not null")
-
-    words = rows.select(
-        *{*ids, *scope}, F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")
-    ).where("_word != ''")
-    vocabulary = words.select(*scope, "_word").distinct()
-    cut = vocabulary.withColumn("_lengths", asked_lengths(plain, "_needle")).select(
-        *scope, "_word", F.explode(_substrings(F.col("_word"), F.col("_lengths"))).alias("_needle")
+    wanted = (
+        needles.select(*scope, F.col(needle).alias("_needle"))
+        .where("_needle is not null")
+        .distinct()
+        .withColumn("_parts", F.array_distinct(F.filter(F.split("_needle", " "), lambda w: w != "")))
     )
-    known = cut.join(plain, [*scope, "_needle"])
-    by_word = words.join(known, [*scope, "_word"]).select(*ids, "_needle")
-
-    places = spaced.agg(
-        F.collect_set(F.struct((F.instr("_needle", " ") - 1).alias("before"), F.length("_needle").alias("size")))
-    ).scalar()
-    space_at = F.filter(
-        F.transform(F.split("_text", ""), lambda c, i: F.when(c == " ", i + 1)), lambda i: i.isNotNull()
-    )
-    around = F.flatten(
-        F.transform(
-            "_spaces",
-            lambda at: F.transform(
-                F.filter(
-                    "_places",
-                    lambda p: (at > p["before"]) & (at - p["before"] + p["size"] - 1 <= F.length("_text")),
-                ),
-                lambda p: F.substring("_text", at - p["before"], p["size"]),
-            ),
-        )
+    rows = haystack.select(*list(dict.fromkeys([*ids, *scope])), F.col(text).alias("_text")).where("_text is not null")
+    parts = wanted.select(*scope, F.explode("_parts").alias("_part")).distinct()
+    pairs = _word_pairs(rows, ids, scope, parts)
+    plain = wanted.where(~F.contains("_needle", F.lit(" "))).select(*scope, F.col("_needle").alias("_part"))
+    found = pairs.join(plain, [*scope, "_part"], "left_semi").select(*ids, F.col("_part").alias(needle))
+    if not phrases:
+        return found
+
+    spaced = wanted.where(F.contains("_needle", F.lit(" ")))
+    sizes = pairs.groupBy(*scope, "_part").agg(F.count("*").alias("_rows"))
+    rarest = (
+        spaced.select(*scope, "_needle", F.size("_parts").alias("_n"), F.explode("_parts").alias("_part"))
+        .join(sizes, [*scope, "_part"])
+        .groupBy(*scope, "_needle", "_n")
+        .agg(F.min(F.struct("_rows", "_part"))["_part"].alias("_part"), F.count("*").alias("_matched"))
+        .where("_matched = _n")
+        .select(*scope, "_needle", "_part")
     )
-    by_space = (
-        rows.withColumn("_places", places)
-        .where(F.size("_places") > 0)
-        .withColumn("_spaces", space_at)
-        .select(*{*ids, *scope}, F.explode(F.array_distinct(around)).alias("_needle"))
-        .join(spaced, [*scope, "_needle"])
-        .select(*ids, "_needle")
+    phrase_hits = (
+        pairs.join(rarest, [*scope, "_part"])
+        .select(*list(dict.fromkeys([*ids, *scope])), "_needle")
+        .join(rows, list(dict.fromkeys([*ids, *scope])))
+        .where(F.contains("_text", F.col("_needle")))
+        .select(*ids, F.col("_needle").alias(needle))
     )
-    return by_word.unionByName(by_space).distinct().withColumnRenamed("_needle", needle)
+    return found.unionByName(phrase_hits)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import values as V
 from vitrine.functions.store import sellable
 from vitrine.functions.text import blank_to_null, fold, index_tokens, query_terms, words_of
+from vitrine.sources.checkpoint import cut
 from vitrine.operators.matching import asked_lengths, contains_pairs, prefixes
 
 LIST = ["term", "category_filter", "in_stock_only", "include_discontinued"]
@@ -105,13 +106,14 @@ def _ranked_postings(catalogue: DataFrame, lists: DataFrame, starts: DataFrame,
         .withColumn("category_key", F.lit(ANY))
         .unionByName(lists.join(fits, "category_filter").withColumnRenamed("category", "category_key"))
     )
-    postings = (
+    postings = cut(
         _postings(catalogue, lists, "product_id", "price_brl", "category", "status", "stock_quantity")
         .withColumn("category_key", F.explode(F.array(F.lit(ANY), F.col("category"))))
         .join(wanted, ["term", "category_key"])
         .where(F.col("include_discontinued") | sellable(F.col("status")))
         .where(~F.col("in_stock_only") | (F.col("stock_quantity") > 0))
-        .select(*LIST, "price_brl", "product_id")
+        .select(*LIST, "price_brl", "product_id"),
+        "postings",
     )
 
     # Counts per price, plus an empty mark at each requested minimum; then cheaper-than counts by
@@ -131,10 +133,11 @@ def _ranked_postings(catalogue: DataFrame, lists: DataFrame, starts: DataFrame,
         .drop("m")
     )
     by_price = Window.partitionBy(*LIST, "block").orderBy("price_brl")
-    counted = (
+    counted = cut(
         cells.withColumn("in_block", F.sum("n").over(by_price) - F.col("n"))
         .join(blocks, [*LIST, "block"])
-        .select(*LIST, "price_brl", (F.col("block_before") + F.col("in_block")).alias("before"), "total")
+        .select(*LIST, "price_brl", (F.col("block_before") + F.col("in_block")).alias("before"), "total"),
+        "price_counts",
     )
 
     # A fetch starts at a price and takes at most k rows, so only the first k of one price can be reached.
@@ -154,12 +157,12 @@ def search_batch(requests: DataFrame, catalogue: DataFrame, stems: bool = False)
 
     ``requests``: request_id, query, and optionally category, max_price, min_price (on base prices),
     in_stock_only, include_discontinued, limit. A query without words asks for everything.
-    Join ``catalogue`` on product_id for the payload (see ``with_products``).
+    ``catalogue`` needs the columns of ``catalogue.listing``; ``with_products`` adds the payload. The distinct
+    questions, their postings and price counts are written once, as several steps read them.
     """
-    requests = normalise_requests(requests)
-    k = largest_page(requests)
-    asked = _with_spec(requests, stems)
-    specs = asked.select("spec", "_q.*").distinct()
+    asked = _with_spec(normalise_requests(requests), stems)
+    specs = cut(asked.select("spec", "_q.*").distinct(), "questions")
+    k = largest_page(specs)
     seeks = specs.withColumn("term", F.explode("terms")).drop("terms")
     starts = seeks.select(*LIST, "min_price").distinct()
     numbered, counted = _ranked_postings(catalogue, seeks.select(*LIST).distinct(), starts, k)
@@ -272,7 +275,8 @@ def detail_level(requests: DataFrame, hits: DataFrame, catalogue: DataFrame) ->
     per_request = Window.partitionBy("request_id")
     words = requests.select("request_id", words_of(F.col("query"), 2).alias("qwords"))
     products = catalogue.select(
-        "product_id", "name", "category", "price_brl", "promo", "stock_quantity", "status", "description", "specs_raw"
+        "product_id", "name", "category", "price_brl", "stock_quantity", "status", "description", "specs_raw",
+        *[c for c in catalogue.columns if c == "promo"],
     )
     covers = (F.size("qwords") > 0) & (F.size(F.array_except("qwords", words_of(F.col("name"), 2))) == 0)
     return (
@@ -320,7 +324,7 @@ def promo_lists(terms: DataFrame, promotions: DataFrame) -> DataFrame:
     """
     wanted = terms.where(F.col("term") != ANY).select("term").distinct()
     names = promotions.select("product", fold(F.col("product")).alias("_folded")).distinct()
-    keyed = promotions.join(contains_pairs(names, ["product"], "_folded", wanted, "term"), "product")
+    keyed = promotions.join(contains_pairs(names, ["product"], "_folded", wanted, "term", phrases=False), "product")
     every = terms.where(F.col("term") == ANY).select("term").limit(1)
     all_wanted = F.coalesce(every.scalar(), F.lit(""))
     return keyed.unionByName(promotions.withColumn("term", all_wanted).where(F.col("term") == ANY))

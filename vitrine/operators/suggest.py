@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -31,22 +32,30 @@ def _questions(missed: DataFrame) -> DataFrame:
     return missed.select(F.lower(strip(F.col("query"))).alias("q")).distinct()
 
 
-def _above(a: str, b: str, floor: float) -> bool:
-    """``ratio(a, b) > floor``, by way of its two cheap upper bounds. Argument order matters to the ratio."""
-    m = SequenceMatcher(None, a, b)
-    return m.real_quick_ratio() > floor and m.quick_ratio() > floor and m.ratio() > floor
+def name_scorer(names: list[str], shown: int) -> Callable[[str], list[str]]:
+    """A function from a query to the first ``shown`` of the sorted ``names`` that resemble it.
 
+    A name resembles by its whole text or by one word. Everything the function needs travels inside it,
+    so workers do not need this package.
+    """
+    whole, word = NAME_RATIO, WORD_RATIO
+    lowered = [(name, name.lower(), name.lower().split()) for name in names]
+
+    def above(a: str, b: str, floor: float) -> bool:
+        # The two quick ratios are upper bounds. Argument order matters to the exact one.
+        m = SequenceMatcher(None, a, b)
+        return m.real_quick_ratio() > floor and m.quick_ratio() > floor and m.ratio() > floor
 
-def similar_names(query: str, names: list[str], shown: int) -> list[str]:
-    """The first ``shown`` of the sorted ``names`` that resemble the query as a whole or in one word."""
-    out = []
-    for name in names:
-        low = name.lower()
-        if _above(query, low, NAME_RATIO) or any(_above(query, w, WORD_RATIO) for w in low.split()):
-            out.append(name)
-            if len(out) == shown:
-                break
-    return out
+    def score(query: str) -> list[str]:
+        out: list[str] = []
+        for name, low, words in lowered:
+            if above(query, low, whole) or any(above(query, w, word) for w in words):
+                out.append(name)
+                if len(out) == shown:
+                    break
+        return out
+
+    return score
 
 
 def suggest_names(
@@ -60,9 +69,11 @@ def suggest_names(
     """
     names = sorted(r["name"] for r in _page_of_names(catalogue, page).collect())
 
+    scorer = name_scorer(names, shown)
+
     @F.pandas_udf("array<string>")
     def score(queries: pd.Series) -> pd.Series:
-        return queries.map(lambda q: similar_names(q, names, shown))
+        return queries.map(scorer)
 
     scored = _questions(missed).withColumn("names", score("q")).where(F.size("names") > 0)
     return _per_request(missed, scored)

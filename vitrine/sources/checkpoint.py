@@ -3,19 +3,32 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's checkpoint folder and read it back from there.
-
-    Used where several branches read one expensive result. The cluster names a shared folder in
-    ``spark.checkpoint.dir``; only a session without one (a local test) gets a temporary folder.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder. The cluster names a shared one in ``spark.checkpoint.dir``; only a session
+    without one (a local test) gets a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vitrine-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+        context.setCheckpointDir(
+            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vitrine-")
+        )
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame, name: str = "shared") -> DataFrame:
+    """Write ``df`` as a table beside the checkpoints and read it back: for results that several branches read.
+
+    The lineage ends there, so a lost executor costs a re-read, and the plan knows the table's size.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder path beside the checkpoints, for files written and read back by one job."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.operators.catalogue import active_promotions, build_catalogue
+from vitrine.operators.catalogue import active_promotions, build_catalogue, listing
 from vitrine.sources.schemas import SPECS_TYPE, TABLES
 
 
@@ -25,6 +25,10 @@ class Store:
         """Tables written by ``files.load_all``."""
         return cls(**{name: spark.read.parquet(f"{base}/{name}") for name in TABLES})
 
+    @property
+    def listing(self) -> DataFrame:
+        return listing(self.products, self.categories)
+
     @property
     def catalogue(self) -> DataFrame:
         return build_catalogue(self.products, self.categories, self.promotions)

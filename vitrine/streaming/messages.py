@@ -31,40 +31,39 @@ def ingest(messages: DataFrame, path: str, checkpoint: str, delay: str = "1 hour
     )
 
 
-class LastMessages(StatefulProcessor):
-    """Keeps the last N messages of a session; a message with the role ``reset`` empties it."""
-
-    def __init__(self, n: int) -> None:
-        self.n = n
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getListState("kept", "message_id long, role string, content string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = pd.DataFrame(list(self.kept.get()), columns=["message_id", "role", "content"])
-        for batch in rows:
-            # A batch is cut to N rows at once, so state and memory stay at N rows per session.
-            resets = batch.loc[batch["role"] == RESET, "message_id"]
-            new = batch[["message_id", "role", "content"]]
-            if len(resets):
-                kept = kept[kept["message_id"] > resets.max()]
-                new = new[new["message_id"] > resets.max()]
-            kept = pd.concat([kept, new]) if len(kept) else new
-            kept = kept.drop_duplicates("message_id").sort_values("message_id").tail(self.n)
-        if len(kept):
-            self.kept.put([(int(r.message_id), r.role, r.content) for r in kept.itertuples()])
-        else:
-            self.kept.clear()
-        yield kept.assign(session_id=key[0])[["session_id", "message_id", "role", "content"]]
-
-    def close(self) -> None:
-        pass
-
-
 def running_history(messages: DataFrame, n: int = V.HISTORY_LIMIT) -> DataFrame:
-    """After each micro-batch, the last ``n`` messages of every session that changed."""
+    """After each micro-batch, the last ``n`` messages of every session that changed.
+
+    A message with the role ``reset`` empties its session. The processor is defined here so that it
+    travels to the workers whole.
+    """
+    reset = RESET
+
+    class LastMessages(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.kept = handle.getListState("kept", "message_id long, role string, content string")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            columns = ["message_id", "role", "content"]
+            kept = pd.DataFrame(list(self.kept.get()), columns=columns)
+            for batch in rows:
+                # Cut to n rows batch by batch, so a busy session never holds more.
+                kept = pd.concat([kept, batch[columns]]) if len(kept) else batch[columns]
+                cleared = kept.loc[kept["role"] == reset, "message_id"]
+                if len(cleared):
+                    kept = kept[kept["message_id"] > cleared.max()]
+                kept = kept.drop_duplicates("message_id").sort_values("message_id").tail(n)
+            if len(kept):
+                self.kept.put([(int(r.message_id), r.role, r.content) for r in kept.itertuples()])
+            else:
+                self.kept.clear()
+            yield kept.assign(session_id=key[0])[["session_id", *columns]]
+
+        def close(self) -> None:
+            pass
+
     return messages.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=LastMessages(n), outputStructType=HISTORY, outputMode="Update", timeMode="None"
+        statefulProcessor=LastMessages(), outputStructType=HISTORY, outputMode="Update", timeMode="None"
     )
 
 
