@@ -44,7 +44,7 @@ def order_payloads(
     lines = items.join(names, "product_id").select("order_id", "quantity", "name", "price_brl")
     nested = paged_lists(lines, "order_id", ["quantity", "name", "price_brl"], "items", page_rows)
     return with_payload(orders_of(orders, customers).join(nested, "order_id", "left"), as_of).select(
-        "order_id", "customer_id", F.coalesce("page", F.lit(0)).alias("page"),
+        "order_id", "customer_name", F.coalesce("page", F.lit(0)).alias("page"),
         F.coalesce("pages", F.lit(1)).alias("pages"), "payload",
     )
 

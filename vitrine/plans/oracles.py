@@ -252,7 +252,7 @@ select o_orderkey * 3 + 1, case o_orderkey % 3 when 0 then cast(o_orderkey as va
 from orders
 union all
 select p_partkey * 3 + 2, case p_partkey % 4 when 0 then p_name when 1 then p_name || ' ' || lower(p_type)
-        when 2 then translate(p_name, 'aeiou', 'eioua') else split_part(p_name, ' ', 1) end,
+        when 2 then upper(p_name) || ' zzqx' else split_part(p_name, ' ', 1) end,
    case p_partkey % 6 when 0 then 'produtos' when 1 then 'promocoes' else 'auto' end
 from part""",
     "v_rule": f"""
@@ -279,6 +279,11 @@ where way = best""",
     "v_routed": """
 select request_id, q, entity, case when rule <> 'maybe' then rule
    when request_id in (select request_id from v_found) then 'customer' else 'product' end kind from v_rule""",
+    "v_page_key": "select distinct left(lower(p_type), 5) as key from part where p_partkey % 4 = 0",
+    "v_page": f"""
+select * from (select k.key, c.*, row_number() over (partition by k.key order by c.price_brl, c.product_id) as rank
+  from v_page_key k join v_catalogue c on contains({_fold('c.category')}, {_fold('k.key')})
+  where c.status in ('active', 'coming_soon')) where rank <= 100""",
     "v_reset": "select distinct 's' || user_id session_id from events where event_type = 'error'",
     "v_reply": """
 select session_id, case when length(content) % 5 = 0 then ' ' else content end as content
@@ -286,8 +291,9 @@ from v_message where role = 'assistant'""",
 }
 
 
-def _sql(body: str, *views: str) -> str:
-    return "with recursive " + ",\n".join(f"{v} as ({VIEWS[v]})" for v in views) + "\n" + body
+def _sql(body: str, *views: str, **other: str) -> str:
+    """A query over the named views; ``other`` replaces the definition of some."""
+    return "with recursive " + ",\n".join(f"{v} as ({other.get(v, VIEWS[v])})" for v in views) + "\n" + body
 
 
 CATALOGUE = ("v_category", "v_product", "v_promo", "v_best", "v_catalogue")
@@ -305,7 +311,26 @@ MASK = """name, city, case when length(phone) = 0 then phone else
   case when contains(email, '@') then left(split_part(email, '@', 1), 2)
     || repeat('*', greatest(length(split_part(email, '@', 1)) - 2, 1)) || '@' || substr(email, instr(email, '@') + 1)
     else email end email"""
-# default mode hides short phones whole; the data has none
+PROMO_JSON = """case when promo_price_brl is not null then {name: promo_name,
+  discount_percent: cast(discount_percent as double), promo_price_brl: cast(promo_price_brl as double)} end"""
+BRIEF = f"""product_id: product_id, name: name, category: category, price_brl: cast(price_brl as double),
+  promo: {PROMO_JSON}, stock_quantity: stock_quantity, status: status"""
+PRODUCT_JSON = f"""case when not "full" then cast(to_json({{{BRIEF}}}) as varchar)
+  when starts_with(specs_raw, '{{') then cast(to_json({{{BRIEF}, description: description, specs: cast(specs_raw as json)}}) as varchar)
+  else cast(to_json({{{BRIEF}, description: description, specs: specs_raw}}) as varchar) end"""
+ORDER_JSON = """cast(to_json({order_id: o.order_id, customer_name: c.name, order_date: cast(o.order_date as varchar), status: o.status,
+    total_brl: cast(o.total_brl as double), payment_method: o.label, tracking_code: o.tracking_code,
+    estimated_delivery: cast(o.estimated_delivery as varchar),
+    deadlines: case when has_due = 1 then {reference: reference, repentance_until: repentance_until,
+      repentance_expired: repentance_expired, defect_until: defect_until, defect_expired: defect_expired,
+      suggested_path: suggested_path, today: today, ref_source: ref_source} end,
+    deadlines_note: o.deadlines_note, items: coalesce(i.items, []), notes: o.notes}) as varchar)"""
+ORDERS_JSON = f"""
+select o.order_id, o.customer_id, c.name customer_name, upper(o.tracking_code) code, {ORDER_JSON} payload
+from v_due o join v_customer c using (customer_id) left join (
+  select order_id, list({{quantity: quantity, name: name, price_brl: cast(price_brl as double)}}
+                        order by quantity, name, price_brl) items
+  from v_item join v_product using (product_id) group by order_id) i using (order_id)"""
 CASCADE = f"""
 select request_id, way, customer_id from (
   select *, min(way) over (partition by request_id) best from (
@@ -317,6 +342,45 @@ select request_id, way, customer_id from (
     select r.request_id, 3, c.customer_id from v_lookup r join v_customer c on contains(lower(c.name), lower(r.name))))
 where way = best"""
 
+VIEWS["v_payload"] = ORDERS_JSON
+# Answers to the routed requests: (request_id, part, seq, payload).
+VIEWS["v_answer"] = f"""
+select request_id, 'produtos' part, rank seq, {PRODUCT_JSON} payload from v_detail
+union all select distinct request_id, 'aviso', 0, {_q(V.ADVICE_PARTIAL)} from v_detail where partial
+union all
+select t.request_id, 'promocoes', 0, cast(to_json({{list: t.term, count: n.n}}) as varchar)
+from (select request_id, unnest(case when len(w) > 0 then w else ['*'] end) term from (
+        select request_id, {_words('q', 4)} w from v_routed where kind = 'promotion' or (kind = 'product' and q <> ''))) t
+join (select term, sum(n) n from (
+        select term, product from (select distinct unnest({_words('q', 4)}) term from v_routed where kind in ('promotion', 'product')),
+          (select distinct product from v_active_promo) where contains({_fold('product')}, term)
+        union all select '*', product from (select distinct product from v_active_promo))
+      join (select product, count(*)::bigint n from v_active_promo group by product) using (product) group by term) n using (term)
+union all
+select request_id, 'clientes', customer_id, cast(to_json({{customer_id: customer_id, name: name, city: city, phone: phone, email: email}}) as varchar)
+from (select request_id, customer_id, {MASK} from v_found join v_routed using (request_id) join v_customer using (customer_id)
+      where kind in ('email', 'phone', 'customer'))
+union all
+select r.request_id, 'pedidos', p.order_id, p.payload from v_routed r join v_payload p
+  on (r.kind = 'order_id' and r.q = cast(p.order_id as varchar)) or (r.kind = 'tracking' and upper(r.q) = p.code)
+union all
+select request_id, 'pedidos', p.order_id, p.payload from v_found join v_routed using (request_id)
+  join v_payload p using (customer_id) where kind in ('email', 'phone', 'customer')"""
+VIEWS["v_answered"] = f"""
+select * from v_answer
+union all
+select request_id, 'aviso', 0, {_q(V.ADVICE_NOTHING)} from v_routed
+where kind in ('email', 'phone', 'customer', 'product') and request_id not in (select request_id from v_answer)"""
+ROUTED_SEARCH = """
+select request_id, q query, null::varchar category, null::decimal(12,2) max_price, null::decimal(12,2) min_price,
+  false in_stock_only, false include_discontinued, 6 lim from v_routed where kind = 'product'"""
+ANSWER = (
+    *CATALOGUE, "v_active_promo", *ROUTED, *SEARCH[5:], "v_detail", *DUE, "v_item", "v_payload", "v_answer", "v_answered",
+)
+VIEWS["v_call"] = """
+select event_id call_id, user_id doc_id, event_id % 2 = 0 as even, event_id % 4 = 1 as broken, event_type,
+  json_extract_string(props, '$.k') k, user_id from events"""
+
 ORACLES: dict[str, str] = {
     "catalogue_effective_price": _sql(
         f"""select category, rank, product_id, name, cast(price_brl as double) price_brl, {PROMO_COLUMNS},
@@ -369,10 +433,9 @@ order by price_brl, product_id limit 50""",
         *SEARCH,
     ),
     "search_stem_widened": _sql(
-        "select request_id, rank, product_id from v_hit", *SEARCH
-    ).replace(
-        VIEWS["v_term"],
-        f"""
+        "select request_id, rank, product_id from v_hit",
+        *SEARCH,
+        v_term=f"""
 select distinct request_id, unnest(case when length(w) > 6 then [w, left(w, 6)] else [w] end) term
 from (select request_id, unnest({_terms('query')}) w from v_search)""",
     ),
@@ -456,19 +519,8 @@ from v_order o left join (select * from v_item join v_product using (product_id)
         "v_order", "v_item", "v_product",
     ),
     "order_payload_json": _sql(
-        """select order_id, c.name customer_name, 0::bigint page, 1::bigint pages,
-  cast(to_json({order_id: o.order_id, customer_name: c.name, order_date: cast(o.order_date as varchar), status: o.status,
-    total_brl: cast(o.total_brl as double), payment_method: o.label, tracking_code: o.tracking_code,
-    estimated_delivery: cast(o.estimated_delivery as varchar),
-    deadlines: case when has_due = 1 then {reference: reference, repentance_until: repentance_until,
-      repentance_expired: repentance_expired, defect_until: defect_until, defect_expired: defect_expired,
-      suggested_path: suggested_path, today: today, ref_source: ref_source} end,
-    deadlines_note: o.deadlines_note, items: coalesce(i.items, []), notes: o.notes}) as varchar) payload
-from v_due o join v_customer c using (customer_id) left join (
-  select order_id, list({quantity: quantity, name: name, price_brl: cast(price_brl as double)}
-                        order by quantity, name, price_brl) items
-  from v_item join v_product using (product_id) group by order_id) i using (order_id)""",
-        *DUE, "v_customer", "v_item", "v_product",
+        "select order_id, customer_name, 0::bigint page, 1::bigint pages, payload from v_payload",
+        *DUE, "v_customer", "v_item", "v_product", "v_payload",
     ),
     "doc_lines": _sql("select doc_id, pos, line, is_heading from v_heading", "v_line", "v_heading"),
     "doc_sections": _sql("select doc_id, section_no, section, body from v_section", *DOCS),
@@ -530,6 +582,49 @@ from (select lang, source, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za
    len(regexp_extract_all(text, '\(?[0-9]{2,3}\)?[ .-]?[0-9]{3,5}[ .-][0-9]{4}')) p from documents)
 group by all""",
     "route_queries": _sql("select request_id, q, entity, kind from v_routed", *ROUTED),
+    "route_and_answer": _sql("select * from v_answered", *ANSWER, v_search=ROUTED_SEARCH),
+    "context_load": _sql(
+        f"""select source, doc_id, key, part, cast(seq as bigint) seq, payload from (
+select 'manual' source, doc_id, key, case when found then 'secoes' else 'secoes_disponiveis' end part, section_no seq,
+  case when found then cast(to_json({{secao: section, texto: body}}) as varchar) else section end payload from v_retrieved
+union all
+select 'catalogo', null, key, 'produtos', rank, cast(to_json({{{BRIEF}}}) as varchar) from v_page
+union all
+select 'catalogo', null, key, 'total', 0, cast(count(p.key) as varchar) from v_page_key left join v_page p using (key) group by key
+union all
+select 'catalogo', null, '', 'produtos', product_id, cast(to_json({{nome: name, categoria: category,
+  preco_brl: cast(price_brl as double), promo: {PROMO_JSON}}}) as varchar)
+from (select * from v_catalogue where status in ('active', 'coming_soon') order by price_brl, product_id limit {V.INDEX_PAGE})
+union all
+select 'catalogo', null, '', 'categorias', category_id, cast(to_json({{category_id: category_id, name: name,
+  description: 'linha ' || name, product_count: n}}) as varchar)
+from (select c.category_id, c.name, count(p.product_id) n from v_category c
+      left join v_product p on p.category_id = c.category_id and p.status = 'active' group by all)
+union all select 'catalogo', null, '', 'nota', 0, {_q(V.INDEX_NOTE)}
+union all
+select 'promocoes', null, '', 'promocoes', promotion_id, cast(to_json({{product: product, promo_name: promo_name,
+  original_price_brl: cast(original_price_brl as double), discount_percent: cast(discount_percent as double),
+  promo_price_brl: cast(promo_price_brl as double)}}) as varchar) from v_active_promo
+union all
+select distinct 'fonte' || p_size, null, '', 'error', 0, '{V.UNKNOWN_SOURCE}' || 'fonte' || p_size from part where p_partkey % 4 = 2)""",
+        *RETRIEVE, *CATALOGUE, "v_active_promo", "v_page_key", "v_page",
+    ),
+    "tool_calls_batch": _sql(
+        f"""select c.call_id, 'pedidos' part, p.order_id seq, p.payload from v_call c join v_payload p on p.order_id = c.user_id
+where event_type = 'view'
+union all select call_id, 'aviso', 0, {_q(V.ADVICE_NOTHING)} from v_call where event_type = 'purchase'
+union all
+select call_id, 'context', 0, cast(to_json({{source: 'manual', doc_id: doc_id, key: k}}) as varchar) from v_call where event_type = 'click'
+union all
+select call_id, case when even then 'context' else 'error' end, 0, case when even
+  then cast(to_json({{source: 'catalogo', doc_id: null, key: ''}}) as varchar) else 'TypeError: missing argument source' end
+from v_call where event_type = 'signup'
+union all
+select call_id, 'error', 0, case when even then '{V.UNKNOWN_TOOL}drop_table'
+  when broken then 'JSONDecodeError: arguments are not valid JSON' else 'TypeError: unexpected argument q' end
+from v_call where event_type = 'error'""",
+        *DUE, "v_customer", "v_item", "v_product", "v_payload", "v_call",
+    ),
     "json_props": """select event_id, case when event_type <> 'error' then json_extract_string(props, '$.k') end k,
   case when event_type = 'error' then substr(props, 2) end unparsed from events""",
     "ingest_trim_null": _sql(

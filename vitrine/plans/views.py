@@ -237,7 +237,7 @@ def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_part = table(spark, sf_dir, "part").selectExpr(
         "p_partkey * 3 + 2 as request_id",
         "case p_partkey % 4 when 0 then p_name when 1 then concat(p_name, ' ', lower(p_type))"
-        " when 2 then translate(p_name, 'aeiou', 'eioua') else split_part(p_name, ' ', 1) end as query",
+        " when 2 then concat(upper(p_name), ' zzqx') else split_part(p_name, ' ', 1) end as query",
         "case p_partkey % 6 when 0 then 'produtos' when 1 then 'promocoes' else 'auto' end as entity",
     )
     return by_customer.unionByName(by_order).unionByName(by_part)
@@ -253,7 +253,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case event_type"
         " when 'view' then concat('{\"query\": \"', user_id, '\", \"entity\": \"pedidos\"}')"
         " when 'click' then concat('{\"source\": \"manual\", \"section\": \"', get_json_object(props, '$.k'), '\"}')"
-        " when 'purchase' then concat('{\"query\": \"zz', translate(cast(user_id as string), '0123456789', 'aeioubcdfg'), '\", \"max_price\": ', value, ', \"limit\": 2}')"
+        " when 'purchase' then concat('{\"query\": \"zzzzz', translate(cast(user_id as string), '0123456789', 'aeioubcdfg'), '\", \"max_price\": ', value, ', \"limit\": 2}')"
         " when 'signup' then if(event_id % 2 = 0, '{\"source\": \"catalogo\"}', '{\"section\": \"1\"}')"
         " else if(event_id % 4 = 1, '{\"query\": ', concat('{\"q\": ', user_id, '}')) end as arguments",
         "user_id as doc_id",
