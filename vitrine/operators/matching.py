@@ -11,6 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vitrine.sources.checkpoint import cut
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Few bytes but much work per row: keep all shuffle partitions instead of merging small ones."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *rows.columns)
+
 
 def asked_lengths(needles: DataFrame, needle: str, when: Column | None = None) -> Column:
     """The distinct lengths of the requested strings: a scalar, bounded by the longest string."""
@@ -47,20 +54,21 @@ def _windows(word: Column, longest: Column) -> Column:
     return F.when(F.length(word) <= 2 * WINDOW, F.array(word)).otherwise(overlapping)
 
 
-def _substrings(word: Column, lengths: Column) -> Column:
-    """Distinct substrings of a word at the given lengths."""
-    cut = F.transform(
-        _windows(word, F.array_max(lengths)),
-        lambda part: F.flatten(
-            F.transform(
-                F.filter(lengths, lambda n: n <= F.length(part)),
-                lambda n: F.transform(
-                    F.sequence(F.lit(1), F.length(part) - n + 1), lambda i: F.substring(part, i, n)
-                ),
-            )
-        ),
+def _substrings(words: DataFrame, lengths: Column) -> DataFrame:
+    """``(_word, _part)``: the substrings of each word at the given lengths.
+
+    Plain row generators, so the whole step is generated code. It makes far more work than bytes, hence
+    the fixed number of partitions.
+    """
+    pieces = spread(words.select("_word")).withColumn("_lengths", lengths)
+    windows = F.explode(_windows(F.col("_word"), F.array_max("_lengths")))
+    return (
+        pieces.select("_word", "_lengths", windows.alias("_piece"))
+        .select("_word", "_lengths", "_piece", F.explode(F.sequence(F.lit(1), F.length("_piece"))).alias("_at"))
+        .select("_word", "_piece", "_at", F.explode("_lengths").alias("_size"))
+        .where(F.col("_at") + F.col("_size") - 1 <= F.length("_piece"))
+        .select("_word", F.substring(F.col("_piece"), F.col("_at"), F.col("_size")).alias("_part"))
     )
-    return F.array_distinct(F.flatten(cut))
 
 
 def _word_pairs(rows: DataFrame, ids: list[str], scope: list[str], parts: DataFrame) -> DataFrame:
@@ -71,19 +79,18 @@ def _word_pairs(rows: DataFrame, ids: list[str], scope: list[str], parts: DataFr
     keep = list(dict.fromkeys([*ids, *scope]))
     words = rows.select(*keep, F.explode(F.array_distinct(F.split("_text", " "))).alias("_word")).where("_word != ''")
     wanted = parts.select("_part").distinct()
-    known = (
-        words.select("_word")
-        .distinct()
-        .withColumn("_lengths", asked_lengths(wanted, "_part"))
-        .select("_word", F.explode(_substrings(F.col("_word"), F.col("_lengths"))).alias("_part"))
-        .join(wanted, "_part")
-    )
+    known = _substrings(words.select("_word").distinct(), asked_lengths(wanted, "_part")).join(wanted, "_part")
     pairs = words.join(known, "_word").select(*keep, "_part")
     if scope:
         pairs = pairs.join(parts, [*scope, "_part"], "left_semi")
     return pairs.distinct()
 
 
+def _two_longest(parts: Column) -> Column:
+    distinct = F.array_distinct(F.filter(parts, lambda w: w != ""))
+    return F.slice(F.array_sort(distinct, lambda a, b: F.length(b) - F.length(a)), 1, 2)
+
+
 def contains_pairs(
     haystack: DataFrame,
     ids: list[str],
@@ -96,7 +103,7 @@ def contains_pairs(
     """All ``(ids..., needle)`` where ``text`` contains ``needle`` (and the ``scope`` columns agree).
 
     A needle without a space lies inside one word, so its word matches are the answer. A phrase must
-    match with every one of its parts; only rows holding its rarest part are then compared with it.
+    match with its two longest parts; only rows holding the rarer of them are then compared with it.
     ``phrases=False`` is for needles that never hold a space. Empty needles match nothing.
     """
     scope = scope or []
@@ -104,11 +111,13 @@ def contains_pairs(
         needles.select(*scope, F.col(needle).alias("_needle"))
         .where("_needle is not null")
         .distinct()
-        .withColumn("_parts", F.array_distinct(F.filter(F.split("_needle", " "), lambda w: w != "")))
+        .withColumn("_parts", _two_longest(F.split("_needle", " ")))
     )
     rows = haystack.select(*list(dict.fromkeys([*ids, *scope])), F.col(text).alias("_text")).where("_text is not null")
     parts = wanted.select(*scope, F.explode("_parts").alias("_part")).distinct()
     pairs = _word_pairs(rows, ids, scope, parts)
+    if phrases:
+        pairs = cut(pairs, "matches")  # read three times below
     plain = wanted.where(~F.contains("_needle", F.lit(" "))).select(*scope, F.col("_needle").alias("_part"))
     found = pairs.join(plain, [*scope, "_part"], "left_semi").select(*ids, F.col("_part").alias(needle))
     if not phrases:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import values as V
 from vitrine.functions.store import sellable
 from vitrine.functions.text import strip
+from vitrine.operators.matching import spread
 
 NAME_RATIO = 0.4
 WORD_RATIO = 0.7
@@ -29,7 +30,7 @@ def _page_of_names(catalogue: DataFrame, page: int) -> DataFrame:
 
 
 def _questions(missed: DataFrame) -> DataFrame:
-    return missed.select(F.lower(strip(F.col("query"))).alias("q")).distinct()
+    return spread(missed.select(F.lower(strip(F.col("query"))).alias("q")).distinct())
 
 
 def name_scorer(names: list[str], shown: int) -> Callable[[str], list[str]]:
@@ -39,17 +40,21 @@ def name_scorer(names: list[str], shown: int) -> Callable[[str], list[str]]:
     so workers do not need this package.
     """
     whole, word = NAME_RATIO, WORD_RATIO
-    lowered = [(name, name.lower(), name.lower().split()) for name in names]
 
-    def above(a: str, b: str, floor: float) -> bool:
+    def matcher(text: str) -> SequenceMatcher:
+        return SequenceMatcher(None, "", text)
+
+    targets = [(n, matcher(n.lower()), [matcher(w) for w in n.lower().split()]) for n in names]
+
+    def above(m: SequenceMatcher, query: str, floor: float) -> bool:
         # The two quick ratios are upper bounds. Argument order matters to the exact one.
-        m = SequenceMatcher(None, a, b)
+        m.set_seq1(query)
         return m.real_quick_ratio() > floor and m.quick_ratio() > floor and m.ratio() > floor
 
     def score(query: str) -> list[str]:
         out: list[str] = []
-        for name, low, words in lowered:
-            if above(query, low, whole) or any(above(query, w, word) for w in words):
+        for name, full, words in targets:
+            if above(full, query, whole) or any(above(w, query, word) for w in words):
                 out.append(name)
                 if len(out) == shown:
                     break

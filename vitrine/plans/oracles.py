@@ -224,7 +224,7 @@ select distinct doc_id, case when regexp_full_match(k, '[\\p{{Nd}}.]+') then rtr
   select doc_id, {_fold(_trim("coalesce(section, '')"))} k from v_section_request)""",
     "v_section_request": """
 select 'manual' as source, doc_id, case doc_id % 6 when 0 then '1' when 1 then ' 1.1. ' when 2 then upper(split_part(text, ' ', 2))
-  when 3 then 'xpto' || doc_id when 4 then substr(text, 9, 14) end section from documents""",
+  when 3 then 'xpto' || doc_id when 4 then split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4) end section from documents""",
     "v_numbered": r"""
 select a.doc_id, a.key, s.section_no from v_ask a join (
    select *, regexp_extract(section, '^\p{Nd}+(\.\p{Nd}+)*') num from v_section) s using (doc_id)

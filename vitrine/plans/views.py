@@ -206,7 +206,7 @@ def section_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'manual' as source",
         "doc_id",
         "case doc_id % 6 when 0 then '1' when 1 then ' 1.1. ' when 2 then upper(split_part(text, ' ', 2))"
-        " when 3 then concat('xpto', doc_id) when 4 then substr(text, 9, 14) end as section",
+        " when 3 then concat('xpto', doc_id) when 4 then concat(split_part(text, ' ', 3), ' ', split_part(text, ' ', 4)) end as section",
     )
 
 
