@@ -276,7 +276,7 @@ def doc_chunks(spark, sf_dir):
 
 @query
 def sections_rejoined(spark, sf_dir):
-    return D.rejoin_sections(D.doc_chunks(W.documents(spark, sf_dir)))
+    return D.rejoin_sections(cut(D.doc_chunks(W.documents(spark, sf_dir)), "chunks"))
 
 
 def _sections(spark, sf_dir):
@@ -362,7 +362,7 @@ def scenario_expand(spark, sf_dir):
 
 @query
 def pii_audit(spark, sf_dir):
-    return M.pii_audit(W.table(spark, sf_dir, "documents"), "text", "lang", "source")
+    return M.pii_audit(W.spread(W.table(spark, sf_dir, "documents")), "text", "lang", "source")
 
 
 # ---- routing --------------------------------------------------------------------------------------

@@ -18,13 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a table whose files give fewer tasks than that; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 CATEGORY_ID = "cast(array_position(array('ECONOMY','LARGE','MEDIUM','PROMO','SMALL','STANDARD'), p_type) as int)"
 CATEGORY_NAME = "case p_type when 'ECONOMY' then 'Econômico' when 'PROMO' then 'Promoção' else p_type end"
 
 
 def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = table(spark, sf_dir, "part").select("p_type").distinct()
-    empty = spark.createDataFrame([EMPTY_CATEGORY], "category_id int, name string")
+    empty = spark.range(1).select(*[F.lit(v).alias(c) for c, v in zip(("category_id", "name"), EMPTY_CATEGORY)])
     return (
         used.selectExpr(f"{CATEGORY_ID} as category_id", f"{CATEGORY_NAME} as name")
         .unionByName(empty)
@@ -33,7 +39,7 @@ def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr(
+    return spread(table(spark, sf_dir, "part")).selectExpr(
         "p_partkey as product_id",
         "p_name as name",
         f"{CATEGORY_ID} as category_id",
@@ -130,7 +136,7 @@ HEADING_NUMBER = "if(i % 15 = 0, cast(i div 15 + 1 as string), concat(i div 15 +
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, with a numbered heading put before every fifth line after the first five lines."""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents")).selectExpr(
         "doc_id",
         "array_join(transform(split(text, '\\n'), (line, n) -> if(n >= 5 and n % 5 = 0,"
         f" concat(transform(array(n - 5), i -> {HEADING_NUMBER})[0], if(n % 2 = 0, '. Parte ', ' Seção '), lang, '\\n', line),"
