@@ -332,7 +332,7 @@ from v_due o join v_customer c using (customer_id) left join (
                         order by quantity, name, price_brl) items
   from v_item join v_product using (product_id) group by order_id) i using (order_id)"""
 CASCADE = f"""
-select request_id, way, customer_id from (
+select request_id, cast(way as bigint) way, customer_id from (
   select *, min(way) over (partition by request_id) best from (
     select r.request_id, 1 way, c.customer_id from v_lookup r join v_customer c
       on length({_digits('r.phone')}) >= 4 and contains({_digits('c.phone')}, {_digits('r.phone')})
