@@ -47,6 +47,25 @@ def test_running_history_equals_batch(spark, tmp_path):
     assert {k: sorted(v) for k, v in state.items()} == batch
 
 
+def test_reset_holds_for_messages_that_arrive_late(spark, tmp_path):
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    seen = {}
+
+    def keep(batch, _):
+        for r in batch.collect():
+            seen.setdefault(r.session_id, set()).add(r.message_id)
+
+    parts = [
+        [("a", 1, "user", "x", at(1)), ("a", 5, T.RESET, "", at(5))],
+        [("a", 3, "user", "late", at(3)), ("a", 6, "user", "new", at(6))],
+    ]
+    for part in parts:
+        write(spark, source, part)
+        query = T.running_history(spark.readStream.schema(T.MESSAGE).parquet(source), 3).writeStream.foreachBatch(keep)
+        query.outputMode("update").option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    assert seen == {"a": {6}}
+
+
 def test_enrich_joins_current_catalogue(spark, tmp_path):
     source = str(tmp_path / "q")
     spark.createDataFrame([(1, 10), (2, 99)], "request_id long, product_id int").write.parquet(source)

@@ -34,7 +34,7 @@ def ingest(messages: DataFrame, path: str, checkpoint: str, delay: str = "1 hour
 def running_history(messages: DataFrame, n: int = V.HISTORY_LIMIT) -> DataFrame:
     """After each micro-batch, the last ``n`` messages of every session that changed.
 
-    A message with the role ``reset`` empties its session. The processor is defined here so that it
+    A message with the role ``reset`` empties its session, also for older messages that arrive later. The processor is defined here so that it
     travels to the workers whole.
     """
     reset = RESET
@@ -42,17 +42,23 @@ def running_history(messages: DataFrame, n: int = V.HISTORY_LIMIT) -> DataFrame:
     class LastMessages(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.kept = handle.getListState("kept", "message_id long, role string, content string")
+            self.cleared = handle.getValueState("cleared", "message_id long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             columns = ["message_id", "role", "content"]
             kept = pd.DataFrame(list(self.kept.get()), columns=columns)
+            cleared = self.cleared.get()[0] if self.cleared.exists() else None
             for batch in rows:
                 # Cut to n rows batch by batch, so a busy session never holds more.
                 kept = pd.concat([kept, batch[columns]]) if len(kept) else batch[columns]
-                cleared = kept.loc[kept["role"] == reset, "message_id"]
-                if len(cleared):
-                    kept = kept[kept["message_id"] > cleared.max()]
+                resets = kept.loc[kept["role"] == reset, "message_id"]
+                if len(resets):
+                    cleared = max(int(resets.max()), -1 if cleared is None else cleared)
+                if cleared is not None:
+                    kept = kept[kept["message_id"] > cleared]
                 kept = kept.drop_duplicates("message_id").sort_values("message_id").tail(n)
+            if cleared is not None:
+                self.cleared.update((cleared,))
             if len(kept):
                 self.kept.put([(int(r.message_id), r.role, r.content) for r in kept.itertuples()])
             else:
