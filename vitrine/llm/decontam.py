@@ -7,7 +7,7 @@ Each repetition draws its own walk and samples ``BITS`` output steps as the key
 equal keys are compared by exact edit distance.
 
 Windows have the size of the items: items fall into classes of length, and each document has one window of a class at
-every word. A window whose words are too rarely words of the benchmark cannot be within the allowed distance and is not
+every word. A window whose words are too rarely words of that class's items cannot be within the allowed distance and is not
 embedded; that test loses nothing.
 
 A passage matches if its edit distance in words is at most (1 - SIMILARITY) times the item's words. NULL, empty and
@@ -28,8 +28,8 @@ from vitrine.llm.common import best_match, blobs, mix, word_chunks, words
 
 SIMILARITY = 0.8
 #: Independent walks, and sampled output steps of each. Of the steps of two similar walks some 70 to 95 % agree, so one
-#: repetition finds a pair with 25 to 80 %; twelve find it with 97 % or more.
-WALKS, BITS = 12, 4
+#: repetition finds a pair with 20 to 80 %; eighteen find it with 98 % or more.
+WALKS, BITS = 18, 4
 #: Words of benchmark text that travel with a job; a larger benchmark is searched in several passes.
 BLOCK_WORDS = 2_000_000
 
@@ -83,7 +83,8 @@ class Index:
                     keys.append((int(embed(h, origin, origin + size, size, walk)[0]), n))
             keys.sort()
             codes = np.array([k for k, _ in keys], dtype=np.uint64)
-            self.classes.append((size, size - spare, codes, [n for _, n in keys]))
+            own = np.isin(self.vocabulary, np.concatenate([hashed[n][1] for n in members]))
+            self.classes.append((size, size - spare, np.append(own, False), codes, [n for _, n in keys]))
 
     def allowed(self, n: int) -> int:
         return int((1 - SIMILARITY) * len(self.items[n][1]) + 1e-9)
@@ -93,15 +94,16 @@ class Index:
         if not len(self.vocabulary) or not len(h):
             return
         at = np.searchsorted(self.vocabulary, h)
-        at[at == len(self.vocabulary)] = 0
-        seen = np.concatenate([[0], np.cumsum(self.vocabulary[at] == h)])
+        at[self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] != h] = len(self.vocabulary)
         place = np.arange(len(h))
         text = np.searchsorted(bounds, place, side="right") - 1
         last = bounds[text + 1]
         found: dict[tuple[int, int], set[int]] = {}
-        for size, least, codes, owners in self.classes:
+        seen = np.zeros(len(h) + 1, dtype=np.int32)
+        for size, least, own, codes, owners in self.classes:
+            np.cumsum(own[at], out=seen[1:])
             ends = np.minimum(place + size, last)
-            start = place[seen[ends] - seen[place] >= least]
+            start = np.flatnonzero(seen[ends] - seen[:-1] >= least)
             if not len(start):
                 continue
             for walk in range(WALKS):
