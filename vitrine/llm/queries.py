@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, decontam, langid, pii
+from vitrine.llm import bpe, decontam, langid, minhash, pii, quality
 from vitrine.llm.common import remainder, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -27,6 +27,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.judged(docs, quality.references(docs)).drop("text", "lang")
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.find(docs, pii.fit(docs))
@@ -38,5 +47,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op8_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_near_duplicates, op7_quality, op8_pii, op10_bpe)}
 ORACLES: dict[str, str] = {}
