@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, decontam, langid, minhash, pii, quality
+from vitrine.llm import bpe, decontam, langid, minhash, pii, quality, templates, toolcalls
 from vitrine.llm.common import remainder, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -31,6 +31,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.judged(docs, quality.references(docs)).drop("text", "lang")
@@ -41,11 +45,15 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.fit(docs))
 
 
+def op9_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.linked(*toolcalls.from_turns(table(spark, sf_dir, "conversations")))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = bpe.read_ranks(public_tokenizers.path(VOCABULARY))
     return bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_near_duplicates, op7_quality, op8_pii, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_near_duplicates, op4_html, op7_quality, op8_pii, op9_tool_calls, op10_bpe)}
 ORACLES: dict[str, str] = {}
