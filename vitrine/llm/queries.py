@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, decontam, langid, minhash, pii, quality, templates, toolcalls
+from vitrine.llm import bpe, brown, decontam, langid, minhash, pii, quality, suffixes, templates, toolcalls
 from vitrine.llm.common import remainder, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -35,6 +35,17 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_brown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = brown.scores(docs, remainder("doc_id", 7) != 2)
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held_out, *scored.columns[1:])
+
+
+def op6_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.judged(docs, quality.references(docs)).drop("text", "lang")
@@ -55,5 +66,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_near_duplicates, op4_html, op7_quality, op8_pii, op9_tool_calls, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_near_duplicates, op4_html, op5_brown_scores, op6_repeated_strings, op7_quality, op8_pii, op9_tool_calls, op10_bpe)}
 ORACLES: dict[str, str] = {}
