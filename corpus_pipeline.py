@@ -20,8 +20,7 @@ from vitrine.llm.queries import VOCABULARY
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that pass the rules."""
-    rows = docs.select(F.struct("*").alias("whole"), F.col("text").alias("body"))
-    return quality.judged(rows, quality.references(docs), "body").filter("kept").select("whole.*")
+    return quality.accepted(docs, quality.references(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
