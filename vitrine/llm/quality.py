@@ -216,3 +216,12 @@ def judged(docs: DataFrame, known: list[tuple[str, list, list]], text: str = "te
     )
     judged_by_rules = (n < MIN_WORDS) | ~F.coalesce(far, F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & judged_by_rules)
+
+
+def accepted(docs: DataFrame, known: list[tuple[str, list, list]], text: str = "text") -> DataFrame:
+    """The kept rows of ``docs`` with their own columns, whatever those are called."""
+    rows = docs.select(F.struct("*").alias(f"{OWN}row"), F.col(text).alias(f"{OWN}body"))
+    # The row number, part of the condition, keeps the optimiser from moving the filter below the steps, which would
+    # repeat each of them many times.
+    found = judged(rows, known, f"{OWN}body").withColumn(f"{OWN}number", F.monotonically_increasing_id())
+    return found.filter(F.col("kept") & (F.col(f"{OWN}number") >= 0)).select(f"{OWN}row.*")
