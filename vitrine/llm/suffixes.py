@@ -295,6 +295,10 @@ def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         keep = repeats | (rim > 0)
         out = bucket.take(pa.array(order[keep]))
         part = TaskContext.get().partitionId()
+        inner = rim[keep] == 0  # only the rows at the rim are compared again
+        for name in ("a", "b"):
+            place = out.schema.get_field_index(name)
+            out = out.set_column(place, name, pa.array(out.column(name).to_numpy(), mask=inner))
         return (
             out.append_column("repeats", pa.array(repeats[keep]))
             .append_column("rim", pa.array(rim[keep]))
