@@ -43,12 +43,10 @@ def shingles(h: np.ndarray) -> np.ndarray:
     out = mix(out)
     order = np.argsort(out, kind="stable")
     same = np.concatenate([[False], out[order][1:] == out[order][:-1]])
-    if same.any():
-        place = np.arange(n)
-        label = np.empty(n, dtype=np.uint64)
-        label[order] = place - np.maximum.accumulate(np.where(same, 0, place))
-        out = mix(out + label * np.uint64(0xA24BAED4963EE407))
-    return out
+    place = np.arange(n)
+    label = np.empty(n, dtype=np.uint64)
+    label[order] = place - np.maximum.accumulate(np.where(same, 0, place))
+    return mix(out + label * np.uint64(0xA24BAED4963EE407))
 
 
 def sketches(h: np.ndarray) -> np.ndarray:
