@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import WORD_BREAK
+from vitrine.llm.common import WORD_BREAK, cut
 
 COMMON, MIN_WORDS = 32, 30
 #: Largest distances of kept texts of n words: 0.22 + 4 / n for classes, 0.02 + 3.8 / sqrt(n) for words, as the
@@ -42,8 +42,8 @@ def words_of(text: Column) -> Column:
 
 
 def plain_words(text: Column) -> Column:
-    """Lower-case words of letters only."""
-    return F.array_remove(F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\x20\x09-\x0D]+", "")), WORD_BREAK), "")
+    """Lower-case runs of letters."""
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}]+"), "")
 
 
 def with_classes(df: DataFrame, text: str) -> DataFrame:
@@ -68,21 +68,22 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> list[
     )
     totals = (
         with_classes(rows, "t")
-        .withColumn("n", F.size(plain_words(F.col("t"))))
         .groupBy("l")
-        .agg(F.sum("n").alias("n"), *[F.sum(class_count(i)).alias(b) for i, b in enumerate(BINS)])
+        .agg(*[F.sum(class_count(i)).alias(b) for i, b in enumerate(BINS)])
         .collect()
     )
-    counts = (
-        rows.select("l", F.explode(plain_words(F.col("t"))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n"))
+    counts = cut(
+        rows.select("l", F.explode(plain_words(F.col("t"))).alias("w")).groupBy("l", "w").agg(F.count("*").alias("n")),
+        "words",
     )
+    spoken = {r.l: r.n for r in counts.groupBy("l").agg(F.sum("n").alias("n")).collect()}
     order = Window.partitionBy("l").orderBy(F.desc("n"), "w")
     top = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= COMMON).collect()
     out = []
     for row in sorted(totals, key=lambda r: r.l):
         letters = sum(row[b] for b in BINS)
-        if row.n and letters:
-            shares = [(r.w, r.n / row.n) for r in sorted(top, key=lambda r: r.r) if r.l == row.l]
+        if spoken.get(row.l) and letters:
+            shares = [(r.w, r.n / spoken[row.l]) for r in sorted(top, key=lambda r: r.r) if r.l == row.l]
             out.append((row.l, shares, [row[b] / letters for b in BINS]))
     return out
 
