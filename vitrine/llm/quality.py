@@ -13,8 +13,6 @@ words are told apart by a 64-bit hash within their text.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,41 +169,47 @@ def distances(df: DataFrame, known: list[tuple[str, list, list]], text: str = "t
     )
     df = df.withColumn(f"{OWN}parts", parts)
 
-    def word_distance(shares: list) -> Column:
-        q_of = F.array(*[F.lit(float(dict(shares).get(w, 0.0))) for w in every])
-        total = float(sum(q for _, q in shares))
+    size = F.length(f"{OWN}text")
+    df = df.withColumn(f"{OWN}shares", F.array(*[class_count(i) / size for i in range(len(BINS))]))
+
+    def reference(name: str, words: list, shares: list) -> Column:
+        q = dict(words)
+        return F.struct(
+            F.lit(name).alias("l"),
+            F.array(*[F.lit(float(q.get(w, 0.0))) for w in every]).alias("q"),
+            F.lit(float(sum(q.values()))).alias("total"),
+            F.array(*[F.lit(float(x)) for x in shares]).alias("classes"),
+        )
 
+    def word_distance(r: Column) -> Column:
         def add(a: Column, x: Column) -> Column:
-            q = F.get(q_of, x["k"] - 1)
+            q = F.get(r["q"], x["k"] - 1)
             return F.when(
                 q > 0,
                 F.struct((a["js"] + spread(x["p"], q)).alias("js"), (a["p"] + x["p"]).alias("p"), (a["q"] + q).alias("q")),
             ).otherwise(a)
 
-        zero = F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-
         def close(a: Column) -> Column:
-            rest = spread(F.greatest(1 - a["p"], F.lit(0.0)), F.lit(max(0.0, 1 - total)))
-            return F.sqrt(F.greatest(F.lit(0.0), (a["js"] + (F.lit(total) - a["q"]) + rest) / 2))
+            rest = spread(F.greatest(1 - a["p"], F.lit(0.0)), F.greatest(1 - r["total"], F.lit(0.0)))
+            return F.sqrt(F.greatest(F.lit(0.0), (a["js"] + (r["total"] - a["q"]) + rest) / 2))
 
+        zero = F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
         return F.aggregate(F.col(f"{OWN}parts"), zero, add, close)
 
-    def class_distance(shares: list) -> Column:
-        size = F.length(f"{OWN}text")
-        parts = [spread(class_count(i) / size, F.lit(float(q))) for i, q in enumerate(shares)]
-        return F.sqrt(F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, parts) / 2))
+    def class_distance(r: Column) -> Column:
+        parts = F.zip_with(F.col(f"{OWN}shares"), r["classes"], spread)
+        return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2))
 
+    references_of = F.array(*[reference(*k) for k in known])
     nearest = F.array_min(
-        F.array(
-            *[
-                F.struct(word_distance(words).alias("w"), F.lit(name).alias("l"), class_distance(shares).alias("c"))
-                for name, words, shares in known
-            ]
+        F.transform(
+            references_of,
+            lambda r: F.struct(word_distance(r).alias("w"), r["l"].alias("l"), class_distance(r).alias("c")),
         )
     )
     df = df.withColumn(f"{OWN}near", nearest)
     df = df.withColumns({"word_distance": F.col(f"{OWN}near")["w"], "class_distance": F.col(f"{OWN}near")["c"]})
-    return df.drop(*(f"{OWN}{c}" for c in ("text", "left", "plain", "ids", "kinds", "at", "parts", "near")))
+    return df.drop(*(f"{OWN}{c}" for c in ("text", "left", "plain", "ids", "kinds", "at", "parts", "shares", "near")))
 
 
 def judged(docs: DataFrame, known: list[tuple[str, list, list]], text: str = "text") -> DataFrame:
