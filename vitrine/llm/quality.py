@@ -2,7 +2,8 @@
 
 Two histograms of a text are compared with those of each language by Jensen-Shannon distance (base 2, 0 to 1): the
 character classes, and the common words (the ``COMMON`` most frequent of the language, all others in one bin). The
-language with the nearest common words is the one compared. References are counts over all texts with a language.
+language compared is the one whose common words overlap the text's most (Bhattacharyya coefficient; of equal ones the
+last by name). References are counts over all texts with a language.
 
 A text is rejected if it fails a base rule or lies too far from its language. Texts under ``MIN_WORDS`` words are judged
 by the base rules alone, as their histograms say little. Everything runs in Spark's own functions.
@@ -96,9 +97,11 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         f"{OWN}lines", F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     )
     w, lines = F.col(f"{OWN}words"), F.col(f"{OWN}lines")
+    df = df.withColumn(f"{OWN}each", F.transform(w, lambda x: F.xxhash64(x)))
+    each = F.col(f"{OWN}each")
     hashes = F.transform(
-        F.slice(w, 1, F.greatest(F.size(w) - 4, F.lit(0))),
-        lambda x, i: F.xxhash64(x, *[F.get(w, i + k) for k in range(1, 5)]),
+        F.slice(each, 1, F.greatest(F.size(each) - 4, F.lit(0))),
+        lambda x, i: F.xxhash64(x, *[F.get(each, i + k) for k in range(1, 5)]),
     )
     df = df.withColumn(f"{OWN}hash", hashes)
     h = F.col(f"{OWN}hash")
@@ -106,11 +109,11 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         f"{OWN}order",
         F.when(
             F.size(F.array_distinct(h)) < F.size(h),
-            F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))),
+            F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))),
         ),
     )
     order = F.col(f"{OWN}order")
-    repeated = F.array_sort(
+    repeated = F.sort_array(
         F.transform(
             F.filter(
                 order,
@@ -135,7 +138,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    helpers = [f"{OWN}{n}" for n in ("text", "words", "lines", "hash", "order")]
+    helpers = [f"{OWN}{n}" for n in ("text", "words", "each", "lines", "hash", "order")]
     return df.withColumn("base_failed", failed).drop(*helpers)
 
 
@@ -151,7 +154,8 @@ def distances(df: DataFrame, known: list[tuple[str, list, list]], text: str = "t
     """Adds word_distance and class_distance to the nearest language; NULL if there is none."""
     if not known:
         return df.withColumns({"word_distance": F.lit(None).cast("double"), "class_distance": F.lit(None).cast("double")})
-    every = sorted({w for _, shares, _ in known for w, _ in shares})
+    shares_of = sorted(((q, w) for _, shares, _ in known for w, q in shares), reverse=True)
+    every = list(dict.fromkeys(w for _, w in shares_of))  # the most frequent first, where they are found soonest
     longest = max(map(len, every))
     df = df.withColumn(f"{OWN}text", F.coalesce(F.col(text), F.lit("")))
     df = with_classes(df, f"{OWN}text").withColumn(f"{OWN}plain", plain_words(F.col(f"{OWN}text")))
@@ -159,7 +163,7 @@ def distances(df: DataFrame, known: list[tuple[str, list, list]], text: str = "t
         F.col(f"{OWN}plain"),
         lambda w: F.when(F.length(w) <= longest, F.find_in_set(w, F.lit(",".join(every)))).otherwise(0),
     )
-    df = df.withColumn(f"{OWN}ids", F.array_sort(F.array_remove(numbers, 0)))
+    df = df.withColumn(f"{OWN}ids", F.sort_array(F.array_remove(numbers, 0)))
     df = df.withColumn(f"{OWN}kinds", F.array_distinct(f"{OWN}ids"))
     ids, kinds, n = F.col(f"{OWN}ids"), F.col(f"{OWN}kinds"), F.size(f"{OWN}plain")
     df = df.withColumn(f"{OWN}at", F.transform(kinds, lambda k: F.array_position(ids, k)))
@@ -201,14 +205,15 @@ def distances(df: DataFrame, known: list[tuple[str, list, list]], text: str = "t
         return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2))
 
     references_of = F.array(*[reference(*k) for k in known])
-    nearest = F.array_min(
-        F.transform(
-            references_of,
-            lambda r: F.struct(word_distance(r).alias("w"), r["l"].alias("l"), class_distance(r).alias("c")),
+    def closeness(r: Column) -> Column:
+        return F.aggregate(
+            F.col(f"{OWN}parts"), F.lit(0.0), lambda a, x: a + F.sqrt(x["p"] * F.get(r["q"], x["k"] - 1))
         )
-    )
-    df = df.withColumn(f"{OWN}near", nearest)
-    df = df.withColumns({"word_distance": F.col(f"{OWN}near")["w"], "class_distance": F.col(f"{OWN}near")["c"]})
+
+    nearest = F.array_max(F.transform(references_of, lambda r: F.struct(closeness(r).alias("near"), r.alias("r"))))
+    df = df.withColumn(f"{OWN}near", nearest["r"])
+    near = F.col(f"{OWN}near")
+    df = df.withColumns({"word_distance": word_distance(near), "class_distance": class_distance(near)})
     return df.drop(*(f"{OWN}{c}" for c in ("text", "left", "plain", "ids", "kinds", "at", "parts", "shares", "near")))
 
 
