@@ -174,7 +174,7 @@ def distances(df: DataFrame, known: list[tuple[str, list, list]], text: str = "t
     df = df.withColumn(f"{OWN}parts", parts)
 
     size = F.length(f"{OWN}text")
-    df = df.withColumn(f"{OWN}shares", F.array(*[class_count(i) / size for i in range(len(BINS))]))
+    df = df.withColumn(f"{OWN}shares", F.array(*[F.try_divide(class_count(i), size) for i in range(len(BINS))]))
 
     def reference(name: str, words: list, shares: list) -> Column:
         q = dict(words)
@@ -220,7 +220,7 @@ def distances(df: DataFrame, known: list[tuple[str, list, list]], text: str = "t
 def judged(docs: DataFrame, known: list[tuple[str, list, list]], text: str = "text") -> DataFrame:
     """``measures`` and ``distances`` of each row, and kept."""
     df = distances(measures(docs, text), known, text)
-    n = F.col("n_words")
+    n = F.greatest(F.col("n_words"), F.lit(1))
     far = (F.col("class_distance") > CLASS_LIMIT[0] + CLASS_LIMIT[1] / n) | (
         F.col("word_distance") > WORD_LIMIT[0] + WORD_LIMIT[1] / F.sqrt(n)
     )

@@ -67,9 +67,9 @@ def canonical(value: Column) -> Column:
 
 
 def quoted(text: Column) -> Column:
-    """A JSON string."""
+    """A JSON string; NULL stays NULL."""
     whole = F.to_json(F.struct(text.alias("v")))
-    return F.substring(whole, 6, F.length(whole) - 6)
+    return F.when(text.isNotNull(), F.substring(whole, 6, F.length(whole) - 6))
 
 
 def members(value: Column) -> Column:
