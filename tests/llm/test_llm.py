@@ -302,6 +302,22 @@ def test_tool_calls(spark):
     assert toolcalls.linked(calls.limit(0), results.limit(0), fields).count() == 0
 
 
+def test_levels_of_chains_and_joins(spark):
+    common.reach(spark)
+    rng, rows, want = random.Random(8), [], {}
+    for conv in range(3):
+        for i in range(60):
+            needs = [] if i == 0 or rng.random() < 0.1 else rng.sample(range(i), min(i, rng.choice([1, 1, 1, 1, 2, 3])))
+            if conv == 0 and i:
+                needs = [i - 1]
+            want[conv, str(i)] = 1 + max((want[conv, str(j)] for j in needs), default=-1)
+            rows.append((conv, str(i), [str(j) for j in needs]))
+    rows += [(5, "a", ["b"]), (5, "b", ["a"]), (5, "c", ["a"]), (5, "d", ["x"]), (5, "e", ["d", "c"]), (5, "f", [])]
+    want[5, "f"] = 0
+    calls = spark.createDataFrame(rows, "conv_id bigint, call_id string, needs array<string>")
+    assert {(r.conv_id, r.call_id): r.level for r in toolcalls.levels(calls).collect()} == want
+
+
 def test_conversations_become_calls(spark):
     common.reach(spark)
     turns = [(1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 2, "user", None), (2, 0, "assistant", "x"), (None, 1, "user", "x")]

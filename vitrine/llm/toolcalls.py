@@ -2,7 +2,7 @@
 
 Calls (conv_id, call_id, name, arguments, needs) meet results (conv_id, call_id, content) by identifier in a hash join;
 ``arguments`` is JSON text and ``needs`` lists calls whose results the call uses. A call's level is one above the highest
-level of the calls it needs; levels are found round by round, each round placing the calls whose needs are all placed.
+level of the calls it needs.
 Calls on a cycle, or that need an unknown call, have no level and come last.
 
 Arguments are checked against a table of fields (name, field, type, required): unknown tools, broken JSON, missing or
@@ -25,32 +25,69 @@ TYPES = {"string": r'^"', "number": r"^-?[0-9]", "boolean": "^(true|false)$", "o
 
 
 def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of the calls that can be placed; as many rounds as the longest chain of needs."""
-    known = calls.select("conv_id", "call_id").filter(F.col("call_id").isNotNull()).distinct()
-    needs = (
-        calls.filter(F.col("call_id").isNotNull())
-        .select("conv_id", "call_id", F.explode(F.array_distinct(F.coalesce("needs", F.array().cast("array<string>")))).alias("need"))
-        .distinct()
+    """(conv_id, call_id, level) of the calls that can be placed.
+
+    Most calls need one other call. Such chains are walked by pointer doubling, so that their length costs rounds only in
+    its logarithm; calls with several needs are then placed round by round above the heads of the chains they meet.
+    """
+    key = ["conv_id", "call_id"]
+    named = calls.filter(F.col("call_id").isNotNull())
+    none = F.array().cast("array<string>")
+    needs = cut(
+        named.select(*key, F.explode(F.array_distinct(F.coalesce("needs", none))).alias("need")).distinct(), "needs"
     )
-    needs = cut(needs, "needs")
-    waits = cut(needs.groupBy("conv_id", "call_id").agg(F.count("*").alias("open")), "waits")
-    front = cut(known.join(waits, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "level")
-    placed, open_calls, number = front, waits, 0
-    while not front.isEmpty() and not open_calls.isEmpty():
-        number += 1
-        met = (
-            needs.join(front.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"])
-            .groupBy("conv_id", "call_id")
-            .agg(F.count("*").alias("met"))
+    counts = needs.groupBy(*key).agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    start = named.select(*key).distinct().join(counts, key, "left")
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    chain = cut(
+        start.select(
+            *key,
+            F.coalesce("n", F.lit(0)).alias("n"),
+            F.when(single, F.col("need")).otherwise(F.col("call_id")).alias("at"),
+            F.when(single, 1).otherwise(0).alias("far"),
+            single.alias("open"),
+        ),
+        "chain",
+    )
+    most = chain.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(int(most).bit_length()):
+        if chain.filter("open").isEmpty():
+            break
+        ahead = chain.select(
+            "conv_id", F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"), F.col("open").alias("still")
         )
-        left = open_calls.join(met, ["conv_id", "call_id"], "left").select(
-            "conv_id", "call_id", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")
+        step = chain.filter("open").join(ahead, ["conv_id", "at"], "left").select(
+            *key, "n", F.col("next").alias("at"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.coalesce("still", F.lit(False)).alias("open")
+        )
+        chain = cut(step.unionByName(chain.filter("not open")), "chain")
+    chain = chain.filter("not open and at is not null")  # what is still open runs in a circle
+    heads = chain.filter("n = 0").select("conv_id", "call_id", F.lit(0).alias("level"))
+    edges = cut(
+        needs.join(chain.filter("n > 1").select(*key), key, "left_semi").join(
+            chain.select("conv_id", F.col("call_id").alias("need"), F.col("at").alias("head"), "far"), ["conv_id", "need"]
+        ),
+        "edges",
+    )
+    waits = chain.filter("n > 1").select(*key, F.col("n").alias("left"), F.lit(0).alias("level"))
+    front = heads
+    while not edges.isEmpty() and not front.isEmpty():
+        met = (
+            edges.join(front.select("conv_id", F.col("call_id").alias("head"), F.col("level").alias("base")), ["conv_id", "head"])
+            .groupBy(*key)
+            .agg(F.count("*").alias("met"), F.max(F.col("base") + F.col("far") + 1).alias("best"))
         )
-        left = cut(left, "waits")
-        front = left.filter("open = 0").select("conv_id", "call_id", F.lit(number).alias("level"))
-        open_calls = left.filter("open > 0")
-        placed = placed.unionByName(front)
-    return placed
+        waits = cut(
+            waits.filter("left > 0").join(met, key, "left").select(
+                *key,
+                (F.col("left") - F.coalesce("met", F.lit(0))).alias("left"),
+                F.greatest("level", F.coalesce("best", F.lit(0))).alias("level"),
+            ),
+            "waits",
+        )
+        front = waits.filter("left = 0").select(*key, "level")
+        heads = heads.unionByName(front)
+    base = heads.select("conv_id", F.col("call_id").alias("at"), F.col("level").alias("base"))
+    return chain.join(base, ["conv_id", "at"]).select(*key, (F.col("base") + F.col("far")).alias("level"))
 
 
 def canonical(value: Column) -> Column:
