@@ -32,12 +32,13 @@ def test_fold_matches_unicode_decomposition(spark):
 def test_query_terms(spark):
     cases = ["um dois tres quatro cinco seis sete oito nove", "Foo_Bar foo", "  ", "Violão VIOLAO", "AND or NOT"]
     assert values(spark, X.query_terms(F.col("c")), cases) == [
-        ["um", "dois", "tres", "quatro", "cinco", "seis", "sete", "oito"],
+        ["um", "dois", "tres", "quatro", "cinco", "seis", "sete", "oito", "nove"],
         ["foo", "bar"],
         [],
         ["violao"],
         ["and", "or", "not"],
     ]
+    assert values(spark, X.query_terms(F.col("c"), most=2), cases[:1]) == [["um", "dois"]]
     assert values(spark, X.query_terms(F.col("c"), stems=True), ["percussao pia"]) == [["percussao", "percus", "pia"]]
 
 

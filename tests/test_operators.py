@@ -39,22 +39,22 @@ def money(x):
 def store(spark):
     categories = [(1, "Guitarras", "elétricas"), (2, "Violões", "acústicos"), (3, "Sopro", None)]
     products = [
-        (1, "Takamira GD20 Natural", 2, money(2199), "violão de aço", 5, "active", '{"top": "cedro"}', dt.date(2021, 1, 1)),
-        (2, "Tagina Memo AC", 2, money(429.9), "violão nylon", 15, "active", "sem json", None),
-        (3, "Yamira C40", 2, money(599.9), None, 0, "active", None, None),
-        (4, "Fendra Strato", 1, money(5999), "guitarra", 2, "coming_soon", None, None),
-        (5, "Fendra Antiga", 1, money(100), "fora de linha", 1, "discontinued", None, None),
+        (1, "Solvanto LM45 Bruma", 2, money(1873), "violão de aço", 5, "active", '{"top": "cedro"}', dt.date(2021, 1, 1)),
+        (2, "Prazela Lira NY", 2, money(388.5), "violão nylon", 15, "active", "sem json", None),
+        (3, "Quorvel D18", 2, money(641.25), None, 0, "active", None, None),
+        (4, "Belkaro Vento", 1, money(4720), "guitarra", 2, "coming_soon", None, None),
+        (5, "Belkaro Antiga", 1, money(100), "fora de linha", 1, "discontinued", None, None),
         (6, "Órfão", 99, money(10), "sem categoria", 1, "active", None, None),
-        (7, "Ukelê Infantil", 3, money(599.9), "parece um violão", 3, "active", None, None),
+        (7, "Ukelê Infantil", 3, money(641.25), "parece um violão", 3, "active", None, None),
     ]
     customers = [
-        (1, "Lia Mendes", "(67) 99812-3456", "lia.m@example.com", "Aurora"),
-        (2, "Rui Costa", "(67) 98432-1098", "rui@example.com", "Aurora"),
-        (3, "Lia Torres", "(11) 3456-0000", None, "Belém"),
+        (1, "Noa Prates", "(31) 97204-1586", "noa.p@example.com", "Aurora"),
+        (2, "Ivo Salgado", "(48) 96613-7702", "ivo@example.com", "Aurora"),
+        (3, "Noa Vidal", "(85) 2041-4400", None, "Belém"),
     ]
     orders = [
-        (1, 1, dt.date(2025, 10, 15), "delivered", money(799.9), "pix", "BRAB1234567BR", dt.date(2025, 10, 25), None),
-        (8, 1, dt.date(2025, 12, 1), "shipped", money(50), "credit_3x", "brzz7654321br", None, "frágil"),
+        (1, 1, dt.date(2024, 3, 6), "delivered", money(912.4), "pix", "BRKQ9081726BR", dt.date(2024, 3, 18), None),
+        (8, 1, dt.date(2025, 12, 1), "shipped", money(50), "credit_3x", "brxw5566778br", None, "frágil"),
         (9, 2, None, "pending", money(1), None, None, None, None),
         (10, 77, dt.date(2025, 1, 1), "pending", money(1), None, None, None, None),
     ]
@@ -173,7 +173,7 @@ def test_negative_limit_is_an_error(spark, store):
 
 def test_first_match_prefers_id(spark, store):
     asked = spark.createDataFrame(
-        [(1, 4, "yamira"), (2, 404, "yamira"), (3, None, "takamira yamira"), (4, None, "zzz")],
+        [(1, 4, "quorvel"), (2, 404, "quorvel"), (3, None, "solvanto quorvel"), (4, None, "zzz")],
         "request_id long, product_id int, name string",
     )
     got = {r.request_id: r.product_id for r in S.first_match(asked, store.listing).collect()}
@@ -197,14 +197,14 @@ def test_contains_pairs_equals_brute_force(spark):
 def test_customer_cascade(spark, store):
     asked = spark.createDataFrame(
         [
-            (1, "99812-3456", None, None),
-            (2, "0000-0000-1", "RUI@example.com", "lia"),
-            (3, None, "none@example.com", "lia"),
-            (4, "3456", None, None),
-            (5, "12", None, "rui"),
+            (1, "97204-1586", None, None),
+            (2, "0000-0000-1", "IVO@example.com", "noa"),
+            (3, None, "none@example.com", "noa"),
+            (4, "2041", None, None),
+            (5, "15", None, "ivo"),
             (6, None, None, "ninguém"),
             (7, "", "", ""),
-            (8, None, None, "lia t"),
+            (8, None, None, "noa v"),
         ],
         "request_id long, phone string, email string, name string",
     )
@@ -221,7 +221,7 @@ def test_customer_cascade(spark, store):
 
 def test_order_lookup_key_order_and_case(spark, store):
     asked = spark.createDataFrame(
-        [(1, 1, "x", 2), (2, None, " BRZZ7654321br ", 2), (3, None, "", 1), (4, None, None, None), (5, 404, None, 1)],
+        [(1, 1, "x", 2), (2, None, " BRXW5566778br ", 2), (3, None, "", 1), (4, None, None, None), (5, 404, None, 1)],
         "request_id long, order_id int, tracking_code string, customer_id int",
     )
     got = sorted((r.request_id, r.order_id) for r in O.lookup(asked, store.orders).collect())
@@ -233,7 +233,7 @@ def test_order_payloads(store):
     payloads = {r.order_id: json.loads(r.payload) for r in rows}
     assert set(payloads) == {1, 8, 9}
     assert [(i["quantity"], i["name"]) for i in payloads[1]["items"]] == [
-        (1, "Yamira C40"), (1, "Yamira C40"), (2, "Takamira GD20 Natural")]
+        (1, "Quorvel D18"), (1, "Quorvel D18"), (2, "Solvanto LM45 Bruma")]
     assert payloads[1]["payment_method"] == "PIX" and payloads[1]["deadlines"]["repentance_expired"] is True
     assert "EXPIRADOS" in payloads[1]["deadlines"]["suggested_path"]
     assert payloads[8]["deadlines"] is None and "recebimento" in payloads[8]["deadlines_note"]
@@ -251,7 +251,7 @@ def test_paged_lists_keep_every_row_of_a_hot_key(spark):
 
 def test_suggestions_follow_the_similarity_rule(spark, store):
     names = sorted(r.name for r in store.listing.where("status != 'discontinued'").collect())
-    queries = ["takamita gd2", "yamaha", "fendr", "ukele", "zzzz", "stratto", "guitarra takamira"]
+    queries = ["solvanta lm4", "quorvex", "belkar", "ukele", "zzzz", "ventto", "guitarra solvanto"]
 
     def expected(q):
         def like(n):
@@ -342,21 +342,21 @@ def test_audit(store):
 
 
 ROUTES = [
-    (1, "lia.m@example.com", "auto", "email"),
-    (2, "(67) 99812-3456", "auto", "phone"),
+    (1, "noa.p@example.com", "auto", "email"),
+    (2, "(31) 97204-1586", "auto", "phone"),
     (3, "8", "auto", "order_id"),
-    (4, "BRZZ7654321br", "auto", "tracking"),
-    (5, "lia mendes", "auto", "customer"),
+    (4, "BRXW5566778br", "auto", "tracking"),
+    (5, "noa prates", "auto", "customer"),
     (6, "violao", "auto", "product"),
     (7, "Rui", "auto", "product"),
-    (8, "rui", "clientes", "customer"),
+    (8, "ivo", "clientes", "customer"),
     (9, "abcdefghijkl", "auto", "tracking"),
-    (10, "yamira", "produtos", "product"),
-    (11, "tagina", "promocoes", "promotion"),
+    (10, "quorvel", "produtos", "product"),
+    (11, "prazela", "promocoes", "promotion"),
     (12, "", "auto", "product"),
-    (13, "takamita xz", "auto", "product"),
+    (13, "solvanta xz", "auto", "product"),
     (14, "ninguem", "clientes", "customer"),
-    (15, "rui costa", "pedidos", "customer"),
+    (15, "ivo salgado", "pedidos", "customer"),
 ]
 
 
@@ -373,16 +373,16 @@ def test_answers(spark, store):
     got = {}
     for r in R.answer(asked, store, "2026-01-01").collect():
         got.setdefault(r.request_id, {}).setdefault(r.part, []).append((r.seq, r.payload))
-    assert json.loads(got[1]["clientes"][0][1])["email"] == "li***@example.com"
+    assert json.loads(got[1]["clientes"][0][1])["email"] == "no***@example.com"
     assert sorted(s for s, _ in got[2]["pedidos"]) == [1, 8]
     assert [s for s, _ in got[3]["pedidos"]] == [s for s, _ in got[4]["pedidos"]] == [8]
     assert [json.loads(p)["product_id"] for _, p in sorted(got[6]["produtos"])] == [2, 7, 1]
     assert got[6]["aviso"] == [(0, V.ADVICE_PARTIAL)]
     full = json.loads(got[10]["produtos"][0][1])
-    assert full["name"] == "Yamira C40" and "specs" in full and "aviso" not in got[10]
-    assert json.loads(got[11]["promocoes"][0][1]) == {"list": "tagina", "count": 1}
+    assert full["name"] == "Quorvel D18" and "specs" in full and "aviso" not in got[10]
+    assert json.loads(got[11]["promocoes"][0][1]) == {"list": "prazela", "count": 1}
     assert len(got[12]["produtos"]) == 5 and "promocoes" not in got[12]
-    assert "Takamira GD20 Natural" in got[13]["aviso"][0][1]
+    assert "Solvanto LM45 Bruma" in got[13]["aviso"][0][1]
     assert got[14]["aviso"] == [(0, V.ADVICE_NOTHING)]
     assert [s for s, _ in got[15]["pedidos"]] == [9]
 

@@ -16,7 +16,6 @@ SPACES = (
 )
 SPACE_CLASS = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 LINE_BREAK = "\\r\\n|[\\n-\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
-MAX_TERMS = 8
 STEM_LENGTH = 6
 
 
@@ -65,12 +64,14 @@ def index_tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(text), F.lit("[\\p{L}\\p{N}]+"), F.lit(0))
 
 
-def query_terms(query: Column, stems: bool = False) -> Column:
-    """Distinct search terms of a query, in order; only its first eight words count.
+def query_terms(query: Column, stems: bool = False, most: int | None = None) -> Column:
+    """Distinct search terms of a query, in order; with ``most`` only its first words count.
 
     With ``stems`` a word longer than six letters also searches for its first six.
     """
-    words = F.slice(index_tokens(query), 1, MAX_TERMS)
+    words = index_tokens(query)
+    if most is not None:
+        words = F.slice(words, 1, most)
     if stems:
         words = F.flatten(
             F.transform(

@@ -66,7 +66,6 @@ TOOL_CONTEXT = "load_context"
 
 DEFAULT_LIMIT = 6
 CATEGORY_PAGE = 100
-INDEX_PAGE = 200
 SUGGESTION_PAGE = 1000
 SUGGESTIONS_SHOWN = 5
 HISTORY_LIMIT = 24

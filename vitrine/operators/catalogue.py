@@ -86,11 +86,9 @@ def active_promotions(promotions: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def catalogue_index(catalogue: DataFrame, page: int = V.INDEX_PAGE) -> DataFrame:
-    """The cheapest ``page`` sellable products: name, category, price, promo."""
-    return (
-        catalogue.where(sellable(F.col("status")))
-        .orderBy("price_brl", "product_id")
-        .limit(page)
-        .select("product_id", "name", "category", "price_brl", "promo")
-    )
+def catalogue_index(catalogue: DataFrame, page: int | None = None) -> DataFrame:
+    """All sellable products, or the cheapest ``page`` of them: name, category, price, promo."""
+    index = catalogue.where(sellable(F.col("status")))
+    if page is not None:
+        index = index.orderBy("price_brl", "product_id").limit(page)
+    return index.select("product_id", "name", "category", "price_brl", "promo")

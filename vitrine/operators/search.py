@@ -233,14 +233,15 @@ def search_products(
     return found.orderBy("price_brl", "product_id").limit(limit)
 
 
-def category_page(catalogue: DataFrame, category: str, page: int = V.CATEGORY_PAGE) -> DataFrame:
-    """The page of a category, with how many products matched and how many are returned."""
-    rows = search_products(catalogue, category=category, limit=page)
+def category_page(catalogue: DataFrame, category: str, page: int | None = None) -> DataFrame:
+    """A whole category, or its cheapest ``page`` products, with how many matched and how many are returned."""
     matching = catalogue.where(sellable(F.col("status"))).where(
         F.contains(fold(F.col("category")), fold(F.lit(category)))
     )
+    rows = matching if page is None else search_products(catalogue, category=category, limit=page)
     matched = matching.agg(F.count("*")).scalar()
-    return rows.withColumn("matched", matched).withColumn("returned", F.least(F.col("matched"), F.lit(page)))
+    returned = F.col("matched") if page is None else F.least(F.col("matched"), F.lit(page))
+    return rows.withColumn("matched", matched).withColumn("returned", returned)
 
 
 def first_match(requests: DataFrame, catalogue: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def _words(c: str, n: int) -> str:
 
 
 def _terms(c: str) -> str:
-    return f"{_tokens(c)}[1:8]"
+    return _tokens(c)
 
 
 CODE = "translate(lpad(cast(c_custkey as varchar), 9, '0'), '0123456789', 'aeioubcdfg')"
@@ -383,10 +383,9 @@ select event_id call_id, user_id doc_id, event_id % 2 = 0 as even, event_id % 4
 
 ORACLES: dict[str, str] = {
     "catalogue_effective_price": _sql(
-        f"""select category, rank, product_id, name, cast(price_brl as double) price_brl, {PROMO_COLUMNS},
+        f"""select category, product_id, name, cast(price_brl as double) price_brl, {PROMO_COLUMNS},
   cast(coalesce(promo_price_brl, price_brl) as double) effective_price, cast(stock_quantity as bigint) stock_quantity, status
-from (select *, row_number() over (partition by category order by price_brl, product_id) as rank
-      from v_catalogue where status in ('active', 'coming_soon')) where rank <= 6""",
+from v_catalogue where status in ('active', 'coming_soon')""",
         *CATALOGUE,
     ),
     "best_promo": _sql(
@@ -405,7 +404,7 @@ from v_category c left join v_product p on p.category_id = c.category_id and p.s
     ),
     "catalogue_index": _sql(
         f"""select product_id, name, category, cast(price_brl as double) price_brl, {PROMO_COLUMNS} from (
-  select * from v_catalogue where status in ('active', 'coming_soon') order by price_brl, product_id limit {V.INDEX_PAGE})""",
+  select * from v_catalogue where status in ('active', 'coming_soon'))""",
         *CATALOGUE,
     ),
     "search_price_band": _sql(
@@ -416,10 +415,9 @@ order by price_brl, product_id limit 50""",
         *CATALOGUE,
     ),
     "search_by_category": _sql(
-        f"""select product_id, name, category, cast(price_brl as double) price_brl, matched, least(matched, 100) returned from (
+        f"""select product_id, name, category, cast(price_brl as double) price_brl, matched, matched returned from (
   select *, count(*) over () matched from v_catalogue
-  where status in ('active', 'coming_soon') and contains({_fold('category')}, 'econom')
-  order by price_brl, product_id limit 100)""",
+  where status in ('active', 'coming_soon') and contains({_fold('category')}, 'econom'))""",
         *CATALOGUE,
     ),
     "text_fold": f"select doc_id, {_fold('text')} folded from documents",
@@ -594,7 +592,7 @@ select 'catalogo', null, key, 'total', 0, cast(count(p.key) as varchar) from v_p
 union all
 select 'catalogo', null, '', 'produtos', product_id, cast(to_json({{nome: name, categoria: category,
   preco_brl: cast(price_brl as double), promo: {PROMO_JSON}}}) as varchar)
-from (select * from v_catalogue where status in ('active', 'coming_soon') order by price_brl, product_id limit {V.INDEX_PAGE})
+from (select * from v_catalogue where status in ('active', 'coming_soon'))
 union all
 select 'catalogo', null, '', 'categorias', category_id, cast(to_json({{category_id: category_id, name: name,
   description: 'linha ' || name, product_count: n}}) as varchar)

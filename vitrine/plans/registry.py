@@ -67,16 +67,10 @@ def _flat_promo(df: DataFrame) -> DataFrame:
 
 @query
 def catalogue_effective_price(spark, sf_dir):
-    """The six cheapest sellable products of each category, with their best promotion."""
-    cheapest = Window.partitionBy("category").orderBy("price_brl", "product_id")
-    top = (
-        _catalogue(spark, sf_dir)
-        .where(sellable(F.col("status")))
-        .withColumn("rank", F.row_number().over(cheapest))
-        .where(F.col("rank") <= 6)
-    )
-    return _flat_promo(top).select(
-        "category", "rank", "product_id", "name", "price_brl", "promo_name", "discount_percent",
+    """Every sellable product with its best promotion and effective price."""
+    offered = _catalogue(spark, sf_dir).where(sellable(F.col("status")))
+    return _flat_promo(offered).select(
+        "category", "product_id", "name", "price_brl", "promo_name", "discount_percent",
         "promo_price_brl", "effective_price", "stock_quantity", "status",
     )
 

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def _folder(spark: SparkSession) -> str:
-    """The checkpoint folder. The cluster names a shared one in ``spark.checkpoint.dir``; only a session
-    without one (a local test) gets a temporary folder."""
+    """The folder that the session names in ``spark.checkpoint.dir``, shared by driver and executors. A local master
+    without one uses the warehouse; any other stops here, as its executors could not read each other's files."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vitrine-")
-        )
-    return context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return folder
 
 
 def cut(df: DataFrame, name: str = "shared") -> DataFrame:
