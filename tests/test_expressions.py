@@ -91,11 +91,11 @@ def test_deadlines_on_boundary_days(spark):
             S.deadlines_note(F.col("status"), F.col("delivery"), F.col("ordered")).alias("note"),
         ).collect()
     }
-    flags = {n: (d.repentance_expired, d.defect_expired, d.suggested_path) for n, (d, _) in got.items() if d}
+    flags = {n: (d.arrependimento_7d_expirado, d.troca_defeito_30d_expirado, d.caminho_sugerido) for n, (d, _) in got.items() if d}
     assert flags[0] == flags[7] == (False, False, V.PATH_OPEN)
     assert flags[8] == flags[30] == (True, False, V.PATH_DEFECT)
     assert flags[31] == (True, True, V.PATH_EXPIRED)
-    assert got[0][0].repentance_until == "29/12/2025" and got[0][0].reference == "entrega estimada em 22/12/2025"
+    assert got[0][0].arrependimento_7d_ate == "29/12/2025" and got[0][0].referencia == "entrega estimada em 22/12/2025"
     assert got[100][0].ref_source == "order_date"
     assert got[101] == (None, V.NOTE_NO_DATE)
     assert got[102] == got[103] == (None, V.NOTE_NOT_DELIVERED)

@@ -59,13 +59,13 @@ def deadlines(status: Column, delivery: Column, ordered: Column, as_of: Column)
     path = F.when(as_of > defect, V.PATH_EXPIRED).when(as_of > repent, V.PATH_DEFECT).otherwise(V.PATH_OPEN)
     shown = lambda day: F.date_format(day, V.DATE_FORMAT)
     details = F.struct(
-        F.concat(F.lit(V.REFERENCE_TEXT), shown(ref)).alias("reference"),
-        shown(repent).alias("repentance_until"),
-        (as_of > repent).alias("repentance_expired"),
-        shown(defect).alias("defect_until"),
-        (as_of > defect).alias("defect_expired"),
-        path.alias("suggested_path"),
-        shown(as_of).alias("today"),
+        F.concat(F.lit(V.REFERENCE_TEXT), shown(ref)).alias("referencia"),
+        shown(repent).alias("arrependimento_7d_ate"),
+        (as_of > repent).alias("arrependimento_7d_expirado"),
+        shown(defect).alias("troca_defeito_30d_ate"),
+        (as_of > defect).alias("troca_defeito_30d_expirado"),
+        path.alias("caminho_sugerido"),
+        shown(as_of).alias("hoje"),
         F.when(delivery.isNotNull(), "estimated_delivery").otherwise("order_date").alias("ref_source"),
     )
     return F.when((status == V.DELIVERED) & ref.isNotNull(), details)

@@ -126,7 +126,7 @@ def by_keyword(requests: DataFrame, sections: DataFrame) -> DataFrame:
     """``(doc_id, key, section_no)``: sections whose folded title and body contain the keyword."""
     keys = requests.select("doc_id", "key").where((F.col("key") != "") & ~is_number(F.col("key"))).distinct()
     texts = sections.select("doc_id", "section_no", fold(F.concat_ws(" ", "section", "body")).alias("_folded"))
-    return contains_pairs(texts, ["doc_id", "section_no"], "_folded", keys, "key", scope=["doc_id"])
+    return texts.join(keys, "doc_id").where(F.contains("_folded", "key")).select("doc_id", "key", "section_no")
 
 
 def retrieve(requests: DataFrame, sections: DataFrame) -> DataFrame:

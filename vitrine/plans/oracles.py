@@ -110,12 +110,12 @@ from v_order""",
 select *, case when status = 'delivered' and ref is not null then 1 end has_due,
    case when status <> 'delivered' then {_q(V.NOTE_NOT_DELIVERED)}
         when ref is null then {_q(V.NOTE_NO_DATE)} end deadlines_note,
-   '{V.REFERENCE_TEXT}' || strftime(ref, '%d/%m/%Y') reference,
-   strftime(ref + 7, '%d/%m/%Y') repentance_until, as_of > ref + 7 repentance_expired,
-   strftime(ref + 30, '%d/%m/%Y') defect_until, as_of > ref + 30 defect_expired,
+   '{V.REFERENCE_TEXT}' || strftime(ref, '%d/%m/%Y') referencia,
+   strftime(ref + 7, '%d/%m/%Y') arrependimento_7d_ate, as_of > ref + 7 arrependimento_7d_expirado,
+   strftime(ref + 30, '%d/%m/%Y') troca_defeito_30d_ate, as_of > ref + 30 troca_defeito_30d_expirado,
    case when as_of > ref + 30 then {_q(V.PATH_EXPIRED)} when as_of > ref + 7 then {_q(V.PATH_DEFECT)}
-        else {_q(V.PATH_OPEN)} end suggested_path,
-   strftime(as_of, '%d/%m/%Y') today,
+        else {_q(V.PATH_OPEN)} end caminho_sugerido,
+   strftime(as_of, '%d/%m/%Y') hoje,
    case when estimated_delivery is not null then 'estimated_delivery' else 'order_date' end ref_source
 from v_label""",
     "v_item": "select l_orderkey order_id, l_partkey product_id, cast(l_quantity as int) quantity from lineitem",
@@ -321,9 +321,9 @@ PRODUCT_JSON = f"""case when not "full" then cast(to_json({{{BRIEF}}}) as varcha
 ORDER_JSON = """cast(to_json({order_id: o.order_id, customer_name: c.name, order_date: cast(o.order_date as varchar), status: o.status,
     total_brl: cast(o.total_brl as double), payment_method: o.label, tracking_code: o.tracking_code,
     estimated_delivery: cast(o.estimated_delivery as varchar),
-    deadlines: case when has_due = 1 then {reference: reference, repentance_until: repentance_until,
-      repentance_expired: repentance_expired, defect_until: defect_until, defect_expired: defect_expired,
-      suggested_path: suggested_path, today: today, ref_source: ref_source} end,
+    deadlines: case when has_due = 1 then {referencia: referencia, arrependimento_7d_ate: arrependimento_7d_ate,
+      arrependimento_7d_expirado: arrependimento_7d_expirado, troca_defeito_30d_ate: troca_defeito_30d_ate, troca_defeito_30d_expirado: troca_defeito_30d_expirado,
+      caminho_sugerido: caminho_sugerido, hoje: hoje, ref_source: ref_source} end,
     deadlines_note: o.deadlines_note, items: coalesce(i.items, []), notes: o.notes}) as varchar)"""
 ORDERS_JSON = f"""
 select o.order_id, o.customer_id, c.name customer_name, upper(o.tracking_code) code, {ORDER_JSON} payload
@@ -489,8 +489,8 @@ join v_active_promo p using (product)""",
         + ", ".join(
             f"case when has_due = 1 then {c} end {c}"
             for c in (
-                "reference", "repentance_until", "repentance_expired", "defect_until", "defect_expired",
-                "suggested_path", "today", "ref_source",
+                "referencia", "arrependimento_7d_ate", "arrependimento_7d_expirado", "troca_defeito_30d_ate", "troca_defeito_30d_expirado",
+                "caminho_sugerido", "hoje", "ref_source",
             )
         )
         + ", deadlines_note from v_due",
@@ -499,7 +499,7 @@ join v_active_promo p using (product)""",
     "order_lookup_batch": _sql(
         f"""select r.request_id, r.key, o.order_id, c.name customer_name, cast(o.order_date as varchar) order_date, o.status,
   cast(o.total_brl as double) total_brl, o.label payment_label, o.tracking_code,
-  case when has_due = 1 then suggested_path end suggested_path, o.deadlines_note
+  case when has_due = 1 then caminho_sugerido end caminho_sugerido, o.deadlines_note
 from (select *, case when order_id is not null then 'order_id' when coalesce(tracking_code, '') <> '' then 'tracking_code'
          when customer_id is not null then 'customer_id' end as key from (
       select o_orderkey request_id, case o_orderkey % 5 when 0 then o_orderkey when 3 then -1 - o_orderkey end order_id,

@@ -233,7 +233,7 @@ def order_lookup_batch(spark, sf_dir):
     orders = O.with_deadlines(O.orders_of(store.orders, store.customers), W.AS_OF)
     return O.lookup(W.order_requests(spark, sf_dir), orders).select(
         "request_id", "key", "order_id", "customer_name", "order_date", "status", "total_brl", "payment_label",
-        "tracking_code", "deadlines.suggested_path", "deadlines_note",
+        "tracking_code", "deadlines.caminho_sugerido", "deadlines_note",
     )
 
 

@@ -19,16 +19,16 @@ TABLES = {
     for t in (
         Table(
             "categories",
-            {"category_id": "int", "name": "string", "description": "string"},
+            {"category_id": "long", "name": "string", "description": "string"},
             key="category_id",
             required=("name",),
         ),
         Table(
             "products",
             {
-                "product_id": "int",
+                "product_id": "long",
                 "name": "string",
-                "category_id": "int",
+                "category_id": "long",
                 "price_brl": "decimal(12,2)",
                 "description": "string",
                 "stock_quantity": "int",
@@ -42,15 +42,15 @@ TABLES = {
         ),
         Table(
             "customers",
-            {"customer_id": "int", "name": "string", "phone": "string", "email": "string", "city": "string"},
+            {"customer_id": "long", "name": "string", "phone": "string", "email": "string", "city": "string"},
             key="customer_id",
             required=("name",),
         ),
         Table(
             "orders",
             {
-                "order_id": "int",
-                "customer_id": "int",
+                "order_id": "long",
+                "customer_id": "long",
                 "order_date": "date",
                 "status": "string",
                 "total_brl": "decimal(12,2)",
@@ -64,14 +64,14 @@ TABLES = {
         ),
         Table(
             "order_items",
-            {"order_id": "int", "product_id": "int", "quantity": "int"},
+            {"order_id": "long", "product_id": "long", "quantity": "int"},
             references={"order_id": ("orders", "order_id"), "product_id": ("products", "product_id")},
         ),
         Table(
             "promotions",
             {
-                "promotion_id": "int",
-                "product_id": "int",
+                "promotion_id": "long",
+                "product_id": "long",
                 "discount_percent": "decimal(5,2)",
                 "description": "string",
                 "is_active": "boolean",
