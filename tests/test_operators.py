@@ -75,7 +75,7 @@ def store(spark):
 def test_catalogue_promos(store):
     rows = {r.product_id: r for r in store.catalogue.collect()}
     assert 6 not in rows
-    assert rows[1].promo.name == "a" and rows[1].promo.promo_price_brl == money(1979.10)
+    assert rows[1].promo.name == "a" and rows[1].promo.promo_price_brl == money(1685.7)
     assert rows[4].promo is None and rows[3].promo is None
     assert rows[2].effective_price == money(343.92)
 

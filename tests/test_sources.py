@@ -53,7 +53,7 @@ def test_junk_number_raises_or_is_listed(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text("category_id,name,description\nx1,Nome,\n12.0,Outro,\n", encoding="utf-8")
     raw = files.read_csv(spark, str(path))
-    with pytest.raises(Exception, match="not a valid int"):
+    with pytest.raises(Exception, match="not a valid long"):
         files.typed(raw, TABLES["categories"]).collect()
     rows = files.typed(raw, TABLES["categories"], strict=False).collect()
     assert [(r.category_id, r.cast_errors) for r in rows] == [(None, ["category_id"])] * 2
