@@ -77,7 +77,7 @@ def test_catalogue_promos(store):
     assert 6 not in rows
     assert rows[1].promo.name == "a" and rows[1].promo.promo_price_brl == money(1685.7)
     assert rows[4].promo is None and rows[3].promo is None
-    assert rows[2].effective_price == money(343.92)
+    assert rows[2].effective_price == money(310.8)
 
 
 def test_category_counts_keep_empty_and_count_active_only(store):
