@@ -33,7 +33,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "spark-warehouse/checkpoints"
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
