@@ -326,6 +326,33 @@ def test_conversations_become_calls(spark):
     assert [(r["call_id"], r["level"], r["has_result"], r["valid"]) for r in rows] == [("call_000000", 0, True, True), ("call_000002", 1, False, True)]
 
 
+def test_a_conversation_over_many_ranges(spark):
+    roles = random.Random(4).choices(["user", "assistant", "system"], k=900)
+    turns = [(conv, n, role, f"t{n}") for conv, size in ((1, 900), (None, 5), (2, 1), (3, 40)) for n, role in enumerate(roles[:size])]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+        assert common.in_ranges(df, "conv_id", F.col("turn").asc()).filter("conv_id = 1").select("part").distinct().count() > 1
+        placed = common.positions(df, "conv_id", "position", F.col("turn").asc()).collect()
+        assert len(placed) == len(turns) and all(r.position == r.turn + 1 for r in placed)
+        calls, results, _ = toolcalls.from_turns(df)
+        calls = {(r.conv_id, r.call_id): r.needs for r in calls.collect()}
+        results = {(r.conv_id, r.call_id, r.content) for r in results.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want_calls, want_results = {}, set()
+    last: dict = {}
+    for conv, n, role, text in turns:
+        if conv is None:
+            continue
+        if role == "user":
+            want_calls[conv, f"call_{n:06d}"] = [last[conv]] if conv in last else []
+            last[conv] = f"call_{n:06d}"
+        elif role == "assistant" and conv in last:
+            want_results.add((conv, last[conv], text))
+    assert calls == want_calls and results == want_results
+
+
 def test_encoding(docs, empty):
     clash = docs.withColumn("n_tokens", F.lit("x"))
     for r in collected(bpe.encode_texts(clash, RANKS, public_tokenizers.PATTERN)):

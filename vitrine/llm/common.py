@@ -8,7 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -42,6 +42,31 @@ def remainder(doc_id: str, modulus: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
 
 
+def in_ranges(df: DataFrame, key: str, *order: Column) -> DataFrame:
+    """``df`` written in ranges of key and order, with the number of each row's range in ``part``.
+
+    A key of any size is spread over ranges whose numbers follow its order, so that no task needs all its rows."""
+    ranged = df.repartitionByRange(F.col(key), *order)
+    return cut(ranged.withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def positions(df: DataFrame, key: str, name: str, *order: Column) -> DataFrame:
+    """``df`` with the place, from 1, of each row among those of its key: its place in its range of the key, after the
+    sizes of the ranges before."""
+    ranged = in_ranges(df, key, *order)
+    before = Window.partitionBy(key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(key, "part").agg(F.count("*").alias("size"))
+    sizes = sizes.select(F.col(key).alias("_key"), F.col("part").alias("_part"), F.sum("size").over(before).alias("_ahead"))
+    here = F.row_number().over(Window.partitionBy(key, "part").orderBy(*order))
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("part") == F.col("_part"))
+    return (
+        ranged.withColumn(name, here.cast("long"))
+        .join(sizes, same)
+        .withColumn(name, F.col(name) + F.coalesce("_ahead", F.lit(0)))
+        .drop("part", "_key", "_part", "_ahead")
+    )
+
+
 def text_key(column: str):
     """128 bits that stand for a text; NULL counts as empty."""
     return F.unhex(F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary")))

@@ -7,7 +7,8 @@ Calls on a cycle, or that need an unknown call, have no level and come last.
 
 Arguments are checked against a table of fields (name, field, type, required): unknown tools, broken JSON, missing or
 unknown fields and values of the wrong type are named in ``errors``. Canonical JSON has sorted keys, no white space and
-no NULL members. Everything runs in Spark's own functions.
+no NULL members. Everything runs in Spark's own functions. Turns and calls are numbered by ranges, so that a
+conversation of any length is spread over tasks.
 
 Repeated identical calls or results count once; of different results of one call the least content is taken. Calls
 without an identifier are kept, link to nothing and come last. Empty tables give empty results.
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import cut, reach
+from vitrine.llm.common import cut, in_ranges, positions, reach
 
 #: JSON types by the first character of a value's text.
 TYPES = {"string": r'^"', "number": r"^-?[0-9]", "boolean": "^(true|false)$", "object": r"^\{", "array": r"^\["}
@@ -156,17 +157,17 @@ def linked(calls: DataFrame, results: DataFrame, fields: DataFrame) -> DataFrame
         F.lit(',"name":'), F.coalesce(quoted(F.col("name")), F.lit("null")),
         F.lit(',"result":'), F.coalesce(quoted(F.col("content")), F.lit("null")), F.lit("}"),
     )
-    order = Window.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), F.col("call_id").asc_nulls_last(), "name", "arguments")
-    return df.select(
+    order = [F.col("level").asc_nulls_last(), F.col("call_id").asc_nulls_last(), F.col("name").asc(), F.col("arguments").asc(), F.col("needs").asc()]
+    return positions(df.withColumn("message", message), "conv_id", "position", *order).select(
         "conv_id",
-        F.row_number().over(order).cast("long").alias("position"),
+        "position",
         F.col("level").cast("long").alias("level"),
         "call_id",
         "name",
         F.col("n").isNotNull().alias("has_result"),
         (F.size("errors") == 0).alias("valid"),
         F.array_join("errors", "; ").alias("errors"),
-        message.alias("message"),
+        "message",
     )
 
 
@@ -177,13 +178,14 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     spoken = turns.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).groupBy("conv_id", "turn").agg(
         F.min(F.struct("role", "text")).alias("m")
     ).select("conv_id", "turn", "m.role", "m.text")
-    order = Window.partitionBy("conv_id").orderBy("turn")
-    asked = F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True)
-    line = spoken.select(
-        "*",
-        asked.over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
-        F.lead("role").over(order).alias("next_role"),
-    )
+    user = F.when(F.col("role") == "user", F.col("turn"))
+    ranged = in_ranges(spoken, "conv_id", F.col("turn").asc())
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy("conv_id", "part").agg(F.max(user).alias("top"))
+    tops = tops.select("conv_id", "part", F.max("top").over(earlier).alias("carried"))
+    here = Window.partitionBy("conv_id", "part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    line = ranged.withColumn("before", F.max(user).over(here)).join(tops, ["conv_id", "part"])
+    line = line.withColumn("before", F.coalesce("before", "carried"))
     name_of = lambda turn: F.concat(F.lit("call_"), F.format_string("%06d", turn))
     calls = line.filter("role = 'user'").select(
         "conv_id",
