@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -19,22 +20,19 @@ LINE_BREAK = "\\r\\n|[\\n-\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
 STEM_LENGTH = 6
 
 
-# Latin letters and the combining marks they use.
-_LETTER_BLOCKS = (range(0xC0, 0x250), range(0x1E00, 0x1F00))
-_MARKS = range(0x300, 0x370)
-
-
 @lru_cache(maxsize=1)
 def _fold_table() -> tuple[str, str]:
-    """Accented lower-case letters and the base letter each decomposes to; marks have no target."""
-    source, target = [], []
-    for block in _LETTER_BLOCKS:
-        for char in map(chr, block):
+    """Lower-case letters of any script with the one letter each decomposes to; combining marks have no target."""
+    source, target, marks = [], [], []
+    for char in map(chr, range(0x80, sys.maxunicode + 1)):
+        if unicodedata.combining(char):
+            marks.append(char)
+        elif unicodedata.decomposition(char) and char == char.lower():
             base = "".join(c for c in unicodedata.normalize("NFD", char) if not unicodedata.combining(c))
-            if len(base) == 1 and base != char == char.lower():
+            if len(base) == 1 and base != char:
                 source.append(char)
                 target.append(base)
-    return "".join(source) + "".join(map(chr, _MARKS)), "".join(target)
+    return "".join(source + marks), "".join(target)
 
 
 def fold(text: Column) -> Column:
@@ -103,7 +101,7 @@ def mask_email(email: Column) -> Column:
     return F.when(at > 0, masked).otherwise(email)
 
 
-def mask_phone(phone: Column, compat: bool = True) -> Column:
+def mask_phone(phone: Column, compat: bool = False) -> Column:
     """First and last four characters stay. ``compat=False`` also hides numbers of eight or fewer."""
     size = F.length(phone)
     masked = F.concat(

@@ -41,7 +41,7 @@ def _matches(asked: DataFrame, customers: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def lookup(requests: DataFrame, customers: DataFrame, compat: bool = True) -> DataFrame:
+def lookup(requests: DataFrame, customers: DataFrame, compat: bool = False) -> DataFrame:
     """``(request_id, way, customer_id)``: all customers found by the first way that finds any.
 
     ``requests``: request_id, phone, email, name. Phone matches on contained digits, e-mail on equality,
@@ -62,7 +62,7 @@ def lookup(requests: DataFrame, customers: DataFrame, compat: bool = True) -> Da
     return chosen.join(matches, ["way", "key"]).select("request_id", "way", "customer_id")
 
 
-def masked(customers: DataFrame, compat: bool = True) -> DataFrame:
+def masked(customers: DataFrame, compat: bool = False) -> DataFrame:
     """Customers with phone and e-mail masked."""
     return customers.select(
         "customer_id",
@@ -73,7 +73,7 @@ def masked(customers: DataFrame, compat: bool = True) -> DataFrame:
     )
 
 
-def customer_orders(found: DataFrame, customers: DataFrame, orders: DataFrame, compat: bool = True) -> DataFrame:
+def customer_orders(found: DataFrame, customers: DataFrame, orders: DataFrame, compat: bool = False) -> DataFrame:
     """Found customers (masked) with each of their orders; a customer without orders keeps one row."""
     keyed = orders.select("customer_id", *[c for c in orders.columns if c not in ("customer_id", "customer_name")])
     return found.join(masked(customers, compat), "customer_id").join(keyed, "customer_id", "left")

@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import values as V
 from vitrine.functions.store import sellable
-from vitrine.functions.text import strip
+from vitrine.functions.text import strip, words_of
 from vitrine.operators.matching import spread
 
 NAME_RATIO = 0.4
-WORD_RATIO = 0.7
+WORD_RATIO = 0.6
 
 
 def _page_of_names(catalogue: DataFrame, page: int) -> DataFrame:
@@ -33,55 +29,50 @@ def _questions(missed: DataFrame) -> DataFrame:
     return spread(missed.select(F.lower(strip(F.col("query"))).alias("q")).distinct())
 
 
-def name_scorer(names: list[str], shown: int) -> Callable[[str], list[str]]:
-    """A function from a query to the first ``shown`` of the sorted ``names`` that resemble it.
-
-    A name resembles by its whole text or by one word. Everything the function needs travels inside it,
-    so workers do not need this package.
-    """
-    whole, word = NAME_RATIO, WORD_RATIO
+def letter_pairs(word: Column) -> Column:
+    """Distinct pairs of neighbouring letters, the word's ends counted as letters."""
+    padded = F.concat(F.lit("_"), word, F.lit("_"))
+    starts = F.sequence(F.lit(1), F.length(word) + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(padded, i, F.lit(2))))
 
-    def matcher(text: str) -> SequenceMatcher:
-        return SequenceMatcher(None, "", text)
 
-    targets = [(n, matcher(n.lower()), [matcher(w) for w in n.lower().split()]) for n in names]
+def _paired(words: DataFrame, word: str) -> DataFrame:
+    """One row per distinct word and letter pair, with the word's number of pairs."""
+    pairs = words.select(word).distinct().withColumn("pairs", letter_pairs(F.col(word)))
+    return pairs.select(word, F.size("pairs").alias(f"{word}_size"), F.explode("pairs").alias("pair"))
 
-    def above(m: SequenceMatcher, query: str, floor: float) -> bool:
-        # The two quick ratios are upper bounds. Argument order matters to the exact one.
-        m.set_seq1(query)
-        return m.real_quick_ratio() > floor and m.quick_ratio() > floor and m.ratio() > floor
 
-    def score(query: str) -> list[str]:
-        out: list[str] = []
-        for name, full, words in targets:
-            if above(full, query, whole) or any(above(w, query, word) for w in words):
-                out.append(name)
-                if len(out) == shown:
-                    break
-        return out
+def similar_words(asked: DataFrame, known: DataFrame, floor: float = WORD_RATIO) -> DataFrame:
+    """``(asked, known, score)`` of the words of the columns ``asked`` and ``known`` that share letter pairs.
 
-    return score
+    The score is twice the shared pairs over the pairs of both. Words whose sizes alone rule the floor out never meet.
+    """
+    a, b = F.col("asked_size"), F.col("known_size")
+    sizes = 2.0 * F.least(a, b) >= floor * (a + b)
+    met = _paired(asked, "asked").join(_paired(known, "known"), "pair").where(sizes)
+    shared = met.groupBy("asked", "asked_size", "known", "known_size").agg(F.count("*").alias("shared"))
+    return shared.select("asked", "known", (2.0 * F.col("shared") / (a + b)).alias("score")).where(F.col("score") >= floor)
 
 
 def suggest_names(
-    missed: DataFrame, catalogue: DataFrame, page: int = V.SUGGESTION_PAGE, shown: int = V.SUGGESTIONS_SHOWN
+    missed: DataFrame, catalogue: DataFrame, floor: float = WORD_RATIO, shown: int = V.SUGGESTIONS_SHOWN
 ) -> DataFrame:
-    """``(request_id, suggestions)``: up to five similar names, in alphabetical order.
+    """``(request_id, suggestions, score)``: up to ``shown`` names that have a word like one of the query's, in
+    alphabetical order, and the best score among them.
 
-    The catalogue side is the page of cheapest products the search service offers (at most ``page``
-    names), so it travels to the workers with the function. Each distinct query is scored once and
-    stops at its fifth name.
+    All sellable names count. A list of first names only needs the first names of each word, so a word that is in
+    very many names costs no more than one that is in few.
     """
-    names = sorted(r["name"] for r in _page_of_names(catalogue, page).collect())
-
-    scorer = name_scorer(names, shown)
-
-    @F.pandas_udf("array<string>")
-    def score(queries: pd.Series) -> pd.Series:
-        return queries.map(scorer)
-
-    scored = _questions(missed).withColumn("names", score("q")).where(F.size("names") > 0)
-    return _per_request(missed, scored)
+    names = catalogue.where(sellable(F.col("status"))).select("name").distinct()
+    worded = names.select("name", F.explode(words_of(F.col("name"), 1)).alias("known"))
+    first = worded.withColumn("_n", F.row_number().over(Window.partitionBy("known").orderBy("name")))
+    first = first.where(F.col("_n") <= shown).drop("_n")
+    asked = _questions(missed).select("q", F.explode(words_of(F.col("q"), 1)).alias("asked"))
+    hits = asked.join(similar_words(asked, worded, floor), "asked").join(first, "known")
+    scored = hits.groupBy("q", "name").agg(F.max("score").alias("score"))
+    page = scored.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy("name"))).where(F.col("_n") <= shown)
+    found = page.groupBy("q").agg(F.sort_array(F.collect_list("name")).alias("names"), F.max("score").alias("score"))
+    return _per_request(missed, found, "score")
 
 
 def suggest_names_lev(
@@ -106,9 +97,9 @@ def suggest_names_lev(
     return _per_request(missed, scored)
 
 
-def _per_request(missed: DataFrame, scored: DataFrame) -> DataFrame:
+def _per_request(missed: DataFrame, scored: DataFrame, *more: str) -> DataFrame:
     return (
         missed.select("request_id", F.lower(strip(F.col("query"))).alias("q"))
         .join(scored, "q")
-        .select("request_id", F.array_join("names", ", ").alias("suggestions"))
+        .select("request_id", F.array_join("names", ", ").alias("suggestions"), *more)
     )

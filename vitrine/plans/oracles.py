@@ -32,6 +32,10 @@ def _terms(c: str) -> str:
     return _tokens(c)
 
 
+def _pairs(c: str) -> str:
+    return f"list_distinct(list_transform(range(1, length({c}) + 2), lambda i: substr('_' || {c} || '_', i, 2)))"
+
+
 CODE = "translate(lpad(cast(c_custkey as varchar), 9, '0'), '0123456789', 'aeioubcdfg')"
 PHONE = (
     "'(67) 9' || lpad(cast((c_custkey // 10000) % 10000 as varchar), 4, '0') || '-'"
@@ -460,6 +464,21 @@ join (select term, product from (select distinct unnest({_words("coalesce(query,
 join v_active_promo p using (product)""",
         "v_product", "v_promo", "v_active_promo", "v_search",
     ),
+    "suggest_names": _sql(
+        f"""select * from (with asked as (select distinct q, unnest({_words('q', 1)}) w from v_missed),
+known as (select distinct name, unnest({_words('name', 1)}) w from v_catalogue where status in ('active', 'coming_soon')),
+asked_pair as (select w, p, len(ps) n from (select w, {_pairs('w')} ps from (select distinct w from asked)), unnest(ps) t(p)),
+known_pair as (select w, p, len(ps) n from (select w, {_pairs('w')} ps from (select distinct w from known)), unnest(ps) t(p)),
+alike as (select a, k, cast(2.0 as double) * shared / (an + kn) score from (
+  select a.w a, k.w k, a.n an, k.n kn, count(*) shared from asked_pair a join known_pair k using (p) group by all)
+  where cast(2.0 as double) * shared / (an + kn) >= 0.6),
+scored as (select q, name, cast(max(score) as double) score from asked join alike on a = asked.w join known on k = known.w
+  group by q, name),
+page as (select * from scored qualify row_number() over (partition by q order by name) <= {V.SUGGESTIONS_SHOWN})
+select request_id, suggestions, score from v_missed join (
+  select q, array_to_string(list_sort(list(name)), ', ') suggestions, max(score) score from page group by q) using (q))""",
+        *SEARCH, "v_missed",
+    ),
     "suggest_names_lev": _sql(
         f"""select request_id, array_to_string(list_sort(list(name))[1:5], ', ') suggestions from (
   select m.request_id, n.name from v_missed m, (
@@ -477,6 +496,12 @@ join v_active_promo p using (product)""",
         *SEARCH[:-1],
     ),
     "customers_masked": _sql(f"select customer_id, {MASK} from v_customer", "v_customer"),
+    "customers_masked_whole": _sql(
+        f"""select customer_id, name, city, case when length(phone) between 1 and 8 then repeat('*', length(phone)) else masked end phone, email
+from (select customer_id, phone, {MASK.replace("end phone", "end masked", 1)} from (
+  select * replace (case when customer_id % 4 = 0 then right(phone, 8) else phone end as phone) from v_customer))""",
+        "v_customer",
+    ),
     "customer_lookup_cascade": _sql(CASCADE, "v_customer", "v_lookup"),
     "customer_orders": _sql(
         f"""select request_id, customer_id, {MASK}, order_id, cast(order_date as varchar) order_date, status,

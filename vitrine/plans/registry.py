@@ -196,19 +196,26 @@ def product_first_match(spark, sf_dir):
 
 @query
 def customers_masked(spark, sf_dir):
-    return K.masked(W.customers(spark, sf_dir))
+    return K.masked(W.customers(spark, sf_dir), compat=True)
+
+
+@query
+def customers_masked_whole(spark, sf_dir):
+    """Short phones are hidden whole; every fourth customer has one."""
+    short = F.when(F.col("customer_id") % 4 == 0, F.right("phone", F.lit(8))).otherwise(F.col("phone"))
+    return K.masked(W.customers(spark, sf_dir).withColumn("phone", short))
 
 
 @query
 def customer_lookup_cascade(spark, sf_dir):
-    return K.lookup(W.customer_requests(spark, sf_dir), W.customers(spark, sf_dir))
+    return K.lookup(W.customer_requests(spark, sf_dir), W.customers(spark, sf_dir), compat=True)
 
 
 @query
 def customer_orders(spark, sf_dir):
     store = W.store(spark, sf_dir)
-    found = K.lookup(W.customer_requests(spark, sf_dir), store.customers)
-    return K.customer_orders(found, store.customers, store.orders).select(
+    found = K.lookup(W.customer_requests(spark, sf_dir), store.customers, compat=True)
+    return K.customer_orders(found, store.customers, store.orders, compat=True).select(
         "request_id", "customer_id", "name", "city", "phone", "email", "order_id", "order_date", "status", "total_brl"
     )
 
