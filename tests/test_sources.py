@@ -46,6 +46,17 @@ def test_load_all_and_open(spark, feeds, tmp_path):
     assert b.description is None and b.specs_raw is None and b.created_at is None
     assert str(store.orders.first().estimated_delivery) == "2024-03-18"
     assert [r.is_active for r in store.promotions.orderBy("promotion_id").collect()] == [True, False]
+    broken = tmp_path / "broken.csv"
+    broken.write_text("promotion_id,product_id,discount_percent,description,is_active\nx,10,5,p,1\n", encoding="utf-8")
+    empty = tmp_path / "empty.csv"
+    empty.write_text("category_id,name,description\n", encoding="utf-8")
+    with pytest.raises(Exception, match="not a valid long"):
+        files.load_all(spark, {"categories": str(empty), "promotions": str(broken)}, target)
+    again = Store.open(spark, target)
+    assert (again.categories.count(), again.promotions.count()) == (2, 2)
+    files.load_all(spark, {"categories": str(empty)}, target)
+    again = Store.open(spark, target)
+    assert (again.categories.count(), again.promotions.count()) == (0, 2)
     assert store.order_items.first().asDict() == {"order_id": 1, "product_id": 10, "quantity": 2}
 
 

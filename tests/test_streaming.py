@@ -24,6 +24,18 @@ def test_ingest_drops_replays_across_restarts(spark, tmp_path):
     assert got == [("a", i) for i in range(5)] + [("b", 1)]
 
 
+def test_ingest_keeps_late_messages_and_drops_late_replays(spark, tmp_path):
+    source, log, check = (str(tmp_path / n) for n in ("in", "log", "check"))
+    day = dt.timedelta(days=1)
+    old = [("a", i, "user", f"m{i}", at(i)) for i in range(4)]
+    late = [("c", 1, "user", "late", at(0) - 40 * day), *old[:2], ("a", None, "user", "none", None)]
+    for part in (old, [("b", 1, "user", "x", at(9) + 30 * day)], late, late):
+        write(spark, source, part)
+        T.ingest(spark.readStream.schema(T.MESSAGE).parquet(source), log, check).awaitTermination()
+    got = sorted((r.session_id, r.message_id or 0, r.content) for r in spark.read.parquet(log).collect())
+    assert got == [("a", 0, "m0"), ("a", 0, "none"), ("a", 1, "m1"), ("a", 2, "m2"), ("a", 3, "m3"), ("b", 1, "x"), ("c", 1, "late")]
+
+
 def test_running_history_equals_batch(spark, tmp_path):
     source, check = str(tmp_path / "in"), str(tmp_path / "check")
     rows = [("a", i, "user", f"m{i}", at(i)) for i in range(9)] + [("b", i, "user", f"n{i}", at(i)) for i in range(4)]

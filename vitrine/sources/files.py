@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from vitrine.functions.store import iso_date
 from vitrine.functions.text import blank_to_null
 from vitrine.sources.schemas import SOURCE_NAMES, TABLES, Table
 
+#: The loads of each table, in order of ``loaded``.
+CURRENT = "table string, version string, loaded long"
+
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """CSV with a header, all cells as text, bound by name: trimmed, blank cells NULL.
@@ -68,17 +74,27 @@ def load_all(
 ) -> DataFrame:
     """Replace every table under ``target`` from its CSV feed; returns ``(table, rows)``.
 
-    Each table is written in one pass; the counts come from the write itself.
+    Each table is written in one pass to a new folder; the counts come from the write itself. The list of current
+    folders is extended in one commit when all are written, so a feed that fails leaves every table as it was.
     """
-    counts = []
+    version, counts = uuid.uuid4().hex, []
     for name, path in feeds.items():
         seen = Observation(f"load_{name}")
         rows = typed(read_csv(spark, path, multi_line), TABLES[name], strict)
-        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(f"{target}/{name}")
+        rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{target}/{version}/{name}")
         counts.append((name, int(seen.get["rows"])))
+    current = [(name, version, time.time_ns()) for name in feeds]
+    spark.createDataFrame(current, CURRENT).coalesce(1).write.mode("append").parquet(f"{target}/current")
     return spark.createDataFrame(counts, "table string, rows long")
 
 
+def current_folders(spark: SparkSession, target: str) -> dict[str, str]:
+    """The folder of each table's last complete load: one row per table."""
+    loads = spark.read.schema(CURRENT).parquet(f"{target}/current")
+    last = loads.groupBy("table").agg(F.max_by("version", "loaded").alias("version"))
+    return {r.table: f"{target}/{r.version}/{r.table}" for r in last.collect()}
+
+
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """``(table, rows)`` for a set of tables."""
     out = None

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators.catalogue import active_promotions, build_catalogue, listing
+from vitrine.sources.files import current_folders
 from vitrine.sources.schemas import SPECS_TYPE, TABLES
 
 
@@ -23,7 +24,8 @@ class Store:
     @classmethod
     def open(cls, spark: SparkSession, base: str) -> Store:
         """Tables written by ``files.load_all``."""
-        return cls(**{name: spark.read.parquet(f"{base}/{name}") for name in TABLES})
+        folders = current_folders(spark, base)
+        return cls(**{name: spark.read.parquet(folders[name]) for name in TABLES})
 
     @property
     def listing(self) -> DataFrame:

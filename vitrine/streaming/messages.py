@@ -17,13 +17,26 @@ HISTORY = "session_id string, message_id long, role string, content string"
 RESET = "reset"
 
 
-def ingest(messages: DataFrame, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """Append a message stream to the log, dropping messages seen again within ``delay``."""
+def ingest(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a message stream to the log, one folder per day, without the messages that the log already holds.
+
+    A message is known by session, number and day of creation, however late it comes: late new messages are kept, late
+    replays are not. Only the log's days that a batch touches are read. A repeated batch adds nothing.
+    """
+    logged = f"{MESSAGE}, day date"
+    key = ["session_id", "message_id", "day"]
+    messages.sparkSession.createDataFrame([], logged).write.mode("append").partitionBy("day").parquet(path)
+
+    def append(batch: DataFrame, _: int) -> None:
+        new = batch.withColumn("day", F.to_date("created_at")).dropDuplicates(key)
+        days = new.select(F.col("day").alias("_day")).distinct()
+        log = batch.sparkSession.read.schema(logged).parquet(path)
+        seen = log.join(days, F.col("day").eqNullSafe(F.col("_day")), "left_semi").select(*[F.col(k).alias(f"_{k}") for k in key])
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+        new.join(seen, same, "left_anti").write.mode("append").partitionBy("day").parquet(path)
+
     return (
-        messages.withWatermark("created_at", delay)
-        .dropDuplicatesWithinWatermark(["session_id", "message_id"])
-        .writeStream.format("parquet")
-        .option("path", path)
+        messages.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
