@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from vitrine.operators import chatlog as M
 from vitrine.sources import files, sinks
 from vitrine.sources.schemas import TABLES
-from vitrine.sources.store import Store
+from vitrine.sources.store import Store, parsed_specs
 
 FEEDS = {
     "categories": 'category_id,name,description\n1, Violões ,"aço, nylon"\n2,Sopro,\n',
@@ -60,6 +60,14 @@ def test_load_all_and_open(spark, feeds, tmp_path):
     assert store.order_items.first().asDict() == {"order_id": 1, "product_id": 10, "quantity": 2}
 
 
+def test_specs_keep_types_and_refuse_other_text(spark):
+    cases = ['{"a": 6, "b": {"c": [1, true]}}', '{"a":"x"} junk', "{'a':'x'}", "[1,2]", "12", "1,2", "madeira", "", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, raw string")
+    rows = df.select("i", F.to_json(F.struct(parsed_specs(F.col("raw")).alias("v"))).alias("v")).orderBy("i").collect()
+    kept = {0: {"a": 6, "b": {"c": [1, True]}}, 3: [1, 2], 4: 12}
+    assert [json.loads(r.v).get("v") for r in rows] == [kept.get(i) for i in range(len(cases))]
+
+
 def test_junk_number_raises_or_is_listed(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text("category_id,name,description\nx1,Nome,\n12.0,Outro,\n", encoding="utf-8")

@@ -398,7 +398,7 @@ def json_props(spark, sf_dir):
     raw = F.when(F.col("event_type") == "error", F.substr("props", F.lit(2))).otherwise(F.col("props"))
     parsed = parsed_specs(F.col("raw"))
     return events.withColumn("raw", raw).select(
-        "event_id", parsed["k"].alias("k"), F.when(parsed.isNull(), F.col("raw")).alias("unparsed")
+        "event_id", F.try_variant_get(parsed, "$.k", "string").alias("k"), F.when(parsed.isNull(), F.col("raw")).alias("unparsed")
     )
 
 

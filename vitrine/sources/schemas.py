@@ -85,4 +85,3 @@ TABLES = {
 
 # Source columns whose name differs from the table's.
 SOURCE_NAMES = {"specs_raw": "specs"}
-SPECS_TYPE = "map<string,string>"

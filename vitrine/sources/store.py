@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrine.operators.catalogue import active_promotions, build_catalogue, listing
 from vitrine.sources.files import current_folders
-from vitrine.sources.schemas import SPECS_TYPE, TABLES
+from vitrine.sources.schemas import TABLES
 
 
 @dataclass(frozen=True)
@@ -41,5 +41,7 @@ class Store:
 
 
 def parsed_specs(raw: Column) -> Column:
-    """Flat JSON specs as a map; text that is not JSON gives NULL and stays readable in the raw column."""
-    return F.from_json(raw, SPECS_TYPE)
+    """Specs that are one JSON value, types and nesting kept; any other text gives NULL and stays readable in the raw
+    column. The parser stops at the end of a value, so the text must also be one element of an array."""
+    single = F.json_array_length(F.concat(F.lit("["), raw, F.lit("]"))) == 1
+    return F.when(single, F.try_parse_json(raw))
