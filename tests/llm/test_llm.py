@@ -285,12 +285,14 @@ def test_tool_calls(spark):
         (2, "q", "sum", "no json", ["p"]),
         (2, None, "sum", None, None),
         (2, "r", "sum", '{"x":1}', ["nowhere"]),
+        (3, "j", "sum", '{"x":1,"y":2} junk', []),
     ]
     calls = spark.createDataFrame(calls, "conv_id bigint, call_id string, name string, arguments string, needs array<string>")
     results = spark.createDataFrame([(1, "a", 'say "x"\n'), (1, "a", "z"), (9, "a", "other")], "conv_id bigint, call_id string, content string")
     fields = spark.createDataFrame([("sum", "x", "number", True), ("sum", "y", "number", True)], "name string, field string, type string, required boolean")
     rows = {(r["conv_id"], r["call_id"]): r for r in collected(toolcalls.linked(calls, results, fields))}
-    assert len(rows) == 7
+    assert len(rows) == 8
+    assert rows[3, "j"]["errors"] == "arguments are no JSON object"
     assert [(rows[1, c]["level"], rows[1, c]["position"]) for c in "abc"] == [(0, 1), (1, 2), (2, 3)]
     assert rows[1, "b"]["valid"] and rows[1, "b"]["message"] == '{"arguments":{"x":1,"y":2},"id":"b","name":"sum","result":null}'
     assert rows[1, "a"]["errors"] == "y is no number; unknown z" and rows[1, "a"]["has_result"]

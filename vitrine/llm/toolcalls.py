@@ -115,7 +115,10 @@ def members(value: Column) -> Column:
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False))
+    """Whether the text is one JSON object and nothing after it: the parser stops at the end of a value, so the text must
+    also be one element of an array."""
+    single = F.json_array_length(F.concat(F.lit("["), value, F.lit("]"))) == 1
+    return F.coalesce(single & F.schema_of_variant(F.try_parse_json(value)).startswith("OBJECT"), F.lit(False))
 
 
 def member(pairs: Column, key: Column) -> Column:
