@@ -196,6 +196,30 @@ def test_near_duplicates(docs, empty):
     assert minhash.classed(empty).count() == 0 and minhash.representatives(empty).count() == 0
 
 
+def test_near_duplicates_in_a_crowd_that_shares_a_passage(spark):
+    common.reach(spark)
+    rng = random.Random(6)
+    passage = [f"common{i}" for i in range(240)]
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(120)]
+    texts = [" ".join(passage + o) for o in own]
+    for o in own[:20]:  # near: 40 of 320 words differ, none of them in the shared passage
+        changed = set(rng.sample(range(80), 40))
+        texts.append(" ".join(passage + [f"x{rng.randrange(10**6)}" if i in changed else w for i, w in enumerate(o)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: (r["class_id"], r["class_rows"]) for r in collected(minhash.classed(df))}
+    assert found == {i: (i - 120 if i >= 120 else i, 2 if i < 20 or i >= 120 else 1) for i in range(140)}
+
+
+def test_blocks_of_a_bucket_meet(spark, monkeypatch):
+    import numpy as np
+
+    size, root = np.array([10, 10, 10, 12, 20]), np.array([0, 1, 1, 2, 3])
+    bags = np.zeros((5, minhash.BAG), np.int16)
+    near = lambda own, across: {(x, k) for x, y in minhash.possible(size, bags, root, own, across) for k in y.tolist()}
+    assert near(np.zeros(5), False) == {(0, 1), (0, 2), (0, 3), (1, 3), (2, 3)}
+    assert near(np.array([0, 0, 1, 0, 1]), True) == {(0, 2), (2, 3)}
+
+
 def test_templates(spark):
     pages = [(i, f"http://H.example/{i}", f"<div>All pages say this</div><p>own {i}</p>", "clash", i) for i in range(10)]
     pages += [(90, None, None, "c", 1), (90, "no url", "<p>x</p>", "c", 1)]

@@ -5,9 +5,15 @@ Texts are sequences of words (runs of letters, digits and non-ASCII characters,
 shingles that are least under its own random order and writes them in the order of the text, so that texts agree where
 they have the same shingles in the same order, which follows edit similarity rather than set overlap.
 
-Texts with a sketch in common are candidates: each against the least text of the bucket, never all pairs. A candidate
-pair is a link if its edit distance in words, found in a band around the diagonal, is at most (1 - SIMILARITY) times the
-longer text. Linked texts form classes.
+Texts with a sketch in common are candidates. A candidate pair is a link if its edit distance in words, found in a band
+around the diagonal, is at most (1 - SIMILARITY) times the longer text. Linked texts form classes.
+
+Candidates meet in two rounds. First each text of a bucket meets the least one, which joins most of a class by few pairs.
+Then, in buckets that still hold several classes, all pairs of different classes meet: lengths and counts of hashed words
+rule out, inside a task and without an error, nearly all pairs that are too far apart; only the others are written and
+aligned. So two texts that share a bucket are in one class if they are near, whatever leads their buckets. The tests of
+lengths and counts, not the rows written, grow with the square of the texts that share a passage but are no near-duplicates;
+they are dealt out in pairs of blocks of some ``BLOCK`` texts.
 
 Equal texts are one node throughout, whatever their number. Texts without a word are near-duplicates only of equal
 texts, NULL counts as empty; texts under ``SHINGLE`` words have one shingle, the whole text. Rows with equal or NULL ids
@@ -28,6 +34,8 @@ from vitrine.llm.common import blobs, classes, cut, edit_distance, mix, text_key
 SHINGLE, PICK, SIMILARITY = 5, 2, 0.8
 #: Sketches per text. At 10 % edited words two texts agree in a sketch with some 17 %, in one of 64 with nearly all; at 15 % with 99 %, at 20 % with 92 %.
 SKETCHES = 64
+#: Texts of a bucket that one task holds of either side, and word counts per text.
+BLOCK, BAG = 1024, 512
 _rng = np.random.default_rng(20)
 _turn = _rng.integers(1, 1 << 63, (SKETCHES, 1), dtype=np.uint64) | np.uint64(1)
 _salt = _rng.integers(1, 1 << 63, (SKETCHES, 1), dtype=np.uint64)
@@ -65,25 +73,104 @@ def sketches(h: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def links(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(a, b, distance): verified links between different texts, named by ``text_key``."""
+def bag(h: np.ndarray) -> bytes:
+    """How many words fall on each of ``BAG`` values, at most 255."""
+    return np.minimum(np.bincount((mix(h) % np.uint64(BAG)).astype(np.int64), minlength=BAG), 255).astype(np.uint8).tobytes()
+
+
+def possible(size: np.ndarray, bags: np.ndarray, root: np.ndarray, own: np.ndarray, across: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Places, in order of size, and for each the later places of other classes (``across``: and other blocks) that lengths
+    and word counts allow to be near. ``d`` edits change the counts by at most 2 d less the difference of the lengths."""
+    most = ((1 - SIMILARITY) * size + 1e-9).astype(np.int64)
+    ends = np.searchsorted(size - most, size, "right")
+    for x in range(len(size) - 1):
+        others = root[x + 1 : ends[x]] != root[x]
+        if across:
+            others &= own[x + 1 : ends[x]] != own[x]
+        y = np.flatnonzero(others) + x + 1
+        if len(y):
+            apart = np.abs(bags[y] - bags[x]).sum(axis=1, dtype=np.int64)
+            y = y[apart <= 2 * most[y] - (size[y] - size[x])]
+            if len(y):
+                yield x, y
+
+
+def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): the pairs of ``possible`` of each bucket and pair of blocks; rows come sorted by these and by size."""
+    held: list[pa.RecordBatch] = []
+    group: tuple | None = None
+
+    def passed() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        keys = rows.column("key").to_pylist()
+        size = rows.column("size").to_numpy()
+        bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), dtype=np.uint8).reshape(-1, BAG).astype(np.int16)
+        root = np.unique(np.array(rows.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+        a, b = [], []
+        for x, y in possible(size, bags, root, rows.column("own").to_numpy(), group[1] != group[2]):
+            for k in y.tolist():
+                a.append(min(keys[x], keys[k]))
+                b.append(max(keys[x], keys[k]))
+            if len(a) > 100_000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")])
+        starts = [0, *(np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(starts, starts[1:]):
+            here = tuple(place[:, start].tolist())
+            if here != group and held:
+                yield from passed()
+                held.clear()
+            group = here
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield from passed()
+
+
+def merged(nodes: DataFrame, second: DataFrame) -> DataFrame:
+    """(node, root): the classes ``nodes`` joined by further links, which connect roots in place of all members."""
+    for end in ("a", "b"):
+        root = nodes.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}"))
+        second = second.join(root, end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
+    second = cut(second.select("root_a", "root_b"), "second")
+    tops = classes(second, "root_a", "root_b").select(F.col("node").alias("top"), F.col("root").alias("to"))
+    ends = second.select(F.col("root_a").alias("node")).union(second.select("root_b"))
+    every = nodes.union(ends.select("node", "node")).groupBy("node").agg(F.min("root").alias("root"))
+    return every.join(tops, every.root == tops.top, "left").select("node", F.coalesce("to", "root").alias("root"))
+
+
+def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(a, b, distance): verified links between different texts, named by ``text_key``; and (node, root): the classes of
+    linked texts, as ``classes`` gives them."""
     keyed = docs.select(text_key(text).alias("key"), F.col(text).alias("t")).filter(F.col("t").isNotNull())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], []
+            at, out, sizes, bags = [], [], [], []
             for first, h, bounds in word_chunks(blobs(batch, "t")):
                 for i in range(len(bounds) - 1):
                     if bounds[i + 1] > bounds[i]:
                         at.append(first + i)
                         out.append(sketches(h[bounds[i] : bounds[i + 1]]))
+                        sizes.append(int(bounds[i + 1] - bounds[i]))
+                        bags.append(bag(h[bounds[i] : bounds[i + 1]]))
             if at:
                 flat = pa.array(np.concatenate(out))
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, SKETCHES, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(at)), rows], names=["key", "sketches"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("key").take(pa.array(at)), rows, pa.array(sizes, pa.int64()), pa.array(bags, pa.binary())],
+                    names=["key", "sketches", "size", "bag"],
+                )
 
     sketched = cut(
-        keyed.mapInArrow(sketch, "key binary, sketches array<bigint>").groupBy("key").agg(F.first("sketches").alias("sketches")),
+        keyed.mapInArrow(sketch, "key binary, sketches array<bigint>, size bigint, bag binary")
+        .groupBy("key")
+        .agg(*(F.first(c).alias(c) for c in ("sketches", "size", "bag"))),
         "sketches",
     )
     rows = sketched.select("key", F.explode("sketches").alias("bucket"))
@@ -92,11 +179,6 @@ def links(docs: DataFrame, text: str = "text") -> DataFrame:
     pairs = cut(
         rows.join(shared, "bucket").filter("a <> key").select("a", F.col("key").alias("b")).distinct(), "pairs"
     )
-    involved = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    texts = cut(
-        keyed.join(involved, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t")), "texts"
-    )
-
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right, keep, far = blobs(batch, "s"), blobs(batch, "t"), [], []
@@ -116,20 +198,40 @@ def links(docs: DataFrame, text: str = "text") -> DataFrame:
                 names=["a", "b", "distance"],
             )
 
-    near = pairs.join(texts.withColumnsRenamed({"key": "b"}), "b").join(
-        texts.withColumnsRenamed({"key": "a", "t": "s"}), "a"
+    def verified(pairs: DataFrame) -> DataFrame:
+        involved = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+        texts = cut(
+            keyed.join(involved, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t")), "texts"
+        )
+        near = pairs.join(texts.withColumnsRenamed({"key": "b"}), "b").join(
+            texts.withColumnsRenamed({"key": "a", "t": "s"}), "a"
+        )
+        return cut(near.select("a", "b", "s", "t").mapInArrow(verify, "a binary, b binary, distance bigint"), "links")
+
+    first = verified(pairs)
+    nodes = classes(first)
+    rooted = rows.join(nodes.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = cut(rooted.join(buckets.filter("least <> most"), "bucket").filter("key <> least").select("bucket", "key", "root"), "rooted")
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
+    mixed = mixed.filter("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("own")
+    members = rooted.join(mixed, "bucket").select("bucket", "key", "root", "blocks", own)
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    members = members.join(sketched.select("key", "size", "bag"), "key").select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "size", "bag"
     )
-    return near.select("a", "b", "s", "t").mapInArrow(verify, "a binary, b binary, distance bigint")
+    ordered = members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "size")
+    second = verified(cut(ordered.mapInArrow(meet, "a binary, b binary").distinct(), "pairs"))
+    return first.union(second), cut(merged(nodes, second), "nodes")
 
 
 def classed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, class_rows, links): one row per row of ``docs``; ``links`` counts the verified links between
     its text and other texts."""
-    found = cut(links(docs, text), "links")
+    found, nodes = links(docs, text)
     degree = (
         found.select(F.col("a").alias("key")).union(found.select("b")).groupBy("key").agg(F.count("*").alias("links"))
     )
-    nodes = classes(found)
     ids = docs.select(F.col(doc_id).alias("doc_id"), text_key(text).alias("key"))
     per_text = ids.groupBy("key").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
     placed = per_text.join(nodes.withColumnsRenamed({"node": "key"}), "key", "left").join(degree, "key", "left")
@@ -146,7 +248,7 @@ def classed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row of ``docs`` per class, with all its columns: the least id, and of equal ids the least text."""
-    nodes = classes(cut(links(docs, text), "links"))
+    _, nodes = links(docs, text)
     key = "_omh_key"
     keyed = docs.withColumn(key, text_key(text))
     per_text = keyed.groupBy(key).agg(F.min(doc_id).alias("_omh_low"))
