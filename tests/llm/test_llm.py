@@ -230,6 +230,19 @@ def test_templates(spark):
     assert templates.extract(df.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    common.reach(spark)
+    own = lambda i: f"<div>All pages say this</div><article><p>own text {i}</p></article>"
+    pages = [(i, f"http://h.example/{i}", own(i)) for i in range(12)]
+    pages += [(100 + i, f"http://h.example/copy{i}", f"<p>at {i}</p><article><p>one article</p></article>") for i in range(12)]
+    pages += [(200 + i, "http://i.example/", "<div><p>the same page</p></div>") for i in range(9)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r["text"] for r in collected(templates.extract(df))}
+    assert found == {i: f"own text {i}" if i < 100 else "one article" if i < 200 else "the same page" for i, _, _ in pages}
+    page = templates.parse("<div><article><p>only</p></article></div>")
+    assert templates.blocks(page, frozenset(templates.digest(page))) == ["only"]
+
+
 def test_brown_scores(docs, empty):
     import math
 

@@ -1,8 +1,10 @@
 """Main text of web pages: what a site repeats across its pages, and what its elements name as furniture, is deleted.
 
 A page is read once into its element tree. Every element gets a hash of its whole subtree (names, classes, text). Spark
-counts, per host, on how many pages each subtree occurs; one that occurs on at least ``LEAST_PAGES`` pages and at least
-``SHARE`` of the host's pages is a template and is deleted wherever it occurs on that host. Deleted too are menus,
+counts, per host, on how many different pages each subtree occurs; one that occurs on at least ``LEAST_PAGES`` of them and
+at least ``SHARE`` of the host's is a template and is deleted wherever it occurs on that host. Pages of a host are copies,
+and count once, if they have the same text without what elements name as furniture. If templates would leave a page
+without any of its ``article`` and ``main`` elements, all of these stay. Deleted too are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by element name, role,
 class or id. If what is left holds an ``article`` or ``main`` element, the text is taken from there.
 
@@ -10,7 +12,7 @@ Text is one line per block element: character references decoded, white space fo
 Broken markup is read as browsers do as far as it matters here: unknown or unclosed elements end with their parent, a
 ``p`` or ``li`` ends at the next one, a cut-off tag at the end is dropped, stray ``<`` are text.
 
-NULL and empty pages give an empty text. Pages without a host share the empty host. Repeated rows count as pages each.
+NULL and empty pages give an empty text. Pages without a host share the empty host.
 """
 
 from __future__ import annotations
@@ -58,12 +60,12 @@ CLOSE_RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 
 
 class Element:
-    __slots__ = ("name", "marks", "children", "furniture", "digest")
+    __slots__ = ("name", "marks", "children", "furniture", "digest", "words")
 
     def __init__(self, name: str, marks: str, furniture: bool):
         self.name, self.marks, self.furniture = name, marks, furniture
         self.children: list = []
-        self.digest = 0
+        self.digest = self.words = 0
 
 
 def named_furniture(name: str, attributes: str) -> tuple[str, bool]:
@@ -144,7 +146,7 @@ def parse(page: str) -> Element:
 
 
 def digest(root: Element) -> list[int]:
-    """Sets the subtree hash of every element below ``root``, children first, and lists them."""
+    """Sets the subtree hash and words of every element below ``root``, children first, and lists the hashes."""
     out, todo = [], [(root, False)]
     while todo:
         element, ready = todo.pop()
@@ -154,6 +156,7 @@ def digest(root: Element) -> list[int]:
             continue
         h = hashlib.blake2b(f"{element.name}\x00{element.marks}\x00".encode(), digest_size=8)
         for child in element.children:
+            element.words += len(child.split()) if isinstance(child, str) else child.words
             h.update(" ".join(child.split()).encode("utf-8", "surrogatepass") if isinstance(child, str) else child.digest.to_bytes(8, "big", signed=True))
             h.update(b"\x00")
         element.digest = int.from_bytes(h.digest(), "big", signed=True)
@@ -162,8 +165,7 @@ def digest(root: Element) -> list[int]:
     return out
 
 
-def blocks(root: Element, template: frozenset[int]) -> list[str]:
-    """The text lines below ``root``, from its main elements if any survive."""
+def main_elements(root: Element, template: frozenset[int]) -> list[Element]:
     mains, todo = [], [root]
     while todo:
         element = todo.pop()
@@ -173,6 +175,14 @@ def blocks(root: Element, template: frozenset[int]) -> list[str]:
             mains.append(element)
             continue
         todo += [c for c in reversed(element.children) if not isinstance(c, str)]
+    return mains
+
+
+def blocks(root: Element, template: frozenset[int]) -> list[str]:
+    """The text lines below ``root``, from its main elements if any survive."""
+    mains = main_elements(root, template)
+    if not mains and (mains := main_elements(root, frozenset())):
+        template = frozenset()
     lines: list[str] = []
     parts: list[str] = []
 
@@ -190,7 +200,7 @@ def blocks(root: Element, template: frozenset[int]) -> list[str]:
                 end_line()
             elif isinstance(node, str):
                 parts.append(node)
-            elif node.furniture or node.digest in template or node.name in SKIP:
+            elif node.furniture or node.name in SKIP or node.digest in template:
                 continue
             else:
                 if node.name == "br":
@@ -221,17 +231,27 @@ def templates(pages: DataFrame, url: str = "url", html_column: str = "html") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, trees = [], []
+            hosts, texts, pages, trees = [], [], [], []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("page").to_pylist()):
-                own = set(digest(parse(page))) if page else set()
+                root = parse(page or "")
+                own = set(digest(root))
                 own.add(0)  # counts the page itself
-                hosts += [host] * len(own)
-                trees += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(trees, pa.int64())], names=["host", "tree"])
+                text = "\n".join(blocks(root, frozenset())) or page or ""
+                hosts.append(host)
+                texts.append(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                pages.append(hashlib.blake2b((page or "").encode("utf-8", "surrogatepass"), digest_size=16).digest())
+                trees.append(sorted(own))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hosts, pa.string()), pa.array(texts, pa.binary()), pa.array(pages, pa.binary()), pa.array(trees, pa.list_(pa.int64()))],
+                names=["host", "text", "page", "trees"],
+            )
 
     seen = (
         pages.select(host_of(url).alias("host"), F.col(html_column).alias("page"))
-        .mapInArrow(run, "host string, tree bigint")
+        .mapInArrow(run, "host string, text binary, page binary, trees array<bigint>")
+        .groupBy("host", "text")
+        .agg(F.min_by("trees", "page").alias("trees"))
+        .select("host", F.explode("trees").alias("tree"))
         .groupBy("host", "tree")
         .agg(F.count("*").alias("pages"))
     )
