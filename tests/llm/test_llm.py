@@ -230,6 +230,22 @@ def test_templates(spark):
     assert templates.extract(df.limit(0)).count() == 0
 
 
+def test_small_recurring_elements_stay(spark):
+    common.reach(spark)
+    body = "<article><h2>Summary</h2><p>one<br>two <em>and</em> {i}<hr>end</p><div>x{i}<p></p>y</div></article>"
+    pages = [(i, f"http://h.example/{i}", "<div>All pages say this</div>" + body.replace("{i}", str(i))) for i in range(12)]
+    pages += [(20 + i, f"http://i.example/{i}", f"a{i}<br>b<div>All pages say this</div>c <em>and</em> d") for i in range(12)]
+    pages += [(40, "http://j.example/", pages[0][2])]
+    rows = collected(templates.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")))
+    found = {r["page_id"]: r["text"] for r in rows}
+    want = {i: f"Summary\none two and {i}\nend\nx{i}\ny" for i in range(12)} | {20 + i: f"a{i} b\nc and d" for i in range(12)}
+    assert found == want | {40: want[0]}
+    long = "<p>a notice of eight words that each page repeats</p>"
+    pages = [(i, f"http://h.example/{i}", f"<article>{long}<p>own {i}</p></article>") for i in range(12)]
+    rows = collected(templates.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")))
+    assert {r["page_id"]: r["text"] for r in rows} == {i: f"own {i}" for i in range(12)}
+
+
 def test_copies_of_a_page_are_no_template(spark):
     common.reach(spark)
     own = lambda i: f"<div>All pages say this</div><article><p>own text {i}</p></article>"

@@ -3,7 +3,9 @@
 A page is read once into its element tree. Every element gets a hash of its whole subtree (names, classes, text). Spark
 counts, per host, on how many different pages each subtree occurs; one that occurs on at least ``LEAST_PAGES`` of them and
 at least ``SHARE`` of the host's is a template and is deleted wherever it occurs on that host. Pages of a host are copies,
-and count once, if they have the same text without what elements name as furniture. If templates would leave a page
+and count once, if they have the same text without what elements name as furniture. Only block elements with text can be
+templates, and inside ``article`` and ``main`` only those of ``LEAST_WORDS`` words or more, so that recurring headings and
+emphasis of articles stay; what is deleted still ends a line if it is a block. If templates would leave a page
 without any of its ``article`` and ``main`` elements, all of these stay. Deleted too are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by element name, role,
 class or id. If what is left holds an ``article`` or ``main`` element, the text is taken from there.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.common import cut
 
-LEAST_PAGES, SHARE = 8, 0.3
+LEAST_PAGES, SHARE, LEAST_WORDS = 8, 0.3, 8
 
 SKIP = frozenset("script style noscript template head title iframe object svg canvas".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog button select textarea input label fieldset".split())
@@ -145,14 +147,21 @@ def parse(page: str) -> Element:
     return root
 
 
+def can_recur(element: Element, inside: bool) -> bool:
+    """Whether an element, ``inside`` a main element or not, can be a template."""
+    return element.name in BLOCK and element.words >= (LEAST_WORDS if inside else 1)
+
+
 def digest(root: Element) -> list[int]:
-    """Sets the subtree hash and words of every element below ``root``, children first, and lists the hashes."""
-    out, todo = [], [(root, False)]
+    """Sets the subtree hash and words of every element below ``root``, children first, and lists the hashes of those that
+    can be templates."""
+    out, todo = [], [(root, False, False)]
     while todo:
-        element, ready = todo.pop()
+        element, ready, inside = todo.pop()
         if not ready:
-            todo.append((element, True))
-            todo += [(c, False) for c in element.children if not isinstance(c, str)]
+            todo.append((element, True, inside))
+            below = inside or element.name in MAIN
+            todo += [(c, False, below) for c in element.children if not isinstance(c, str)]
             continue
         h = hashlib.blake2b(f"{element.name}\x00{element.marks}\x00".encode(), digest_size=8)
         for child in element.children:
@@ -160,7 +169,7 @@ def digest(root: Element) -> list[int]:
             h.update(" ".join(child.split()).encode("utf-8", "surrogatepass") if isinstance(child, str) else child.digest.to_bytes(8, "big", signed=True))
             h.update(b"\x00")
         element.digest = int.from_bytes(h.digest(), "big", signed=True)
-        if element is not root and element.name not in ("html", "body"):
+        if element is not root and element.name not in ("html", "body") and can_recur(element, inside):
             out.append(element.digest)
     return out
 
@@ -200,8 +209,9 @@ def blocks(root: Element, template: frozenset[int]) -> list[str]:
                 end_line()
             elif isinstance(node, str):
                 parts.append(node)
-            elif node.furniture or node.name in SKIP or node.digest in template:
-                continue
+            elif node.furniture or node.name in SKIP or (node.digest in template and can_recur(node, bool(mains) and node is not top)):
+                if node.name in BLOCK:
+                    end_line()
             else:
                 if node.name == "br":
                     parts.append(" ")
