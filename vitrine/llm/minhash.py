@@ -96,7 +96,8 @@ def possible(size: np.ndarray, bags: np.ndarray, root: np.ndarray, own: np.ndarr
 
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): the pairs of ``possible`` of each bucket and pair of blocks; rows come sorted by these and by size."""
+    """(a, b): the pairs of ``possible`` of each bucket and pair of blocks, each pair in the first bucket it shares only;
+    rows come sorted by these and by size. Where one of a pair led an earlier bucket they share, they have met before."""
     held: list[pa.RecordBatch] = []
     group: tuple | None = None
 
@@ -106,9 +107,11 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = rows.column("size").to_numpy()
         bags = np.frombuffer(b"".join(rows.column("bag").to_pylist()), dtype=np.uint8).reshape(-1, BAG).astype(np.int16)
         root = np.unique(np.array(rows.column("root").to_pylist(), dtype=object), return_inverse=True)[1]
+        sketched = rows.column("sketches").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+        before = int((sketched[0] == group[0]).argmax())
         a, b = [], []
         for x, y in possible(size, bags, root, rows.column("own").to_numpy(), group[1] != group[2]):
-            for k in y.tolist():
+            for k in y[(sketched[y, :before] != sketched[x, :before]).all(axis=1)].tolist():
                 a.append(min(keys[x], keys[k]))
                 b.append(max(keys[x], keys[k]))
             if len(a) > 100_000:
@@ -217,8 +220,8 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("own")
     members = rooted.join(mixed, "bucket").select("bucket", "key", "root", "blocks", own)
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    members = members.join(sketched.select("key", "size", "bag"), "key").select(
-        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "size", "bag"
+    members = members.join(sketched.select("key", "size", "bag", "sketches"), "key").select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "size", "bag", "sketches"
     )
     ordered = members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "size")
     second = verified(cut(ordered.mapInArrow(meet, "a binary, b binary").distinct(), "pairs"))
