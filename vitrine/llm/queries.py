@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, brown, decontam, langid, minhash, pii, quality, suffixes, templates, toolcalls
+from vitrine.llm import bpe, brown, decontam, langid, minhash, pii, quality, suffixes, templates, toolcalls, topk
 from vitrine.llm.common import remainder, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -66,5 +66,33 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_near_duplicates, op4_html, op5_brown_scores, op6_repeated_strings, op7_quality, op8_pii, op9_tool_calls, op10_bpe)}
-ORACLES: dict[str, str] = {}
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.search(embeddings, F.col("vec_id") % 100 == 0, k=10)
+
+
+REGISTERED = (
+    op1_language_id, op2_decontamination, op3_near_duplicates, op4_html, op5_brown_scores, op6_repeated_strings,
+    op7_quality, op8_pii, op9_tool_calls, op10_bpe, op13_topk,
+)
+QUERIES = {f.__name__: f for f in REGISTERED}
+
+ORACLES: dict[str, str] = {
+    "op13_topk": """
+with v as (
+  select distinct vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v
+  from embeddings
+  where vec_id is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id query_id, c.vec_id,
+    coalesce(list_sum(list_transform(range(1, 1 + least(len(q.v), len(c.v))), lambda i: q.v[i] * c.v[i])), 0) score
+  from v q join v c on c.vec_id <> q.vec_id
+  where q.vec_id % 100 = 0
+), r as (
+  select query_id, vec_id, cast(score as bigint) score,
+    cast(row_number() over (partition by query_id order by score desc, vec_id) as int) "rank"
+  from s
+)
+select query_id, "rank", vec_id, score from r where "rank" <= 10""",
+}
