@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, brown, decontam, langid, minhash, pii, quality, suffixes, templates, toolcalls, topk
+from vitrine.llm import bpe, brown, decontam, langid, minhash, pii, quality, suffixes, templates, toolcalls, topk, variants
 from vitrine.llm.common import remainder, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -66,6 +66,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN).drop("text")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.search(embeddings, F.col("vec_id") % 100 == 0, k=10)
@@ -73,7 +77,7 @@ def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = (
     op1_language_id, op2_decontamination, op3_near_duplicates, op4_html, op5_brown_scores, op6_repeated_strings,
-    op7_quality, op8_pii, op9_tool_calls, op10_bpe, op13_topk,
+    op7_quality, op8_pii, op9_tool_calls, op10_bpe, op12_spelling_variants, op13_topk,
 )
 QUERIES = {f.__name__: f for f in REGISTERED}
 
