@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bpe, brown, decontam, langid, minhash, pii, quality, suffixes, templates, toolcalls, topk, variants
+from vitrine.llm import bpe, brown, collocations, decontam, langid, minhash, pii, quality, suffixes, templates, toolcalls, topk, variants
 from vitrine.llm.common import remainder, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -66,6 +66,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, ranks, public_tokenizers.PATTERN).drop("text")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -77,11 +81,44 @@ def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTERED = (
     op1_language_id, op2_decontamination, op3_near_duplicates, op4_html, op5_brown_scores, op6_repeated_strings,
-    op7_quality, op8_pii, op9_tool_calls, op10_bpe, op12_spelling_variants, op13_topk,
+    op7_quality, op8_pii, op9_tool_calls, op10_bpe, op11_collocations, op12_spelling_variants, op13_topk,
 )
 QUERIES = {f.__name__: f for f in REGISTERED}
 
 ORACLES: dict[str, str] = {
+    "op11_collocations": """
+with p as (
+  select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n-\\r]')) p
+  from documents
+), w as (select lang, regexp_extract_all(p, '[^ \\t]+') w from p),
+g as (
+  select lang, 1 k, unnest(w) phrase from w
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w
+), f as materialized (select lang, k, phrase, cast(count(*) as hugeint) a, string_split(phrase, ' ') w from g group by lang, k, phrase),
+n as (select lang, sum(a) n from f where k = 1 group by lang),
+c as (select * from f where k > 1 and a >= 10),
+cuts as (
+  select lang, phrase, k, a, w, unnest(range(1, k)) i from c
+), cut_ as (
+  select *, array_to_string(w[:i], ' ') lp, array_to_string(w[i + 1:], ' ') rp from cuts
+), sided as (
+  select t.lang, t.phrase, t.k, t.a, t.i, x.a l, y.a r, 1000000 * t.a * t.a // (x.a * y.a) score
+  from cut_ t join f x on x.lang = t.lang and x.phrase = t.lp join f y on y.lang = t.lang and y.phrase = t.rp
+), s as (select * from sided qualify row_number() over (partition by lang, phrase order by score, i) = 1),
+longer as (
+  select lang, array_to_string(w[:2], ' ') phrase, a from c where k = 3
+  union all select lang, array_to_string(w[2:], ' '), a from c where k = 3
+), most as (select lang, phrase, max(a) most from longer group by all),
+o as (
+  select s.*, row_number() over (partition by s.lang order by score desc, a desc, s.phrase) "rank"
+  from s left join most m on m.lang = s.lang and m.phrase = s.phrase and s.k = 2
+  where m.most is null or 100 * m.most < 50 * s.a
+)
+select o.lang, cast("rank" as bigint) "rank", phrase, cast(a as bigint) a, cast(l as bigint) l, cast(r as bigint) r,
+  cast(n as bigint) n, cast(score as bigint) score
+from o join n on n.lang = o.lang where "rank" <= 2000""",
     "op13_topk": """
 with v as (
   select distinct vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v
