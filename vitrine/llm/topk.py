@@ -4,11 +4,11 @@ Components are integers, floor(scale * x). Equal vectors are one candidate, name
 to shards; a shard is one row of a written table that holds, per dimension, its candidates in the order of that
 component. Queries are the distinct vectors of the query rows, in blocks; every block meets every shard.
 
-In a shard a query reads the lists of all its dimensions together, each from its better end. What is read of a candidate
-adds to its sum; what is not yet read lies, list by list, between the list's last entry and the entry just read, and
-altogether within the product of the unread lengths of query and candidate (a list entry carries its candidate's whole
-length). That gives each candidate, read or not, a lower and an upper bound. Reading stops once all but ``HOLD``
-candidates are bound below the k-th lower bound; their scores are then resolved in full. The best of all shards are merged
+In a shard the queries of a block read the lists of all dimensions together, each from its better end. What is read of a
+candidate adds to its sum; what is not yet read is, list by list, no better than the entry just read, and altogether
+within the product of the unread lengths of query and candidate (a list entry carries its candidate's whole length). That
+gives each candidate, read or not, a lower and an upper bound. A query stops reading once all but ``HOLD`` k candidates are
+bound below its k-th lower bound; their scores are then resolved in full. The best of all shards are merged
 per query, copies are put back, and a query's own id is left out.
 
 Vectors that are NULL or hold NULL, NaN or infinite components take no part, nor do rows without id. Shorter vectors count
@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from vitrine.llm.common import cut
 
 SCALE = 1024
-#: Candidates of a shard, queries of a block, blocks that one task reads at most, steps in which lists are read.
-SHARD, BLOCK, BLOCKS, STEPS = 4096, 256, 16, 32
+#: Candidates of a shard, queries of a block, blocks that one task reads at most.
+SHARD, BLOCK, BLOCKS = 4096, 256, 16
+#: Shares of the lists after which bounds are compared.
+DEPTHS = (0.5, 0.7, 0.85, 1.0)
 #: Candidates still in the running, as a multiple of k, at which their scores are resolved.
 HOLD = 4
 
@@ -106,46 +108,64 @@ def packed(rows: DataFrame, size: int, sort: bool) -> DataFrame:
     return rows.mapInArrow(pack, PACKED)
 
 
-def survivors(q: np.ndarray, order: np.ndarray, values: np.ndarray, squares: np.ndarray, k: int) -> tuple[np.ndarray, int]:
-    """Candidates of a shard that may be among the ``k`` best of ``q``, and how deep the lists were read.
-
-    ``order`` and ``values`` hold a row per dimension: candidates by rising component, and those components; ``squares``
-    is each candidate's squared length over these dimensions.
-    """
-    used = np.flatnonzero(q)
-    size = len(squares)
-    if len(used) == 0 or size <= k:
-        return np.arange(size), 0
-    q = q[used].astype(float)
-    # Each list from the end where q's component makes the larger products.
-    rising = (q < 0)[:, None]
-    lists = np.where(rising, order[used], order[used, ::-1])
-    parts = np.where(rising, values[used], values[used, ::-1]).astype(float)
-    products = parts * q[:, None]
-    worst, weight = products[:, -1], q * q
-    total = weight.sum()
-    seen, worst_seen = np.zeros(size), np.zeros(size)
-    own, length = np.zeros(size), np.zeros(size)  # squares read, of the candidate and of the query
-    slack = 1e-9 * (1 + np.sqrt(total * squares.max()))
-    step = -(-size // STEPS)
-    alive, depth = np.arange(size), 0
-    while depth < size:
-        at = slice(depth, min(depth + step, size))
-        ids, n = lists[:, at].ravel(), at.stop - at.start
-        seen += np.bincount(ids, products[:, at].ravel(), size)
-        own += np.bincount(ids, (parts[:, at] ** 2).ravel(), size)
-        length += np.bincount(ids, np.repeat(weight, n), size)
-        worst_seen += np.bincount(ids, np.repeat(worst, n), size)
-        depth = at.stop
-        front = products[:, depth - 1]
-        ahead = front.sum() - np.bincount(lists[:, :depth].ravel(), np.repeat(front, depth), size)
-        angle = np.sqrt(np.maximum(total - length, 0) * np.maximum(squares - own, 0))
-        upper = seen + np.minimum(ahead, angle)
-        lower = seen + np.maximum(worst.sum() - worst_seen, -angle)
-        alive = np.flatnonzero(upper >= np.partition(lower, size - k)[size - k] - 2 * slack)
-        if len(alive) <= HOLD * k:
+class Lists:
+    """A shard's sorted lists, read from both ends: the better end of a list depends on the sign of a query's component."""
+
+    def __init__(self, order: np.ndarray, values: np.ndarray, squares: np.ndarray):
+        self.order, self.values, self.squares = order, values.astype(float), squares
+        self.size = len(squares)
+
+    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What stands in the first ``depth`` places, from the upper ends and from the lower ends: whether a candidate
+        was met (a row per list, a column per candidate), its component there, and the component at the last place."""
+        width = len(self.order)
+        met = np.zeros((2 * width, self.size))
+        held = np.zeros((2 * width, self.size))
+        ends = ((slice(self.size - depth, None), self.size - depth), (slice(0, depth), depth - 1))
+        front = []
+        for half, (places, last) in enumerate(ends):
+            rows = slice(half * width, (half + 1) * width)
+            np.put_along_axis(met[rows], self.order[:, places], 1.0, 1)
+            np.put_along_axis(held[rows], self.order[:, places], self.values[:, places], 1)
+            front.append(self.values[:, last])
+        return met, held, np.concatenate(front)
+
+
+def survivors(queries: np.ndarray, lists: Lists, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each query, the candidates that may be among its ``k`` best, and how deep its lists were read."""
+    size = lists.size
+    out = [np.arange(size)] * len(queries)
+    depths = np.zeros(len(queries), dtype=np.int64)
+    if size <= HOLD * k or queries.shape[1] == 0:
+        return out, depths
+    q = queries.astype(float)
+    signed = np.hstack([np.maximum(q, 0), np.minimum(q, 0)])  # by the end that a list is read from
+    total = (q * q).sum(axis=1)
+    slack = 1e-9 * (1 + np.sqrt(total * lists.squares.max()))
+    open_ = np.flatnonzero(total > 0)
+    for share in DEPTHS:
+        if len(open_) == 0:
             break
-    return alive, depth
+        depth = max(1, int(share * size))
+        met, held, front = lists.read(depth)
+        s = signed[open_]
+        seen = s @ held
+        ahead = s * front
+        ahead = ahead.sum(axis=1, keepdims=True) - ahead @ met  # lists not yet read, at their best
+        left = np.maximum(total[open_, None] - (s * s) @ met, 0)
+        left *= np.maximum(lists.squares - (s != 0).astype(float) @ (held * held), 0)
+        angle = np.sqrt(left)
+        lower = seen - angle
+        bound = np.partition(lower, size - k, axis=1)[:, size - k] - 2 * slack[open_]
+        alive = seen + np.minimum(ahead, angle) >= bound[:, None]
+        done = alive.sum(axis=1) <= HOLD * k
+        if depth == size:
+            done[:] = True
+        for i in np.flatnonzero(done):
+            out[open_[i]] = np.flatnonzero(alive[i])
+        depths[open_] = depth
+        open_ = open_[~done]
+    return out, depths
 
 
 def resolved(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -175,9 +195,9 @@ def best_of_shards(k: int):
                 x = np.zeros((row["size"], width), dtype=np.int64)
                 np.put_along_axis(x.T, order, values, 1)
                 squares = (x.astype(float) ** 2).sum(axis=1)
+                queries = queries[:, :width].astype(np.int64)
                 out = []
-                for number, q in zip(asked, queries[:, :width].astype(np.int64)):
-                    alive, _ = survivors(q, order, values, squares, k)
+                for number, q, alive in zip(asked, queries, survivors(queries, Lists(order, values, squares), k)[0]):
                     scores = resolved(q, x[alive])
                     first = np.lexsort((ids[alive], -scores))[:k]
                     out.append((np.full(len(first), number), ids[alive][first], scores[first]))
