@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import values as V
 from vitrine.functions.store import sellable
 from vitrine.functions.text import strip, words_of
 from vitrine.operators.matching import spread
+from vitrine.operators.setjoin import similar_words
 
 NAME_RATIO = 0.4
 WORD_RATIO = 0.6
@@ -29,31 +30,6 @@ def _questions(missed: DataFrame) -> DataFrame:
     return spread(missed.select(F.lower(strip(F.col("query"))).alias("q")).distinct())
 
 
-def letter_pairs(word: Column) -> Column:
-    """Distinct pairs of neighbouring letters, the word's ends counted as letters."""
-    padded = F.concat(F.lit("_"), word, F.lit("_"))
-    starts = F.sequence(F.lit(1), F.length(word) + 1)
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(padded, i, F.lit(2))))
-
-
-def _paired(words: DataFrame, word: str) -> DataFrame:
-    """One row per distinct word and letter pair, with the word's number of pairs."""
-    pairs = words.select(word).distinct().withColumn("pairs", letter_pairs(F.col(word)))
-    return pairs.select(word, F.size("pairs").alias(f"{word}_size"), F.explode("pairs").alias("pair"))
-
-
-def similar_words(asked: DataFrame, known: DataFrame, floor: float = WORD_RATIO) -> DataFrame:
-    """``(asked, known, score)`` of the words of the columns ``asked`` and ``known`` that share letter pairs.
-
-    The score is twice the shared pairs over the pairs of both. Words whose sizes alone rule the floor out never meet.
-    """
-    a, b = F.col("asked_size"), F.col("known_size")
-    sizes = 2.0 * F.least(a, b) >= floor * (a + b)
-    met = _paired(asked, "asked").join(_paired(known, "known"), "pair").where(sizes)
-    shared = met.groupBy("asked", "asked_size", "known", "known_size").agg(F.count("*").alias("shared"))
-    return shared.select("asked", "known", (2.0 * F.col("shared") / (a + b)).alias("score")).where(F.col("score") >= floor)
-
-
 def suggest_names(
     missed: DataFrame, catalogue: DataFrame, floor: float = WORD_RATIO, shown: int = V.SUGGESTIONS_SHOWN
 ) -> DataFrame:
