@@ -20,7 +20,7 @@ from vitrine.operators import quality as Q
 from vitrine.operators import router as R
 from vitrine.operators import search as S
 from vitrine.operators.matching import contains_pairs
-from vitrine.operators.paging import paged_lists
+from vitrine.operators.ranking import positions
 from vitrine.operators.suggest import suggest_names
 from vitrine.sources.schemas import TABLES
 from vitrine.sources.store import Store
@@ -232,21 +232,71 @@ def test_order_payloads(store):
     rows = O.order_payloads(store.orders, store.customers, store.order_items, store.products, "2026-01-01").collect()
     payloads = {r.order_id: json.loads(r.payload) for r in rows}
     assert set(payloads) == {1, 8, 9}
-    assert [(i["quantity"], i["name"]) for i in payloads[1]["items"]] == [
-        (1, "Quorvel D18"), (1, "Quorvel D18"), (2, "Solvanto LM45 Bruma")]
+    assert payloads[1]["items"] == {"list": 1, "count": 3}
+    lines = O.item_lines(store.order_items, store.products)
+    blocks = {r.order_id: r["items"] for r in O.item_blocks(lines).collect()}
+    assert [(i.quantity, i.name) for i in blocks[1]] == [(1, "Quorvel D18"), (1, "Quorvel D18"), (2, "Solvanto LM45 Bruma")]
     assert payloads[1]["payment_method"] == "PIX" and payloads[1]["deadlines"]["arrependimento_7d_expirado"] is True
     assert "EXPIRADOS" in payloads[1]["deadlines"]["caminho_sugerido"]
     assert payloads[8]["deadlines"] is None and "recebimento" in payloads[8]["deadlines_note"]
-    assert payloads[9]["items"] == [] and payloads[9]["order_date"] is None
+    assert payloads[9]["items"] == {"list": 9, "count": 0} and payloads[9]["order_date"] is None
+
+
+def test_an_order_of_many_lines_has_one_payload_and_numbered_lines(spark, store):
+    known = [r.product_id for r in store.products.collect()]
+    rows = [(1, known[i % len(known)], i % 3) for i in range(2300)] + [(1, known[0], 7)] * 200 + [(8, -1, 1)]
+    items = spark.createDataFrame(rows, "order_id long, product_id long, quantity int")
+    payloads = O.order_payloads(store.orders, store.customers, items, store.products, "2026-01-01").collect()
+    assert sorted(r.order_id for r in payloads) == [1, 8, 9]
+    assert {r.order_id: json.loads(r.payload)["items"]["count"] for r in payloads} == {1: 2500, 8: 0, 9: 0}
+    lines = O.item_lines(items, store.products)
+    got = sorted((r.line, r.quantity, r.product_id) for r in lines.collect())
+    assert [line for line, _, _ in got] == list(range(1, 2501))
+    assert sorted((1, p, q) for _, q, p in got) == sorted(rows[:-1])
+    assert [q for _, q, _ in got] == sorted(q for _, _, q in rows[:-1])
+    blocks = sorted(O.item_blocks(lines).collect(), key=lambda r: r.block)
+    assert [(r.block, len(r["items"])) for r in blocks] == [(0, 1000), (1, 1000), (2, 500)]
+
+
+def test_positions_equal_a_window_over_all_rows(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([None, *range(40)]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k int, v int, id int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for key in ((), ("k",)):
+            order = (F.col("v").desc_nulls_last(), F.col("id"))
+            got = {r.id: r.place for r in positions(df, "place", *order, key=key).collect()}
+            groups = {}
+            for k, v, i in sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[2])):
+                groups.setdefault(k if key else None, []).append(i)
+            assert got == {i: n for some in groups.values() for n, i in enumerate(some, 1)}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert positions(df.limit(0), "place", F.col("v")).count() == 0
+
+
+def test_orders_of_a_request_come_newest_first_and_undated_last(spark):
+    dates = ["2025-01-02", None, "2025-03-01", "2025-01-02"]
+    orders = spark.createDataFrame([(i, 7, d, f"CODE{i}") for i, d in enumerate(dates)], "order_id long, customer_id long, d string, tracking_code string")
+    orders = orders.withColumn("order_date", F.to_date("d"))
+    asked = spark.createDataFrame([(r, None, None, 7) for r in range(3)] + [(9, 2, None, None), (10, None, " code3 ", 7)], "request_id long, order_id long, tracking_code string, customer_id long")
+    got = {}
+    for r in O.lookup(asked, orders).orderBy("seq").collect():
+        got.setdefault(r.request_id, []).append((r.seq, r.order_id))
+    assert got == {**{r: [(1, 2), (2, 0), (3, 3), (4, 1)] for r in range(3)}, 9: [(1, 2)], 10: [(1, 3)]}
 
 
-def test_paged_lists_keep_every_row_of_a_hot_key(spark):
-    rows = [(1, i % 50) for i in range(2000)] + [(1, 7)] * 500 + [(2, 3), (2, 1)]
-    df = spark.createDataFrame(rows, "k int, v int")
-    pages = paged_lists(df, "k", ["v"], "vs", page_rows=100).collect()
-    assert sorted((r.k, x.v) for r in pages for x in r.vs) == sorted(rows)
-    assert max(len(r.vs) for r in pages if r.k == 1) < 800 and len({r.page for r in pages if r.k == 1}) > 10
-    assert [[x.v for x in r.vs] for r in pages if r.k == 2] == [[1, 3]]
+def test_equal_requests_share_one_list(spark, store):
+    name = store.customers.orderBy("customer_id").first().name
+    asked = spark.createDataFrame([(i, name) for i in range(10_000)], "request_id long, query string")
+    own, kept, lists = R.answer_lists(asked, store, "2026-01-01")
+    assert kept.count() == 10_000 and kept.select("way", "key").distinct().count() == 1
+    customers = lists.where("part = 'clientes'").count()
+    assert customers == store.customers.where(F.lower("name").contains(name.lower())).count() and own.count() == 0
+    whole = R.answer(asked, store, "2026-01-01")
+    assert whole.count() == 10_000 * lists.count()
+    assert whole.groupBy("request_id", "part", "seq").count().where("count > 1").isEmpty()
 
 
 def test_suggestions_follow_the_similarity_rule(spark, store):
@@ -381,8 +431,9 @@ def test_answers(spark, store):
     for r in R.answer(asked, store, "2026-01-01", compat=True).collect():
         got.setdefault(r.request_id, {}).setdefault(r.part, []).append((r.seq, r.payload))
     assert json.loads(got[1]["clientes"][0][1])["email"] == "no***@example.com"
-    assert sorted(s for s, _ in got[2]["pedidos"]) == [1, 8]
-    assert [s for s, _ in got[3]["pedidos"]] == [s for s, _ in got[4]["pedidos"]] == [8]
+    numbers = {i: [(s, json.loads(p)["order_id"]) for s, p in sorted(parts.get("pedidos", []))] for i, parts in got.items()}
+    assert sorted(n for _, n in numbers[2]) == [1, 8] and [s for s, _ in numbers[2]] == [1, 2]
+    assert numbers[3] == numbers[4] == [(1, 8)]
     assert [json.loads(p)["product_id"] for _, p in sorted(got[6]["produtos"])] == [2, 7, 1]
     assert got[6]["aviso"] == [(0, V.ADVICE_PARTIAL)]
     full = json.loads(got[10]["produtos"][0][1])
@@ -391,7 +442,7 @@ def test_answers(spark, store):
     assert len(got[12]["produtos"]) == 5 and "promocoes" not in got[12]
     assert "Solvanto LM45 Bruma" in got[13]["aviso"][0][1]
     assert got[14]["aviso"] == [(0, V.ADVICE_NOTHING)]
-    assert [s for s, _ in got[15]["pedidos"]] == [9]
+    assert numbers[15] == [(1, 9)]
 
 
 def test_tool_calls_never_fail(spark, store):

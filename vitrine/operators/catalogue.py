@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions import values as V
 from vitrine.functions.store import promo_price, sellable
+from vitrine.operators.ranking import positions
 
 
 def best_promo(promotions: DataFrame) -> DataFrame:
@@ -58,14 +59,15 @@ def build_catalogue(products: DataFrame, categories: DataFrame, promotions: Data
 
 
 def category_counts(products: DataFrame, categories: DataFrame) -> DataFrame:
-    """Active products per category, empty categories included.
+    """Active products per category, empty categories included; ``seq`` is the place by name.
 
     Counting before the join leaves one row per category to shuffle.
     """
     counts = products.where(F.col("status") == V.ACTIVE).groupBy("category_id").agg(F.count("*").alias("n"))
-    return categories.join(counts, "category_id", "left").select(
+    counted = categories.join(counts, "category_id", "left").select(
         "category_id", "name", "description", F.coalesce("n", F.lit(0).cast("long")).alias("product_count")
     )
+    return positions(counted, "seq", F.col("name"), F.col("category_id"))
 
 
 def active_promotions(promotions: DataFrame, products: DataFrame) -> DataFrame:
@@ -86,6 +88,12 @@ def active_promotions(promotions: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
+def ranked_promotions(active: DataFrame) -> DataFrame:
+    """Active promotions with their place ``seq``: largest discount first, NULL last."""
+    ties = [F.col(c) for c in ("promotion_id", "product_id", "promo_name")]
+    return positions(active, "seq", F.col("discount_percent").desc_nulls_last(), *ties)
+
+
 def catalogue_index(catalogue: DataFrame, page: int | None = None) -> DataFrame:
     """All sellable products, or the cheapest ``page`` of them: name, category, price, promo."""
     index = catalogue.where(sellable(F.col("status")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import digits, mask_email, mask_phone
 from vitrine.operators.matching import contains_pairs
+from vitrine.sources.checkpoint import cut
 
 PHONE, EMAIL, NAME = 1, 2, 3
 
@@ -41,17 +42,19 @@ def _matches(asked: DataFrame, customers: DataFrame) -> DataFrame:
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def lookup(requests: DataFrame, customers: DataFrame, compat: bool = False) -> DataFrame:
-    """``(request_id, way, customer_id)``: all customers found by the first way that finds any.
+def lookup_lists(requests: DataFrame, customers: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The answers in two tables: ``(request_id, way, key)`` names the list of each request that finds any customer, and
+    ``(way, key, customer_id)`` holds each list once, however many requests ask for it.
 
     ``requests``: request_id, phone, email, name. Phone matches on contained digits, e-mail on equality,
     name on containment, all without regard to case. ``compat=False`` ignores phones of under 4 digits.
-    Matching works on distinct keys; only the choice of the way happens per request (three rows each).
+    The first way that finds any customer counts. Matching works on distinct keys; only the choice of the way happens per
+    request (three rows each).
     """
     asked = requests.select(
         "request_id", F.inline(_ways(F.col("phone"), F.col("email"), F.col("name"), compat))
     )
-    matches = _matches(asked, customers)
+    matches = cut(_matches(asked, customers), "lists")
     hits = matches.select("way", "key").distinct()
     chosen = (
         asked.join(hits, ["way", "key"])
@@ -59,6 +62,12 @@ def lookup(requests: DataFrame, customers: DataFrame, compat: bool = False) -> D
         .agg(F.min(F.struct("way", "key")).alias("best"))
         .select("request_id", "best.*")
     )
+    return chosen, matches
+
+
+def lookup(requests: DataFrame, customers: DataFrame, compat: bool = False) -> DataFrame:
+    """``(request_id, way, customer_id)``: the lists of ``lookup_lists``, written out for every request."""
+    chosen, matches = lookup_lists(requests, customers, compat)
     return chosen.join(matches, ["way", "key"]).select("request_id", "way", "customer_id")
 
 

@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.store import as_date, deadlines, deadlines_note, json_text, payment_label, tracking_key
-from vitrine.operators.paging import PAGE_ROWS, paged_lists
+from vitrine.operators.ranking import positions
+
+
+#: Lines of a block.
+BLOCK_LINES = 1000
 
 
 def with_deadlines(orders: DataFrame, as_of) -> DataFrame:
@@ -28,24 +32,38 @@ def order_lines(orders: DataFrame, items: DataFrame, products: DataFrame) -> Dat
     return orders.join(items.join(names, "product_id"), "order_id", "left")
 
 
-def order_payloads(
-    orders: DataFrame,
-    customers: DataFrame,
-    items: DataFrame,
-    products: DataFrame,
-    as_of,
-    page_rows: int = PAGE_ROWS,
-) -> DataFrame:
-    """``(order_id, page, pages, payload)``: the order as JSON with its items nested.
+def item_lines(items: DataFrame, products: DataFrame) -> DataFrame:
+    """``(order_id, line, product_id, name, quantity, price_brl, payload)``: order lines, numbered from 1 in each order.
 
-    Orders of up to ``page_rows`` lines give one payload; a larger one repeats its header on each page.
+    An order of any size is a set of rows; equal lines are counted before they are numbered. Lines of unknown products
+    drop out.
     """
+    fields = ["product_id", "name", "quantity", "price_brl"]
     names = products.select("product_id", "name", F.col("price_brl").cast("double").alias("price_brl"))
-    lines = items.join(names, "product_id").select("order_id", "quantity", "name", "price_brl")
-    nested = paged_lists(lines, "order_id", ["quantity", "name", "price_brl"], "items", page_rows)
-    return with_payload(orders_of(orders, customers).join(nested, "order_id", "left"), as_of).select(
-        "order_id", "customer_name", F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("pages", F.lit(1)).alias("pages"), "payload",
+    equal = items.join(names, "product_id").groupBy("order_id", *fields).agg(F.count("*").alias("_n"))
+    order = [F.col(c) for c in ("quantity", "name", "price_brl", "product_id")]
+    placed = positions(equal, "_first", *order, key=("order_id",), weight="_n")
+    lines = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1))
+    payload = json_text("quantity", "name", "price_brl")
+    return placed.select("order_id", lines.alias("line"), *fields, payload.alias("payload"))
+
+
+def item_blocks(lines: DataFrame, size: int = BLOCK_LINES) -> DataFrame:
+    """``(order_id, block, items)``: the lines of each order nested in arrays of ``size``, the last one shorter."""
+    block = F.floor((F.col("line") - 1) / size).cast("long")
+    item = F.struct("line", "quantity", "name", "price_brl")
+    blocks = lines.groupBy("order_id", block.alias("block")).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    fields = ("quantity", "name", "price_brl")
+    nested = F.transform("_items", lambda i: F.struct(*[i[f].alias(f) for f in fields]))
+    return blocks.select("order_id", "block", nested.alias("items"))
+
+
+def order_payloads(orders: DataFrame, customers: DataFrame, items: DataFrame, products: DataFrame, as_of) -> DataFrame:
+    """``(order_id, customer_name, payload)``: each order as one JSON text, whatever its size. It names the list of its
+    items and their number; ``item_lines`` holds their rows, ``item_blocks`` nests them."""
+    lines = items.join(products.select("product_id"), "product_id").groupBy("order_id").agg(F.count("*").alias("_n"))
+    return with_payload(orders_of(orders, customers).join(lines, "order_id", "left"), as_of).select(
+        "order_id", "customer_name", "payload"
     )
 
 
@@ -55,7 +73,7 @@ def orders_of(orders: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def with_payload(orders: DataFrame, as_of) -> DataFrame:
-    none = F.from_json(F.lit("[]"), "array<struct<quantity:int,name:string,price_brl:double>>")
+    listed = F.struct(F.col("order_id").alias("list"), F.coalesce("_n", F.lit(0).cast("long")).alias("count"))
     payload = json_text(
         "order_id",
         "customer_name",
@@ -67,7 +85,7 @@ def with_payload(orders: DataFrame, as_of) -> DataFrame:
         F.col("estimated_delivery").cast("string").alias("estimated_delivery"),
         "deadlines",
         "deadlines_note",
-        F.coalesce("items", none).alias("items"),
+        listed.alias("items"),
         "notes",
     )
     return with_deadlines(orders, as_of).withColumn("payload", payload)
@@ -83,19 +101,20 @@ def request_key() -> Column:
 
 
 def lookup(requests: DataFrame, orders: DataFrame) -> DataFrame:
-    """``(request_id, key, order columns...)`` for requests (request_id, order_id, tracking_code, customer_id).
+    """``(request_id, key, order columns..., seq)`` for requests (request_id, order_id, tracking_code, customer_id).
 
-    One equality join per kind of key; each reads only the requests of its kind.
+    ``seq`` numbers the orders of a request from the newest; orders without date come last. Orders are found and numbered
+    once for each distinct key, however many requests ask for it.
     """
-    asked = requests.withColumn("key", request_key())
-
-    def of(kind: str, key: Column) -> DataFrame:
-        return asked.where(F.col("key") == kind).select("request_id", "key", key.alias("_key"))
-
-    def join(kind: str, theirs: Column, ours: Column) -> DataFrame:
-        return of(kind, theirs).join(orders.withColumn("_key", ours), "_key").drop("_key")
-
-    by_id = join("order_id", F.col("order_id"), F.col("order_id"))
-    by_code = join("tracking_code", tracking_key(F.col("tracking_code")), tracking_key(F.col("tracking_code")))
-    by_customer = join("customer_id", F.col("customer_id"), F.col("customer_id"))
-    return by_id.unionByName(by_code).unionByName(by_customer)
+    kinds = {
+        "order_id": (F.col("order_id"), F.col("order_id")),
+        "tracking_code": (tracking_key(F.col("tracking_code")), tracking_key(F.col("tracking_code"))),
+        "customer_id": (F.col("customer_id"), F.col("customer_id")),
+    }
+    value = F.coalesce(*[F.when(F.col("key") == kind, theirs.cast("string")) for kind, (theirs, _) in kinds.items()])
+    asked = requests.withColumn("key", request_key()).select("request_id", "key", value.alias("_value"))
+    wanted = asked.select("key", "_value").where("_value is not null").distinct()
+    known = [orders.withColumn("key", F.lit(k)).withColumn("_value", ours.cast("string")) for k, (_, ours) in kinds.items()]
+    found = known[0].unionByName(known[1]).unionByName(known[2]).join(wanted, ["key", "_value"], "left_semi")
+    newest = (F.col("order_date").desc_nulls_last(), F.col("order_id"))
+    return asked.join(positions(found, "seq", *newest, key=("key", "_value")), ["key", "_value"]).drop("_value")

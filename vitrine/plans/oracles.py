@@ -123,6 +123,10 @@ select *, case when status = 'delivered' and ref is not null then 1 end has_due,
    case when estimated_delivery is not null then 'estimated_delivery' else 'order_date' end ref_source
 from v_label""",
     "v_item": "select l_orderkey order_id, l_partkey product_id, cast(l_quantity as int) quantity from lineitem",
+    "v_numbered_item": """
+select *, row_number() over (partition by order_id order by quantity, name, price_brl, product_id) line
+from (select case when l_linenumber = 1 then 0 else l_orderkey end order_id, product_id, name, cast(l_quantity as bigint) quantity,
+        cast(price_brl as double) price_brl from lineitem join v_product on product_id = l_partkey)""",
     "v_message": "select 's' || conv_id session_id, turn message_id, role, text as content from conversations",
     "v_search": f"""
 select p_partkey * 2 request_id,
@@ -269,15 +273,15 @@ select *, case when entity = 'produtos' then 'product' when entity = 'promocoes'
    when length(q) >= 5 then 'maybe' else 'product' end rule
 from (select request_id, {_trim('query')} q, entity from v_route_request)""",
     "v_found": f"""
-select request_id, customer_id from (
+select request_id, customer_id, way, case way when 1 then digits else lower(q) end as key from (
   select *, min(way) over (partition by request_id) best from (
-    select r.request_id, c.customer_id, 1 way from v_rule r join v_customer c
+    select r.request_id, c.customer_id, 1 way, r.q, {_digits('r.q')} digits from v_rule r join v_customer c
       on r.rule in ('customer', 'maybe', 'phone') and {_digits('r.q')} <> '' and contains({_digits('c.phone')}, {_digits('r.q')})
     union all
-    select r.request_id, c.customer_id, 2 from v_rule r join v_customer c
+    select r.request_id, c.customer_id, 2, r.q, null from v_rule r join v_customer c
       on r.rule in ('customer', 'maybe', 'email') and contains(r.q, '@') and lower(r.q) = lower(c.email)
     union all
-    select r.request_id, c.customer_id, 3 from v_rule r join v_customer c
+    select r.request_id, c.customer_id, 3, r.q, null from v_rule r join v_customer c
       on r.rule in ('customer', 'maybe') and r.q <> '' and contains(lower(c.name), lower(r.q))))
 where way = best""",
     "v_routed": """
@@ -287,7 +291,7 @@ select request_id, q, entity, case when rule <> 'maybe' then rule
     "v_page": f"""
 select * from (select k.key, c.*, row_number() over (partition by k.key order by c.price_brl, c.product_id) as rank
   from v_page_key k join v_catalogue c on contains({_fold('c.category')}, {_fold('k.key')})
-  where c.status in ('active', 'coming_soon')) where rank <= 100""",
+  where c.status in ('active', 'coming_soon'))""",
     "v_reset": "select distinct 's' || user_id session_id from events where event_type = 'error'",
     "v_reply": """
 select session_id, case when length(content) % 5 = 0 then ' ' else content end as content
@@ -328,13 +332,12 @@ ORDER_JSON = """cast(to_json({order_id: o.order_id, customer_name: c.name, order
     deadlines: case when has_due = 1 then {referencia: referencia, arrependimento_7d_ate: arrependimento_7d_ate,
       arrependimento_7d_expirado: arrependimento_7d_expirado, troca_defeito_30d_ate: troca_defeito_30d_ate, troca_defeito_30d_expirado: troca_defeito_30d_expirado,
       caminho_sugerido: caminho_sugerido, hoje: hoje, ref_source: ref_source} end,
-    deadlines_note: o.deadlines_note, items: coalesce(i.items, []), notes: o.notes}) as varchar)"""
+    deadlines_note: o.deadlines_note, items: {list: o.order_id, count: coalesce(i.n, 0)}, notes: o.notes}) as varchar)"""
 ORDERS_JSON = f"""
-select o.order_id, o.customer_id, c.name customer_name, upper(o.tracking_code) code, {ORDER_JSON} payload
+select o.order_id, o.customer_id, c.name customer_name, upper(o.tracking_code) code, o.order_date, {ORDER_JSON} payload
 from v_due o join v_customer c using (customer_id) left join (
-  select order_id, list({{quantity: quantity, name: name, price_brl: cast(price_brl as double)}}
-                        order by quantity, name, price_brl) items
-  from v_item join v_product using (product_id) group by order_id) i using (order_id)"""
+  select order_id, count(*) n from v_item join v_product using (product_id) group by order_id) i using (order_id)"""
+NEWEST = "order_date desc nulls last, order_id"
 CASCADE = f"""
 select request_id, cast(way as bigint) way, customer_id from (
   select *, min(way) over (partition by request_id) best from (
@@ -365,10 +368,10 @@ select request_id, 'clientes', customer_id, cast(to_json({{customer_id: customer
 from (select request_id, customer_id, {MASK} from v_found join v_routed using (request_id) join v_customer using (customer_id)
       where kind in ('email', 'phone', 'customer'))
 union all
-select r.request_id, 'pedidos', p.order_id, p.payload from v_routed r join v_payload p
+select r.request_id, 'pedidos', row_number() over (partition by r.request_id order by {NEWEST}), p.payload from v_routed r join v_payload p
   on (r.kind = 'order_id' and r.q = cast(p.order_id as varchar)) or (r.kind = 'tracking' and upper(r.q) = p.code)
 union all
-select request_id, 'pedidos', p.order_id, p.payload from v_found join v_routed using (request_id)
+select request_id, 'pedidos', row_number() over (partition by request_id order by customer_id, {NEWEST}), p.payload from v_found join v_routed using (request_id)
   join v_payload p using (customer_id) where kind in ('email', 'phone', 'customer')"""
 VIEWS["v_answered"] = f"""
 select * from v_answer
@@ -381,6 +384,9 @@ select request_id, q query, null::varchar category, null::decimal(12,2) max_pric
 ANSWER = (
     *CATALOGUE, "v_active_promo", *ROUTED, *SEARCH[5:], "v_detail", *DUE, "v_item", "v_payload", "v_answer", "v_answered",
 )
+VIEWS["v_list"] = """
+select distinct way, key, customer_id from v_found join v_routed using (request_id)
+where kind in ('email', 'phone', 'customer')"""
 VIEWS["v_call"] = """
 select event_id call_id, user_id doc_id, event_id % 2 = 0 as even, event_id % 4 = 1 as broken, event_type,
   json_extract_string(props, '$.k') k, user_id from events"""
@@ -398,12 +404,14 @@ from v_catalogue where status in ('active', 'coming_soon')""",
     ),
     "active_promotions": _sql(
         """select promotion_id, product_id, product, promo_name, cast(original_price_brl as double) original_price_brl,
-  cast(discount_percent as double) discount_percent, cast(promo_price_brl as double) promo_price_brl from v_active_promo""",
+  cast(discount_percent as double) discount_percent, cast(promo_price_brl as double) promo_price_brl,
+  row_number() over (order by discount_percent desc, promotion_id, product_id, promo_name) seq from v_active_promo""",
         "v_product", "v_promo", "v_active_promo",
     ),
     "category_counts": _sql(
-        """select cast(c.category_id as bigint) category_id, c.name, 'linha ' || c.name description, count(p.product_id) product_count
-from v_category c left join v_product p on p.category_id = c.category_id and p.status = 'active' group by all""",
+        """select *, row_number() over (order by name, category_id) seq from (
+  select cast(c.category_id as bigint) category_id, c.name, 'linha ' || c.name description, count(p.product_id) product_count
+  from v_category c left join v_product p on p.category_id = c.category_id and p.status = 'active' group by all)""",
         "v_category", "v_product",
     ),
     "catalogue_index": _sql(
@@ -522,7 +530,7 @@ from (select customer_id, phone, {MASK.replace("end phone", "end masked", 1)} fr
         *DUE,
     ),
     "order_lookup_batch": _sql(
-        f"""select r.request_id, r.key, o.order_id, c.name customer_name, cast(o.order_date as varchar) order_date, o.status,
+        f"""select r.request_id, r.key, row_number() over (partition by r.request_id order by {NEWEST.replace("order_", "o.order_")}) seq, o.order_id, c.name customer_name, cast(o.order_date as varchar) order_date, o.status,
   cast(o.total_brl as double) total_brl, o.label payment_label, o.tracking_code,
   case when has_due = 1 then caminho_sugerido end caminho_sugerido, o.deadlines_note
 from (select *, case when order_id is not null then 'order_id' when coalesce(tracking_code, '') <> '' then 'tracking_code'
@@ -542,8 +550,18 @@ from v_order o left join (select * from v_item join v_product using (product_id)
         "v_order", "v_item", "v_product",
     ),
     "order_payload_json": _sql(
-        "select order_id, customer_name, 0::bigint page, 1::bigint pages, payload from v_payload",
-        *DUE, "v_customer", "v_item", "v_product", "v_payload",
+        "select order_id, customer_name, payload from v_payload", *DUE, "v_customer", "v_item", "v_product", "v_payload"
+    ),
+    "order_item_lines": _sql(
+        """select order_id, line, product_id, name, quantity, price_brl,
+  cast(to_json({quantity: quantity, name: name, price_brl: price_brl}) as varchar) payload from v_numbered_item""",
+        "v_product", "v_numbered_item",
+    ),
+    "order_item_blocks": _sql(
+        """select order_id, (line - 1) // 1000 block, count(*) n,
+  cast(to_json(list({quantity: quantity, name: name, price_brl: price_brl} order by line)) as varchar) items
+from v_numbered_item group by all""",
+        "v_product", "v_numbered_item",
     ),
     "doc_lines": _sql("select doc_id, pos, line, is_heading from v_heading", "v_line", "v_heading"),
     "doc_sections": _sql("select doc_id, section_no, section, body from v_section", *DOCS),
@@ -606,6 +624,21 @@ from (select lang, source, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za
 group by all""",
     "route_queries": _sql("select request_id, q, entity, kind from v_routed", *ROUTED),
     "route_and_answer": _sql("select * from v_answered", *ANSWER, v_search=ROUTED_SEARCH),
+    "route_lists": _sql(
+        """select distinct request_id, cast(way as bigint) way, key from v_found join v_routed using (request_id)
+where kind in ('email', 'phone', 'customer')""",
+        *ROUTED,
+    ),
+    "list_answers": _sql(
+        f"""select cast(way as bigint) way, key, part, cast(seq as bigint) seq, payload from (
+  select way, key, 'clientes' part, customer_id seq,
+    cast(to_json({{customer_id: customer_id, name: name, city: city, phone: phone, email: email}}) as varchar) payload
+  from (select way, key, customer_id, {MASK} from v_list join v_customer using (customer_id))
+  union all
+  select way, key, 'pedidos', row_number() over (partition by way, key order by customer_id, {NEWEST}), payload
+  from v_list join v_payload using (customer_id))""",
+        *ROUTED, *DUE, "v_product", "v_item", "v_payload", "v_list",
+    ),
     "context_load": _sql(
         f"""select source, doc_id, key, part, cast(seq as bigint) seq, payload from (
 select 'manual' source, doc_id, key, case when found then 'secoes' else 'secoes_disponiveis' end part, section_no seq,
@@ -615,17 +648,17 @@ select 'catalogo', null, key, 'produtos', rank, cast(to_json({{{BRIEF}}}) as var
 union all
 select 'catalogo', null, key, 'total', 0, cast(count(p.key) as varchar) from v_page_key left join v_page p using (key) group by key
 union all
-select 'catalogo', null, '', 'produtos', product_id, cast(to_json({{nome: name, categoria: category,
-  preco_brl: cast(price_brl as double), promo: {PROMO_JSON}}}) as varchar)
+select 'catalogo', null, '', 'produtos', row_number() over (order by price_brl, product_id), cast(to_json({{nome: name,
+  categoria: category, preco_brl: cast(price_brl as double), promo: {PROMO_JSON}}}) as varchar)
 from (select * from v_catalogue where status in ('active', 'coming_soon'))
 union all
-select 'catalogo', null, '', 'categorias', category_id, cast(to_json({{category_id: category_id, name: name,
+select 'catalogo', null, '', 'categorias', row_number() over (order by name, category_id), cast(to_json({{category_id: category_id, name: name,
   description: 'linha ' || name, product_count: n}}) as varchar)
 from (select c.category_id, c.name, count(p.product_id) n from v_category c
       left join v_product p on p.category_id = c.category_id and p.status = 'active' group by all)
 union all select 'catalogo', null, '', 'nota', 0, {_q(V.INDEX_NOTE)}
 union all
-select 'promocoes', null, '', 'promocoes', promotion_id, cast(to_json({{product: product, promo_name: promo_name,
+select 'promocoes', null, '', 'promocoes', row_number() over (order by discount_percent desc, promotion_id, product_id, promo_name), cast(to_json({{product: product, promo_name: promo_name,
   original_price_brl: cast(original_price_brl as double), discount_percent: cast(discount_percent as double),
   promo_price_brl: cast(promo_price_brl as double)}}) as varchar) from v_active_promo
 union all
@@ -633,7 +666,7 @@ select distinct 'fonte' || p_size, null, '', 'error', 0, '{V.UNKNOWN_SOURCE}' ||
         *RETRIEVE, *CATALOGUE, "v_active_promo", "v_page_key", "v_page",
     ),
     "tool_calls_batch": _sql(
-        f"""select c.call_id, 'pedidos' part, p.order_id seq, p.payload from v_call c join v_payload p on p.order_id = c.user_id
+        f"""select c.call_id, 'pedidos' part, 1 seq, p.payload from v_call c join v_payload p on p.order_id = c.user_id
 where event_type = 'view'
 union all select call_id, 'aviso', 0, {_q(V.ADVICE_NOTHING)} from v_call where event_type = 'purchase'
 union all

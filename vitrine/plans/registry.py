@@ -82,7 +82,8 @@ def best_promo(spark, sf_dir):
 
 @query
 def active_promotions(spark, sf_dir):
-    return W.store(spark, sf_dir).active_promotions
+    """Largest discount first: ``seq`` is the place."""
+    return C.ranked_promotions(W.store(spark, sf_dir).active_promotions)
 
 
 @query
@@ -239,7 +240,7 @@ def order_lookup_batch(spark, sf_dir):
     store = W.store(spark, sf_dir)
     orders = O.with_deadlines(O.orders_of(store.orders, store.customers), W.AS_OF)
     return O.lookup(W.order_requests(spark, sf_dir), orders).select(
-        "request_id", "key", "order_id", "customer_name", "order_date", "status", "total_brl", "payment_label",
+        "request_id", "key", "seq", "order_id", "customer_name", "order_date", "status", "total_brl", "payment_label",
         "tracking_code", "deadlines.caminho_sugerido", "deadlines_note",
     )
 
@@ -257,6 +258,19 @@ def order_payload_json(spark, sf_dir):
     return O.order_payloads(store.orders, store.customers, store.order_items, store.products, W.AS_OF)
 
 
+@query
+def order_item_lines(spark, sf_dir):
+    """Numbered lines of every order; the first line of each order is moved to one very large order."""
+    return O.item_lines(W.items_with_large_order(spark, sf_dir), W.products(spark, sf_dir))
+
+
+@query
+def order_item_blocks(spark, sf_dir):
+    """The same lines nested in blocks of 1,000."""
+    lines = O.item_lines(W.items_with_large_order(spark, sf_dir), W.products(spark, sf_dir))
+    return O.item_blocks(lines).withColumn("n", F.size("items")).withColumn("items", F.to_json("items"))
+
+
 # ---- documents ------------------------------------------------------------------------------------
 
 
@@ -381,6 +395,20 @@ def route_and_answer(spark, sf_dir):
     return R.answer(W.route_requests(spark, sf_dir), W.store(spark, sf_dir), W.AS_OF, compat=True)
 
 
+@query
+def route_lists(spark, sf_dir):
+    """Which customer list answers each routed request."""
+    return R.routed_lists(W.route_requests(spark, sf_dir), W.store(spark, sf_dir), compat=True)[1]
+
+
+@query
+def list_answers(spark, sf_dir):
+    """What each customer list answers, once however many requests name it."""
+    store = W.store(spark, sf_dir)
+    lists = R.routed_lists(W.route_requests(spark, sf_dir), store, compat=True)[2]
+    return R.customer_answers(cut(lists, "lists"), store, W.AS_OF, compat=True)
+
+
 @query
 def context_load(spark, sf_dir):
     store, sections = W.store(spark, sf_dir), _sections(spark, sf_dir)

@@ -120,6 +120,16 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LARGE_ORDER = "case when l_linenumber = 1 then 0 else l_orderkey end"
+
+
+def items_with_large_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines where order 0 holds the first line of every order: about a quarter of all."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"{LARGE_ORDER} as order_id", "l_partkey as product_id", "cast(l_quantity as int) as quantity"
+    )
+
+
 def store(spark: SparkSession, sf_dir: str) -> Store:
     views = (categories, products, customers, orders, order_items, promotions)
     return Store(**{view.__name__: view(spark, sf_dir) for view in views})
