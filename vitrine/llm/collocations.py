@@ -70,6 +70,9 @@ def has(bits: np.ndarray, hashes: np.ndarray, lang: str) -> np.ndarray:
 
 def phrases(v: np.ndarray, size: int, lang: str = "", bits: np.ndarray | None = None) -> Iterator[list[bytes]]:
     """The phrases of ``size`` words within pieces, with repeats, whose two parts of ``size - 1`` words are in ``bits``."""
+    if size == 1:
+        yield from singles(v.tobytes())
+        return
     inside = np.zeros(len(v) + 2, dtype=np.int8)
     inside[1:-1] = (v != SPACE) & (v != BREAK)
     edges = np.flatnonzero(np.diff(inside))
@@ -82,19 +85,28 @@ def phrases(v: np.ndarray, size: int, lang: str = "", bits: np.ndarray | None =
     for i in range(size - 1):
         fits &= near[i : i + last]
     for low in range(0, last, STRETCH):
-        i = low + np.flatnonzero(fits[low : low + STRETCH])
-        if len(i) == 0:
-            continue
+        fit = fits[low : low + STRETCH]
         first = start[low]
-        part = v[first : end[min(low + STRETCH, last) + size - 2]]
+        part = v[first : end[low + len(fit) + size - 2]]
         if bits is not None:
-            sums = prefix_hash(part)
-            for j in (0, 1):
-                i = i[has(bits, span_hash(sums, start[i + j] - first, end[i + j + size - 2] - first), lang)]
+            k = np.arange(low, low + len(fit) + 1)
+            known = has(bits, span_hash(prefix_hash(part), start[k] - first, end[k + size - 2] - first), lang)
+            fit = fit & known[:-1] & known[1:]
+        i = low + np.flatnonzero(fit)
         raw = part.tobytes()
         yield [raw[a:b] for a, b in zip((start[i] - first).tolist(), (end[i + size - 1] - first).tolist())]
 
 
+def singles(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of normal bytes, a stretch at a time."""
+    low = 0
+    while low < len(raw):
+        cuts = [at for at in (raw.find(b" ", low + CHUNK), raw.find(b"\n", low + CHUNK)) if at >= 0]
+        high = min(cuts, default=len(raw))
+        yield raw[low:high].split()
+        low = high
+
+
 def chunks(langs: list[str], texts: list[bytes]) -> Iterator[tuple[str, bytes]]:
     """Texts by language, short ones joined by a break."""
     by_lang: dict[str, list[bytes]] = {}
@@ -118,34 +130,34 @@ def counted(docs: DataFrame, size: int, floor: int, bits: np.ndarray | None = No
     sent = docs.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: dict[str, Counter] = {}
         sums: Counter = Counter()
         known = sent.value if sent is not None else None
 
-        def rows(counts: dict) -> pa.RecordBatch:
-            langs, found = zip(*counts)
+        def rows(lang: str, counts: dict[bytes | None, int]) -> pa.RecordBatch:
             columns = [
-                pa.array(langs, pa.string()),
-                pa.array(found, pa.binary()).cast(pa.string()),
+                pa.array([lang], pa.string()).take(pa.array(np.zeros(len(counts), dtype=np.int64))),
+                pa.array(counts, pa.binary()).cast(pa.string()),
                 pa.array(counts.values(), pa.int64()),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
 
         for batch in batches:
             for lang, raw in chunks(batch.column("lang").to_pylist(), blobs(batch, "text")):
+                own = held.setdefault(lang, Counter())
                 for some in phrases(normal(raw), size, lang, known):
-                    for phrase, n in Counter(some).items():
-                        held[lang, phrase] += n
-                    sums[lang, None] += len(some)
-                if len(held) >= HELD:
-                    yield rows(held)
-                    held.clear()
+                    own.update(some)
+                    sums[lang] += len(some)
+                if sum(map(len, held.values())) >= HELD:
+                    yield from (rows(*item) for item in held.items() if item[1])
+                    held = {}
+        yield from (rows(*item) for item in held.items() if item[1])
         if size == 1:
-            held.update(sums)
-        if held:
-            yield rows(held)
+            yield from (rows(lang, {None: n}) for lang, n in sums.items())
 
-    found = docs.mapInArrow(count, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # Tasks have counted already, so rows go to their phrase's task without another count before the shuffle.
+    found = docs.mapInArrow(count, "lang string, phrase string, f bigint").repartition("lang", "phrase")
+    found = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     out = cut(found.where((F.col("f") >= floor) | F.col("phrase").isNull()), f"phrases-{size}")
     if sent is not None:
         sent.destroy()
@@ -174,23 +186,25 @@ def bit_table(known: DataFrame) -> np.ndarray:
     return bits
 
 
-def remembered(stream: DataFrame, value: Column, name: str, key: str, down: bool = False) -> DataFrame:
-    """``stream``, in ranges ``part`` of (lang, key), with the last value that is not NULL up to each row in ``name``, read
+def remembered(stream: DataFrame, values: dict[str, Column], key: str, down: bool = False) -> DataFrame:
+    """``stream``, in ranges ``part`` of (lang, key), with the last of each value that is not NULL up to each row, read
     upwards or downwards."""
 
     def order(turned: bool) -> list[Column]:
         return [F.col(c).desc() if turned else F.col(c).asc() for c in ("lang", key)]
 
     inside = Window.partitionBy("part").orderBy(*order(down)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = stream.withColumn(name, F.last(value, ignorenulls=True).over(inside))
+    here = stream.withColumns({name: F.last(value, ignorenulls=True).over(inside) for name, value in values.items()})
     # What a range hands on stands in its last row; there are no more rows of this kind than ranges.
-    last = F.row_number().over(Window.partitionBy("part").orderBy(*order(not down)))
-    tails = here.withColumn("_last", last).where("_last = 1").select("part", F.col(name).alias("_tail"))
+    place = F.struct("lang", key)
+    last = F.min_by(F.struct(*values), place) if down else F.max_by(F.struct(*values), place)
+    tails = here.groupBy("part").agg(last.alias("_tail"))
     before = Window.orderBy(F.col("part").desc() if down else F.col("part").asc())
     before = before.rowsBetween(Window.unboundedPreceding, -1)
-    handed = tails.select(F.col("part").alias("_part"), F.last("_tail", ignorenulls=True).over(before).alias("_handed"))
-    joined = here.join(handed, F.col("part") == F.col("_part"))
-    return joined.withColumn(name, F.coalesce(name, "_handed")).drop("_part", "_handed")
+    handed = [F.last(F.col("_tail")[name], ignorenulls=True).over(before).alias(f"_{name}") for name in values]
+    joined = here.join(tails.select(F.col("part").alias("_part"), *handed), F.col("part") == F.col("_part"))
+    whole = {name: F.coalesce(name, f"_{name}") for name in values}
+    return joined.withColumns(whole).drop("_part", *[f"_{name}" for name in values])
 
 
 def parts_met(rows: DataFrame, key: str, share: float, names: tuple[str, str, str]) -> DataFrame:
@@ -198,13 +212,13 @@ def parts_met(rows: DataFrame, key: str, share: float, names: tuple[str, str, st
     and whether a phrase one word longer in this order has ``share`` of the count."""
     one, two, covered = names
     stream = in_ranges(rows, "lang", F.col(key))
-    stream = remembered(stream, F.when(F.col("size") == 1, F.col("f")), one, key)
-    stream = cut(remembered(stream, F.when(F.col("size") == 2, F.col("f")), two, key), "stream")
+    counts = {one: F.when(F.col("size") == 1, F.col("f")), two: F.when(F.col("size") == 2, F.col("f"))}
+    stream = cut(remembered(stream, counts, key), "stream")
     extended = F.struct("lang", F.slice(key, 1, 2).alias("words"))
     marks = F.when((F.col("size") == 3) & (F.col("f") >= share * F.col(two)), extended)
-    stream = remembered(stream, marks, "_mark", key, down=True)
-    own = F.col("_mark").eqNullSafe(F.struct("lang", F.col(key).alias("words")))
-    return stream.withColumn(covered, own).drop("_mark", "part", key)
+    stream = remembered(stream, {"mark": marks}, key, down=True)
+    own = F.col("mark").eqNullSafe(F.struct("lang", F.col(key).alias("words")))
+    return stream.withColumn(covered, own).drop("mark", "part", key)
 
 
 def whole_score(a: Column, left: Column, right: Column) -> Column:
