@@ -292,7 +292,7 @@ select request_id, q, entity, case when rule <> 'maybe' then rule
 select * from (select k.key, c.*, row_number() over (partition by k.key order by c.price_brl, c.product_id) as rank
   from v_page_key k join v_catalogue c on contains({_fold('c.category')}, {_fold('k.key')})
   where c.status in ('active', 'coming_soon'))""",
-    "v_reset": "select distinct 's' || user_id session_id from events where event_type = 'error'",
+    "v_reset": "select distinct 's' || user_id session_id from events where event_type = 'error' and user_id % 3 > 0",
     "v_reply": """
 select session_id, case when length(content) % 5 = 0 then ' ' else content end as content
 from v_message where role = 'assistant'""",
@@ -312,6 +312,9 @@ RETRIEVE = (*DOCS, "v_section_request", "v_ask", "v_numbered", "v_keyed", "v_pic
 DUE = ("v_order", "v_label", "v_due")
 ROUTED = ("v_customer", "v_route_request", "v_rule", "v_found", "v_routed")
 
+CHANGED_DOCUMENTS = (
+    "select * replace (case when doc_id % 3 = 0 then 'Novo. ' || text else text end as text) from documents"
+)
 PROMO_COLUMNS = """promo_name, cast(discount_percent as double) discount_percent,
   cast(promo_price_brl as double) promo_price_brl"""
 MASK = """name, city, case when length(phone) = 0 then phone else
@@ -591,6 +594,19 @@ where session_id not in (select session_id from v_reset) group by session_id""",
     "session_reset": _sql(
         "select * from v_message where session_id not in (select session_id from v_reset)", "v_message", "v_reset"
     ),
+    "session_log": _sql(
+        "select * from v_message where cast(substr(session_id, 2) as bigint) % 3 > 0 or message_id > 4", "v_message"
+    ),
+    "session_registry": _sql(
+        """select session_id, min(message_id) first_message_id from v_message
+where cast(substr(session_id, 2) as bigint) % 3 > 0 or message_id > 4 group by session_id""",
+        "v_message",
+    ),
+    "chunk_table": _sql(
+        "select doc_id, chunk_no, section, text from v_chunk where doc_id % 7 > 0",
+        *CHUNKS,
+        v_line=VIEWS["v_line"].replace("from documents", f"from ({CHANGED_DOCUMENTS})"),
+    ),
     "transcript_render": _sql(
         f"""select session_id, 'model: desk-1' || chr(10) || chr(10) || string_agg('**' ||
    case when role = 'user' then '{V.ROLE_CUSTOMER}' else '{V.ROLE_AGENT}' end || ':** ' || content || chr(10), chr(10)
@@ -690,7 +706,9 @@ from v_call where event_type = 'error'""",
     ),
     "ingest_typed_cast": _sql(
         """select product_id, name, case when product_id % 9 > 0 then cast(category_id as bigint) end category_id,
-  case when product_id % 7 > 0 then cast(price_brl as double) end price_brl, cast(stock_quantity as bigint) stock_quantity,
+  case when product_id % 7 > 0 then cast(price_brl as double) end price_brl,
+  case when product_id % 8 > 0 then cast(stock_quantity as bigint) end stock_quantity,
+  case when product_id % 8 > 0 then cast(stock_quantity as bigint) else 0 end stock_filled,
   status, specs_raw, case when product_id % 5 > 0 then cast(created_at as varchar) end created_at,
   concat_ws(',', case when product_id % 9 = 0 then 'category_id' end, case when product_id % 7 = 0 then 'price_brl' end,
      case when product_id % 5 = 0 then 'created_at' end) cast_errors from v_product""",
@@ -713,6 +731,12 @@ union all select 'products', 'not_null(stock_quantity)', count(*) from v_product
 union all select 'products', 'not_null(status)', count(*) from v_product where status is null
 union all select 'products', 'unique(product_id)', count(*) from (select product_id from v_product group by 1 having count(*) > 1)
 union all select 'products', 'references(category_id)', count(*) from v_product where product_id % 50 = 7
+union all select 'products', 'linked(category_id)', count(*) from v_product where product_id % 50 = 8
+union all select 'products', 'indexed(product_id)', 1 + count(*) from v_product where product_id % 30 = 0
+union all select 'orders', 'linked(customer_id)', 0
+union all select 'order_items', 'linked(order_id)', 0
+union all select 'order_items', 'linked(product_id)', 0
+union all select 'promotions', 'linked(product_id)', 0
 union all select 'customers', 'not_null(name)', count(*) from v_customer where name is null
 union all select 'customers', 'unique(customer_id)', count(*) from (select customer_id from v_customer group by 1 having count(*) > 1)
 union all select 'orders', 'unique(order_id)', count(*) from (select o_orderkey from orders group by 1 having count(*) > 1)

@@ -19,7 +19,7 @@ from vitrine.operators import router as R
 from vitrine.operators import search as S
 from vitrine.operators import suggest as G
 from vitrine.plans import views as W
-from vitrine.sources import files
+from vitrine.sources import files, sessions, sinks
 from vitrine.sources.checkpoint import cut, scratch
 from vitrine.sources.schemas import TABLES
 from vitrine.sources.store import parsed_specs
@@ -330,7 +330,8 @@ def history_last_n(spark, sf_dir):
 
 
 def _replayed_sessions(spark, sf_dir):
-    return W.table(spark, sf_dir, "events").where("event_type = 'error'").select(
+    """Sessions with an error event, but for every third: some sessions stay, some go."""
+    return W.table(spark, sf_dir, "events").where("event_type = 'error' and user_id % 3 > 0").select(
         F.concat(F.lit("s"), "user_id").alias("session_id")
     )
 
@@ -345,6 +346,40 @@ def session_reset(spark, sf_dir):
     return M.reset(W.messages(spark, sf_dir), _replayed_sessions(spark, sf_dir))
 
 
+def _merged_log(spark, sf_dir):
+    """The log merged in two changes: the second repeats a turn and resets every third session up to turn 4."""
+    log = W.messages(spark, sf_dir).withColumn("created_at", F.timestamp_seconds("message_id"))
+    reset = F.pmod(F.substring("session_id", 2, 20).cast("long"), F.lit(3)) == 0
+    resets = log.where(reset).select("session_id").distinct().select(
+        "session_id", F.lit(4).cast("long").alias("message_id"), F.lit("reset").alias("role"),
+        F.lit(None).cast("string").alias("content"), F.lit(None).cast("timestamp").alias("created_at"),
+    )
+    base = scratch(spark, "session_log")
+    sessions.merge(spark, base, log.where("message_id < 3"))
+    sessions.merge(spark, base, log.where("message_id >= 2").unionByName(resets))
+    return sessions.read(spark, base)
+
+
+@query
+def session_log(spark, sf_dir):
+    return _merged_log(spark, sf_dir).messages.drop("created_at")
+
+
+@query
+def session_registry(spark, sf_dir):
+    return _merged_log(spark, sf_dir).sessions.drop("created_at")
+
+
+@query
+def chunk_table(spark, sf_dir):
+    """The chunk table after a second load in which every third document changed and every seventh is gone."""
+    docs, base = W.documents(spark, sf_dir), scratch(spark, "chunk_table")
+    sinks.replace_chunks(spark, base, docs.where("doc_id is not null"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Novo. "), "text")).otherwise(F.col("text"))
+    sinks.replace_chunks(spark, base, docs.where("doc_id % 7 > 0").withColumn("text", text))
+    return sinks.read_chunks(spark, base)
+
+
 @query
 def transcript_render(spark, sf_dir):
     return M.render(W.messages(spark, sf_dir), "desk-1")
@@ -462,14 +497,18 @@ def ingest_typed_cast(spark, sf_dir):
         F.when(F.col("product_id") % 9 == 0, F.lit("x1")).otherwise(F.col("category_id").cast("string")).alias("category_id"),
         F.when(F.col("product_id") % 7 == 0, F.lit("R$ 5")).otherwise(F.col("price_brl").cast("string")).alias("price_brl"),
         "description",
-        "stock_quantity",
+        F.when(F.col("product_id") % 8 > 0, F.col("stock_quantity")).alias("stock_quantity"),
         "status",
         F.col("specs_raw").alias("specs"),
         F.when(F.col("product_id") % 5 == 0, F.lit("2025-2-30")).otherwise(F.col("created_at").cast("string")).alias("created_at"),
     )
     path = _write_csv(feed, scratch(spark, "ingest_typed_cast"))
-    rows = files.typed(files.read_csv(spark, path), TABLES["products"], strict=False)
-    return rows.withColumn("cast_errors", F.array_join("cast_errors", ",")).drop("description")
+    raw = files.read_csv(spark, path)
+    rows = files.typed(raw, TABLES["products"], strict=False)
+    filled = files.typed(raw, TABLES["products"], strict=False, defaults=True)
+    filled = filled.select("product_id", F.col("stock_quantity").alias("stock_filled"))
+    rows = rows.withColumn("cast_errors", F.array_join("cast_errors", ",")).drop("description")
+    return rows.join(filled, "product_id")
 
 
 @query
@@ -496,7 +535,10 @@ def dq_constraint_audit(spark, sf_dir):
         "categories": store.categories,
         "products": store.products.withColumn(
             "price_brl", F.when(F.col("stock_quantity") > 0, F.col("price_brl"))
-        ).withColumn("category_id", F.when(F.col("product_id") % 50 == 7, F.lit(99)).otherwise(F.col("category_id"))),
+        ).withColumn(
+            "category_id",
+            F.when(F.col("product_id") % 50 == 7, F.lit(99)).when(F.col("product_id") % 50 != 8, F.col("category_id")),
+        ),
         "customers": store.customers,
         "orders": store.orders.withColumn(
             "customer_id", F.when(F.col("order_id") % 40 == 3, -F.col("order_id")).otherwise(F.col("customer_id"))
@@ -506,4 +548,7 @@ def dq_constraint_audit(spark, sf_dir):
         ),
         "promotions": store.promotions,
     }
-    return Q.audit(tables)
+    # The index lacks every thirtieth product and holds one that is none.
+    entries = S.build_index(store.listing).where("product_id % 30 > 0")
+    ghost = spark.range(1).select(F.lit("fantasma").alias("token"), F.lit(-1).cast("long").alias("product_id"))
+    return Q.audit(tables, entries.unionByName(ghost))

@@ -47,8 +47,8 @@ def _typed(text: Column, kind: str) -> Column:
     return text.try_cast(kind)
 
 
-def typed(raw: DataFrame, table: Table, strict: bool = True) -> DataFrame:
-    """Cast the text cells to the table's types.
+def typed(raw: DataFrame, table: Table, strict: bool = True, defaults: bool = False) -> DataFrame:
+    """Cast the text cells to the table's types. With ``defaults``, blank cells of columns that declare one get it.
 
     A number that does not parse is an error; with ``strict=False`` it becomes NULL and its column is
     listed in ``cast_errors``. Dates that do not parse are NULL either way.
@@ -61,6 +61,8 @@ def typed(raw: DataFrame, table: Table, strict: bool = True) -> DataFrame:
         if strict and kind not in ("string", "date"):
             message = F.concat(F.lit(f"{table.name}.{name}: not a valid {kind}: "), text)
             value = F.when(broken, F.raise_error(message)).otherwise(value)
+        if defaults:
+            value = default_filled(table, name, text, value)
         if kind != "string":
             errors.append(F.when(broken, F.lit(name)))
         columns.append(value.alias(name))
@@ -69,18 +71,32 @@ def typed(raw: DataFrame, table: Table, strict: bool = True) -> DataFrame:
     return raw.select(*columns)
 
 
+def default_filled(table: Table, name: str, text: Column, value: Column) -> Column:
+    """``value``, or the column's declared default where the cell is blank. A cell that does not parse stays as it is."""
+    if name not in table.defaults:
+        return value
+    return F.when(text.isNull(), F.lit(table.defaults[name]).cast(table.columns[name])).otherwise(value)
+
+
 def load_all(
-    spark: SparkSession, feeds: dict[str, str], target: str, strict: bool = True, multi_line: bool = True
+    spark: SparkSession,
+    feeds: dict[str, str],
+    target: str,
+    strict: bool = True,
+    multi_line: bool = True,
+    defaults: bool = False,
 ) -> DataFrame:
     """Replace every table under ``target`` from its CSV feed; returns ``(table, rows)``.
 
+    ``defaults`` fills blank cells of columns that declare a default; without it they stay NULL, and the audit names them.
+
     Each table is written in one pass to a new folder; the counts come from the write itself. The list of current
     folders is extended in one commit when all are written, so a feed that fails leaves every table as it was.
     """
     version, counts = uuid.uuid4().hex, []
     for name, path in feeds.items():
         seen = Observation(f"load_{name}")
-        rows = typed(read_csv(spark, path, multi_line), TABLES[name], strict)
+        rows = typed(read_csv(spark, path, multi_line), TABLES[name], strict, defaults)
         rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{target}/{version}/{name}")
         counts.append((name, int(seen.get["rows"])))
     current = [(name, version, time.time_ns()) for name in feeds]

@@ -12,6 +12,7 @@ class Table:
     key: str | None = None
     required: tuple[str, ...] = ()
     references: dict[str, tuple[str, str]] = field(default_factory=dict)
+    defaults: dict[str, object] = field(default_factory=dict)
 
 
 TABLES = {
@@ -39,6 +40,7 @@ TABLES = {
             key="product_id",
             required=("name", "price_brl", "stock_quantity", "status"),
             references={"category_id": ("categories", "category_id")},
+            defaults={"stock_quantity": 0},
         ),
         Table(
             "customers",
@@ -79,6 +81,7 @@ TABLES = {
             key="promotion_id",
             required=("is_active",),
             references={"product_id": ("products", "product_id")},
+            defaults={"is_active": False},
         ),
     )
 }
