@@ -260,7 +260,8 @@ select o_orderkey * 3 + 1, case o_orderkey % 3 when 0 then cast(o_orderkey as va
 from orders
 union all
 select p_partkey * 3 + 2, case p_partkey % 4 when 0 then p_name when 1 then p_name || ' ' || lower(p_type)
-        when 2 then upper(p_name) || ' zzqx' else split_part(p_name, ' ', 1) end,
+        when 2 then upper(p_name) || ' zzqx'
+        else case when p_partkey % 8 = 7 then replace(p_name, ' ', 'x ') || 'x' else split_part(p_name, ' ', 1) end end,
    case p_partkey % 6 when 0 then 'produtos' when 1 then 'promocoes' else 'auto' end
 from part""",
     "v_rule": f"""
@@ -352,11 +353,25 @@ select request_id, cast(way as bigint) way, customer_id from (
     select r.request_id, 3, c.customer_id from v_lookup r join v_customer c on contains(lower(c.name), lower(r.name))))
 where way = best"""
 
+VIEWS["v_similar"] = f"""
+select * from (with asked as (select distinct q, unnest({_words('q', 1)}) w from v_missed),
+known as (select distinct name, unnest({_words('name', 1)}) w from v_catalogue where status in ('active', 'coming_soon')),
+asked_pair as (select w, p, len(ps) n from (select w, {_pairs('w')} ps from (select distinct w from asked)), unnest(ps) t(p)),
+known_pair as (select w, p, len(ps) n from (select w, {_pairs('w')} ps from (select distinct w from known)), unnest(ps) t(p)),
+alike as (select a, k, cast(2.0 as double) * shared / (an + kn) score from (
+  select a.w a, k.w k, a.n an, k.n kn, count(*) shared from asked_pair a join known_pair k using (p) group by all)
+  where cast(2.0 as double) * shared / (an + kn) >= 0.6),
+scored as (select q, name, cast(max(score) as double) score from asked join alike on a = asked.w join known on k = known.w
+  group by q, name),
+page as (select * from scored qualify row_number() over (partition by q order by name) <= {V.SUGGESTIONS_SHOWN})
+select request_id, suggestions, score from v_missed join (
+  select q, array_to_string(list_sort(list(name)), ', ') suggestions, max(score) score from page group by q) using (q))"""
 VIEWS["v_payload"] = ORDERS_JSON
 # Answers to the routed requests: (request_id, part, seq, payload).
 VIEWS["v_answer"] = f"""
 select request_id, 'produtos' part, rank seq, {PRODUCT_JSON} payload from v_detail
 union all select distinct request_id, 'aviso', 0, {_q(V.ADVICE_PARTIAL)} from v_detail where partial
+union all select request_id, 'aviso', 0, {_q(V.ADVICE_SIMILAR)} || suggestions || {_q(V.ADVICE_SIMILAR_END)} from v_similar
 union all
 select t.request_id, 'promocoes', 0, cast(to_json({{list: t.term, count: n.n}}) as varchar)
 from (select request_id, unnest(case when len(w) > 0 then w else ['*'] end) term from (
@@ -385,14 +400,26 @@ ROUTED_SEARCH = """
 select request_id, q query, null::varchar category, null::decimal(12,2) max_price, null::decimal(12,2) min_price,
   false in_stock_only, false include_discontinued, 6 lim from v_routed where kind = 'product'"""
 ANSWER = (
-    *CATALOGUE, "v_active_promo", *ROUTED, *SEARCH[5:], "v_detail", *DUE, "v_item", "v_payload", "v_answer", "v_answered",
+    *CATALOGUE, "v_active_promo", *ROUTED, *SEARCH[5:], "v_detail", "v_missed", "v_similar", *DUE, "v_item", "v_payload", "v_answer", "v_answered",
 )
 VIEWS["v_list"] = """
 select distinct way, key, customer_id from v_found join v_routed using (request_id)
 where kind in ('email', 'phone', 'customer')"""
-VIEWS["v_call"] = """
+CALL_CODE = "translate(lpad(cast(user_id as varchar), 9, '0'), '0123456789', 'aeioubcdfg')"
+VIEWS["v_call"] = f"""
 select event_id call_id, user_id doc_id, event_id % 2 = 0 as even, event_id % 4 = 1 as broken, event_type,
-  json_extract_string(props, '$.k') k, user_id from events"""
+  json_extract_string(props, '$.k') k, user_id,
+  case when event_type = 'view' then cast(user_id as varchar) else case event_id % 6 when 0 then 'hot bolt' when 1 then 'hotx boltx'
+    when 2 then {CALL_CODE} when 3 then 'anvil' when 4 then 'ring' else 'zzzzz' || {CALL_CODE} end end query,
+  case when event_type = 'view' then 'pedidos' else case event_id % 6 when 3 then 'promocoes' when 4 then 'produtos' else 'auto' end end entity,
+  case when event_type = 'purchase' then cast(value as decimal(12,2)) + 900 end max_price,
+  case when event_type = 'purchase' then 2 else 6 end lim
+from events"""
+CALLED = "select call_id request_id, query, entity from v_call where event_type in ('view', 'purchase')"
+CALLED_SEARCH = """
+select r.request_id, r.q query, null::varchar category, c.max_price, null::decimal(12,2) min_price,
+  false in_stock_only, false include_discontinued, c.lim
+from v_routed r join v_call c on c.call_id = r.request_id where r.kind = 'product'"""
 
 ORACLES: dict[str, str] = {
     "catalogue_effective_price": _sql(
@@ -475,21 +502,7 @@ join (select term, product from (select distinct unnest({_words("coalesce(query,
 join v_active_promo p using (product)""",
         "v_product", "v_promo", "v_active_promo", "v_search",
     ),
-    "suggest_names": _sql(
-        f"""select * from (with asked as (select distinct q, unnest({_words('q', 1)}) w from v_missed),
-known as (select distinct name, unnest({_words('name', 1)}) w from v_catalogue where status in ('active', 'coming_soon')),
-asked_pair as (select w, p, len(ps) n from (select w, {_pairs('w')} ps from (select distinct w from asked)), unnest(ps) t(p)),
-known_pair as (select w, p, len(ps) n from (select w, {_pairs('w')} ps from (select distinct w from known)), unnest(ps) t(p)),
-alike as (select a, k, cast(2.0 as double) * shared / (an + kn) score from (
-  select a.w a, k.w k, a.n an, k.n kn, count(*) shared from asked_pair a join known_pair k using (p) group by all)
-  where cast(2.0 as double) * shared / (an + kn) >= 0.6),
-scored as (select q, name, cast(max(score) as double) score from asked join alike on a = asked.w join known on k = known.w
-  group by q, name),
-page as (select * from scored qualify row_number() over (partition by q order by name) <= {V.SUGGESTIONS_SHOWN})
-select request_id, suggestions, score from v_missed join (
-  select q, array_to_string(list_sort(list(name)), ', ') suggestions, max(score) score from page group by q) using (q))""",
-        *SEARCH, "v_missed",
-    ),
+    "suggest_names": _sql("select * from v_similar", *SEARCH, "v_missed", "v_similar"),
     "suggest_names_lev": _sql(
         f"""select request_id, array_to_string(list_sort(list(name))[1:5], ', ') suggestions from (
   select m.request_id, n.name from v_missed m, (
@@ -682,9 +695,7 @@ select distinct 'fonte' || p_size, null, '', 'error', 0, '{V.UNKNOWN_SOURCE}' ||
         *RETRIEVE, *CATALOGUE, "v_active_promo", "v_page_key", "v_page",
     ),
     "tool_calls_batch": _sql(
-        f"""select c.call_id, 'pedidos' part, 1 seq, p.payload from v_call c join v_payload p on p.order_id = c.user_id
-where event_type = 'view'
-union all select call_id, 'aviso', 0, {_q(V.ADVICE_NOTHING)} from v_call where event_type = 'purchase'
+        f"""select request_id call_id, part, cast(seq as bigint) seq, payload from v_answered
 union all
 select call_id, 'context', 0, cast(to_json({{source: 'manual', doc_id: doc_id, key: k}}) as varchar) from v_call where event_type = 'click'
 union all
@@ -695,7 +706,7 @@ union all
 select call_id, 'error', 0, case when even then '{V.UNKNOWN_TOOL}drop_table'
   when broken then 'JSONDecodeError: arguments are not valid JSON' else 'TypeError: unexpected argument q' end
 from v_call where event_type = 'error'""",
-        *DUE, "v_customer", "v_item", "v_product", "v_payload", "v_call",
+        "v_call", *ANSWER, v_route_request=CALLED, v_search=CALLED_SEARCH,
     ),
     "json_props": """select event_id, case when event_type <> 'error' then json_extract_string(props, '$.k') end k,
   case when event_type = 'error' then substr(props, 2) end unparsed from events""",

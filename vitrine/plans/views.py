@@ -253,14 +253,25 @@ def route_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_part = table(spark, sf_dir, "part").selectExpr(
         "p_partkey * 3 + 2 as request_id",
         "case p_partkey % 4 when 0 then p_name when 1 then concat(p_name, ' ', lower(p_type))"
-        " when 2 then concat(upper(p_name), ' zzqx') else split_part(p_name, ' ', 1) end as query",
+        " when 2 then concat(upper(p_name), ' zzqx')"
+        " else if(p_partkey % 8 = 7, concat(replace(p_name, ' ', 'x '), 'x'), split_part(p_name, ' ', 1)) end as query",
         "case p_partkey % 6 when 0 then 'produtos' when 1 then 'promocoes' else 'auto' end as entity",
     )
     return by_customer.unionByName(by_order).unionByName(by_part)
 
 
+CALL_CODE = "translate(lpad(cast(user_id as string), 9, '0'), '0123456789', 'aeioubcdfg')"
+CALL_QUERY = (
+    f"case event_id % 6 when 0 then 'hot bolt' when 1 then 'hotx boltx' when 2 then {CALL_CODE} when 3 then 'anvil'"
+    f" when 4 then 'ring' else concat('zzzzz', {CALL_CODE}) end"
+)
+CALL_ENTITY = "case event_id % 6 when 3 then 'promocoes' when 4 then 'produtos' else 'auto' end"
+CALL_PRICE = "cast(value as decimal(12,2)) + 900"
+
+
 def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tool call per event: searches, context loads, unknown tools and broken arguments."""
+    """A tool call per event: searches for orders, products, misspelt products, promotions and customers, context loads,
+    unknown tools and broken arguments."""
     return table(spark, sf_dir, "events").selectExpr(
         "event_id as call_id",
         "case event_type when 'view' then 'search_store' when 'click' then 'load_context'"
@@ -269,7 +280,7 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "case event_type"
         " when 'view' then concat('{\"query\": \"', user_id, '\", \"entity\": \"pedidos\"}')"
         " when 'click' then concat('{\"source\": \"manual\", \"section\": \"', get_json_object(props, '$.k'), '\"}')"
-        " when 'purchase' then concat('{\"query\": \"zzzzz', translate(cast(user_id as string), '0123456789', 'aeioubcdfg'), '\", \"max_price\": ', value, ', \"limit\": 2}')"
+        f" when 'purchase' then concat('{{\"query\": \"', {CALL_QUERY}, '\", \"entity\": \"', {CALL_ENTITY}, '\", \"max_price\": ', {CALL_PRICE}, ', \"limit\": 2}}')"
         " when 'signup' then if(event_id % 2 = 0, '{\"source\": \"catalogo\"}', '{\"section\": \"1\"}')"
         " else if(event_id % 4 = 1, '{\"query\": ', concat('{\"q\": ', user_id, '}')) end as arguments",
         "user_id as doc_id",
