@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 from vitrine.operators import chatlog as M
 from vitrine.streaming import messages as T
@@ -89,3 +90,55 @@ def test_enrich_joins_current_catalogue(spark, tmp_path):
     out = T.enrich(stream, catalogue).writeStream.format("memory").queryName("enriched").trigger(availableNow=True).start()
     out.awaitTermination()
     assert sorted((r.request_id, r.known) for r in spark.table("enriched").collect()) == [(1, True), (2, False)]
+
+
+def run_history(spark, source, check, sink, idle_ms):
+    stream = T.running_history(spark.readStream.schema(T.MESSAGE).parquet(source), 3, idle_ms)
+    query = stream.writeStream.foreachBatch(sink).outputMode("update").option("checkpointLocation", check)
+    # A stream with idle times asks for a further, empty batch for ever; a run that is to end turns these off.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        run = query.trigger(availableNow=True).start()
+        ended = run.awaitTermination(90)
+        run.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
+    assert ended
+
+
+def test_idle_state_is_dropped_and_a_late_message_still_gives_the_right_history(spark, tmp_path):
+    parts = [
+        [("a", i, "user", f"m{i}", at(i)) for i in range(1, 6)] + [("b", 1, "user", "b1", at(1)), ("c", 2, "reset", "", at(2))],
+        [("a", 0, "user", "late", at(0)), ("b", 2, "user", "b2", at(2)), ("c", 1, "user", "old", at(1)), ("c", 3, "user", "c3", at(3))],
+    ]
+    for idle_ms in (None, 1500):
+        source, log, check = (str(tmp_path / f"{n}{idle_ms}") for n in ("in", "log", "check"))
+        histories, partial = {}, {}
+
+        def keep(batch, _):
+            batch.persist()
+            partial.update({r.session_id: r.partial for r in batch.collect()})
+            whole = {}
+            for r in T.completed(batch, spark.read.schema(T.MESSAGE).parquet(log), 3).collect():
+                whole.setdefault(r.session_id, []).append(r.message_id)
+            histories.update({s: sorted(ids) for s, ids in whole.items()})
+            batch.unpersist()
+
+        for part in parts:
+            write(spark, source, part)
+            write(spark, log, part)
+            run_history(spark, source, check, keep, idle_ms)
+            if part is parts[0]:
+                time.sleep(2)
+        assert histories == {"a": [3, 4, 5], "b": [1, 2], "c": [3]}, idle_ms
+        # With its state dropped, a session that had its three messages is partial again.
+        assert partial == dict.fromkeys("abc", idle_ms is not None)
+
+
+def test_state_in_use_is_kept(spark, tmp_path):
+    source, check = str(tmp_path / "in"), str(tmp_path / "check")
+    seen = []
+    for i in range(1, 5):
+        write(spark, source, [("a", i, "user", f"m{i}", at(i))])
+        run_history(spark, source, check, lambda batch, _: seen.extend([sorted((r.message_id, r.partial) for r in batch.collect())] if not batch.isEmpty() else []), 600_000)
+    assert seen == [[(1, True)], [(1, True), (2, True)], [(1, False), (2, False), (3, False)], [(2, False), (3, False), (4, False)]]

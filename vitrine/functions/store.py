@@ -11,7 +11,10 @@ from vitrine.functions import values as V
 from vitrine.functions.text import strip
 
 
-def as_date(day: dt.date | str | Column) -> Column:
+def as_date(day: dt.date | str | Column | None) -> Column:
+    """A date; without one, today in the store's time zone."""
+    if day is None:
+        return store_today()
     if isinstance(day, Column):
         return day.cast("date")
     return F.lit(str(day)).cast("date")
