@@ -119,6 +119,43 @@ o as (
 select o.lang, cast("rank" as bigint) "rank", phrase, cast(a as bigint) a, cast(l as bigint) l, cast(r as bigint) r,
   cast(n as bigint) n, cast(score as bigint) score
 from o join n on n.lang = o.lang where "rank" <= 2000""",
+    "op12_spelling_variants": """
+with recursive step as (
+  select i, cast(i as bigint) c, 0 k from range(256) r(i)
+  union all
+  select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from step where k < 8
+), crc as (select list(c order by i) t from step where k = 8),
+run as (
+  select doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{C0}-\\x{FF}]+')) r
+  from documents
+), named as (select r, encode(coalesce(cast(doc_id as varchar), '') || ':' || r) x, count(*) m from run where length(r) >= 5 group by all),
+hashed as (
+  select r, m, xor(list_reduce(
+    list_prepend(cast(4294967295 as bigint),
+      list_transform(range(0, octet_length(x)), lambda i: cast('0x' || substr(hex(x), 2 * i + 1, 2) as bigint))),
+    lambda a, b: xor(a >> 8, t[xor(a, b) % 256 + 1])), 4294967295) h from named, crc
+), made as (
+  select m, case when h % 97 = 0 then substr(r, 1, cast(h % length(r) as int)) || substr(r, cast(h % length(r) as int) + 2) else r end word
+  from hashed
+), words as (select word, cast(sum(m) as bigint) n from made where length(word) >= 5 group by word having sum(m) >= 3),
+less as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) rest from (select *, unnest(range(1, length(word) + 1)) i from words)),
+near as (
+  select a.word, b.word other, b.n from less a join less b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from less a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from less a join words b on a.rest = b.word
+), best as (
+  select word, other, n, count(*) over (partition by word) n_near from near
+  qualify row_number() over (partition by word order by n desc, other) = 1
+), formed as (
+  select w.word, w.n, coalesce(n_near, 0) n_near, case when b.n >= 2 * w.n then other end form, case when b.n >= 2 * w.n then b.n end form_n
+  from words w left join best b using (word)
+), walk as (
+  select word, form last, 1 k from formed where form is not null
+  union all
+  select walk.word, formed.form, k + 1 from walk join formed on formed.word = walk.last where formed.form is not null
+), ends as (select word, arg_max(last, k) root from walk group by word)
+select word, form, coalesce(root, word) root, n, n_near, form_n from formed left join ends using (word)""",
     "op13_topk": """
 with v as (
   select distinct vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v
