@@ -299,6 +299,24 @@ def test_equal_requests_share_one_list(spark, store):
     assert whole.groupBy("request_id", "part", "seq").count().where("count > 1").isEmpty()
 
 
+def test_searches_share_a_stored_index(spark, store, tmp_path):
+    asked = spark.createDataFrame(
+        [(1, "solvanto", None, None, True, 3), (2, "so", "guit", None, False, 4), (3, "", None, 900.0, False, 5),
+         (4, "q", None, None, False, 50), (5, "nada", None, None, False, 6)],
+        "request_id long, query string, category string, min_price double, in_stock_only boolean, limit int",
+    )
+    path = str(tmp_path / "index")
+    indexed = store.indexed(path)
+    before = sorted(tuple(r) for r in S.search_batch(asked, store.listing).collect())
+    assert before and sorted(tuple(r) for r in S.search_batch(asked, indexed.searchable).collect()) == before
+    # A second reader opens what the first has written.
+    again = S.SearchIndex.open(spark, path)
+    assert sorted(tuple(r) for r in S.search_batch(asked, again).collect()) == before
+    lists = again.postings.groupBy(*S.STORED)
+    counts = lists.agg(F.count("*").alias("n"), F.max("number").alias("most"), F.countDistinct("number").alias("numbers"))
+    assert counts.where("n <> most or n <> numbers").isEmpty()
+
+
 def test_suggestions_follow_the_similarity_rule(spark, store):
     names = sorted(r.name for r in store.listing.where("status != 'discontinued'").collect())
     queries = ["solvanta lm4", "quorvex", "belkar", "ukele", "zzzz", "ventto", "guitarra solvanto", "!!"]

@@ -1,24 +1,29 @@
 """Product search for whole tables of requests.
 
 ``search_batch`` answers "cheapest k products matching any term, within the request's filters" without
-ever pairing a request with a posting list. Per *list* (term, category filter, stock flag, status flag)
-products are numbered by price; a request looks up where its minimum price starts and fetches the next
+ever pairing a request with a posting list. Per *stored list* (word, category, sold or not, in stock or not)
+products are numbered by price, once for each version of the catalogue (``SearchIndex``). A question looks up
+which lists its terms, category and flags mean and where its minimum price starts in each, and fetches the next
 k numbers by equality. So a term found in a third of the catalogue and asked by a third of the requests
-costs (postings) + (requests x k), not their product.
+costs (lists of its words) x k, not postings x requests.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import values as V
 from vitrine.functions.store import sellable
 from vitrine.functions.text import blank_to_null, fold, index_tokens, query_terms, words_of
-from vitrine.sources.checkpoint import cut
 from vitrine.operators.matching import asked_lengths, contains_pairs, prefixes
+from vitrine.operators.ranking import positions
+from vitrine.sources.checkpoint import cut, scratch
 
 LIST = ["term", "category_filter", "in_stock_only", "include_discontinued"]
+STORED = ["token", "category_key", "sellable", "in_stock"]
 # Prices are counted in blocks of 100.00, so no window ever holds more than 10,000 distinct prices.
 PRICE_BLOCK = 100
 ANY = "*"
@@ -39,6 +44,49 @@ def index_stats(catalogue: DataFrame) -> DataFrame:
     return build_index(catalogue).groupBy("token").agg(F.count("*").alias("n_products"))
 
 
+@dataclass(frozen=True)
+class SearchIndex:
+    """The stored index of one version of the catalogue: written once, read by every search.
+
+    A stored list is a word ('' for all products), a category (or any), and one of four disjoint classes: sold or not, in
+    stock or not. ``postings`` numbers the products of each list by price, ``prices`` counts them per price,
+    ``dictionary`` holds the words and ``categories`` the categories with their folded names.
+    """
+
+    postings: DataFrame
+    prices: DataFrame
+    dictionary: DataFrame
+    categories: DataFrame
+
+    @classmethod
+    def build(cls, listing: DataFrame, path: str | None = None) -> SearchIndex:
+        """Write the index of ``listing`` to ``path``, or beside the checkpoints."""
+        spark = listing.sparkSession
+        path = path or scratch(spark, "index")
+        words = F.array_union(search_tokens(), F.array(F.lit("")))
+        rows = listing.select(
+            F.explode(words).alias("token"),
+            "category",
+            F.coalesce(sellable(F.col("status")), F.lit(False)).alias("sellable"),
+            F.coalesce(F.col("stock_quantity") > 0, F.lit(False)).alias("in_stock"),
+            "price_brl",
+            "product_id",
+        ).withColumn("category_key", F.explode(F.array(F.lit(ANY), F.col("category"))))
+        placed = positions(rows.drop("category"), "number", F.col("price_brl"), F.col("product_id"), key=tuple(STORED))
+        placed.select(*STORED, "number", "price_brl", "product_id").write.parquet(f"{path}/postings")
+        postings = spark.read.parquet(f"{path}/postings")
+        postings.groupBy(*STORED, "price_brl").agg(F.count("*").alias("n")).write.parquet(f"{path}/prices")
+        tokens = postings.where("token != ''").select("token").distinct()
+        tokens.write.parquet(f"{path}/dictionary")
+        names = listing.select("category", fold(F.col("category")).alias("folded")).distinct()
+        names.write.parquet(f"{path}/categories")
+        return cls.open(spark, path)
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SearchIndex:
+        return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "prices", "dictionary", "categories")])
+
+
 def terms_table(requests: DataFrame, stems: bool = False) -> DataFrame:
     """One row per (request, position, term)."""
     return requests.select("request_id", F.posexplode(query_terms(F.col("query"), stems)).alias("pos", "term"))
@@ -92,95 +140,95 @@ def _with_spec(requests: DataFrame, stems: bool) -> DataFrame:
     return requests.withColumn("_q", F.struct(*parts)).withColumn("spec", F.to_json("_q"))
 
 
-def _ranked_postings(catalogue: DataFrame, lists: DataFrame, starts: DataFrame, k: int):
-    """Number the products of each list by (price, id).
-
-    Returns ``(list, number, product_id, price_brl)`` and, per requested (list, min_price), how many
-    products are cheaper than it and how many the list has.
-    """
+def _asked_lists(index: SearchIndex, lists: DataFrame) -> DataFrame:
+    """``(LIST..., STORED...)``: the stored lists that make up each asked list, disjoint but for products with several
+    words of one prefix."""
+    known = index.dictionary.withColumn("_lengths", asked_lengths(lists, "term", F.col("term") != ""))
+    starts = known.select("token", F.explode(prefixes(F.array("token"), F.col("_lengths"))).alias("term"))
+    tokens = starts.join(lists.select("term").distinct(), "term", "left_semi")
+    everything = lists.where("term = ''").select("term").distinct().withColumn("token", F.lit(""))
     filters = lists.where("category_filter != ''").select("category_filter").distinct()
-    names = catalogue.select("category", fold(F.col("category")).alias("_folded")).distinct()
-    fits = contains_pairs(names, ["category"], "_folded", filters, "category_filter")
-    wanted = (
+    named = contains_pairs(index.categories, ["category"], "folded", filters, "category_filter")
+    keyed = (
         lists.where("category_filter = ''")
         .withColumn("category_key", F.lit(ANY))
-        .unionByName(lists.join(fits, "category_filter").withColumnRenamed("category", "category_key"))
+        .unionByName(lists.join(named, "category_filter").withColumnRenamed("category", "category_key"))
     )
-    postings = cut(
-        _postings(catalogue, lists, "product_id", "price_brl", "category", "status", "stock_quantity")
-        .withColumn("category_key", F.explode(F.array(F.lit(ANY), F.col("category"))))
-        .join(wanted, ["term", "category_key"])
-        .where(F.col("include_discontinued") | sellable(F.col("status")))
-        .where(~F.col("in_stock_only") | (F.col("stock_quantity") > 0))
-        .select(*LIST, "price_brl", "product_id"),
-        "postings",
+    yes, both = F.array(F.lit(True)), F.array(F.lit(True), F.lit(False))
+    return (
+        keyed.join(tokens.select("term", "token").unionByName(everything.select("term", "token")), "term")
+        .withColumn("sellable", F.explode(F.when(F.col("include_discontinued"), both).otherwise(yes)))
+        .withColumn("in_stock", F.explode(F.when(F.col("in_stock_only"), yes).otherwise(both)))
+        .select(*LIST, *STORED)
     )
 
-    # Counts per price, plus an empty mark at each requested minimum; then cheaper-than counts by
-    # block of prices and within each block.
+
+def _places(index: SearchIndex, starts: DataFrame) -> DataFrame:
+    """``(STORED..., min_price, before, total)``: how many products of each stored list are cheaper than each asked
+    minimum (NULL: none), and how many it has. Prices are added up by block of prices and within each block."""
     block = F.floor(F.col("price_brl") / PRICE_BLOCK)
-    cells = postings.groupBy(*LIST, "price_brl").agg(F.count("*").alias("n"))
+    asked = starts.select(*STORED).distinct()
     marks = starts.where("min_price is not null").select(
-        *LIST, F.col("min_price").alias("price_brl"), F.lit(0).cast("long").alias("n")
+        *STORED, F.col("min_price").alias("price_brl"), F.lit(0).cast("long").alias("n")
     )
-    cells = cells.unionByName(marks).groupBy(*LIST, "price_brl").agg(F.sum("n").alias("n")).withColumn("block", block)
-    by_block = Window.partitionBy(*LIST).orderBy("block")
+    cells = index.prices.join(asked, STORED, "left_semi").select(*STORED, "price_brl", "n").unionByName(marks)
+    cells = cells.groupBy(*STORED, "price_brl").agg(F.sum("n").alias("n")).withColumn("block", block)
+    by_block = Window.partitionBy(*STORED).orderBy("block")
     blocks = (
-        cells.groupBy(*LIST, "block")
+        cells.groupBy(*STORED, "block")
         .agg(F.sum("n").alias("m"))
         .withColumn("block_before", F.sum("m").over(by_block) - F.col("m"))
-        .withColumn("total", F.sum("m").over(Window.partitionBy(*LIST)))
+        .withColumn("total", F.sum("m").over(Window.partitionBy(*STORED)))
         .drop("m")
     )
-    by_price = Window.partitionBy(*LIST, "block").orderBy("price_brl")
-    counted = cut(
+    by_price = Window.partitionBy(*STORED, "block").orderBy("price_brl")
+    counted = (
         cells.withColumn("in_block", F.sum("n").over(by_price) - F.col("n"))
-        .join(blocks, [*LIST, "block"])
-        .select(*LIST, "price_brl", (F.col("block_before") + F.col("in_block")).alias("before"), "total"),
-        "price_counts",
+        .join(blocks, [*STORED, "block"])
+        .select(*STORED, "price_brl", (F.col("block_before") + F.col("in_block")).alias("before"), "total")
     )
-
-    # A fetch starts at a price and takes at most k rows, so only the first k of one price can be reached.
-    # The literal bound lets Spark prune each price before the shuffle.
-    by_id = Window.partitionBy(*LIST, "price_brl").orderBy("product_id")
-    numbered = (
-        postings.withColumn("nth", F.row_number().over(by_id))
-        .where(F.col("nth") <= k)
-        .join(counted.drop("total"), [*LIST, "price_brl"])
-        .select(*LIST, (F.col("before") + F.col("nth")).alias("number"), "product_id", "price_brl")
+    counted = cut(counted, "price_counts")
+    at_min = counted.withColumnRenamed("price_brl", "min_price").join(
+        starts.where("min_price is not null"), [*STORED, "min_price"], "left_semi"
     )
-    return numbered, counted
+    totals = counted.groupBy(*STORED).agg(F.max("total").alias("total"))
+    none = F.lit(None).cast("decimal(12,2)")
+    whole = totals.select(*STORED, none.alias("min_price"), F.lit(0).cast("long").alias("before"), "total")
+    return at_min.select(*whole.columns).unionByName(whole)
 
 
-def search_batch(requests: DataFrame, catalogue: DataFrame, stems: bool = False) -> DataFrame:
+def search_batch(requests: DataFrame, catalogue: DataFrame | SearchIndex, stems: bool = False) -> DataFrame:
     """Per request its ``limit`` cheapest matching products: ``(request_id, rank, product_id)``.
 
     ``requests``: request_id, query, and optionally category, max_price, min_price (on base prices),
     in_stock_only, include_discontinued, limit. A query without words asks for everything.
-    ``catalogue`` needs the columns of ``catalogue.listing``; ``with_products`` adds the payload. The distinct
-    questions, their postings and price counts are written once, as several steps read them.
+    ``catalogue`` is a stored index, or a table with the columns of ``catalogue.listing``, whose index is then written for
+    this call; ``with_products`` adds the payload. The distinct questions and their lists are written once, as several
+    steps read them.
     """
+    index = catalogue if isinstance(catalogue, SearchIndex) else SearchIndex.build(catalogue)
     asked = _with_spec(normalise_requests(requests), stems)
     specs = cut(asked.select("spec", "_q.*").distinct(), "questions")
-    k = largest_page(specs)
     seeks = specs.withColumn("term", F.explode("terms")).drop("terms")
-    starts = seeks.select(*LIST, "min_price").distinct()
-    numbered, counted = _ranked_postings(catalogue, seeks.select(*LIST).distinct(), starts, k)
+    lists = cut(_asked_lists(index, seeks.select(*LIST).distinct()), "lists")
+    starts = seeks.select(*LIST, "min_price").distinct().join(lists, LIST).select(*STORED, "min_price").distinct()
+    places = _places(index, starts).withColumnRenamed("min_price", "_from")
 
-    totals = counted.groupBy(*LIST).agg(F.max("total").alias("total"))
-    at_min = counted.select(*LIST, F.col("price_brl").alias("min_price"), "before")
+    of_list = [F.col(f"s.{c}") == F.col(f"p.{c}") for c in STORED]
     fetches = (
-        seeks.join(totals, LIST)
-        .join(at_min, [*LIST, "min_price"], "left")
-        .withColumn("first", F.coalesce("before", F.lit(0)) + 1)
+        seeks.join(lists, LIST)
+        .alias("s")
+        .join(places.alias("p"), [*of_list, F.col("s.min_price").eqNullSafe(F.col("p._from"))])
+        .select("s.*", "p.before", "p.total")
+        .withColumn("first", F.col("before") + 1)
         .withColumn("last", F.least(F.col("first") + F.col("limit") - 1, F.col("total")))
         .where("first <= last")
         .withColumn("number", F.explode(F.sequence("first", "last")))
-        .select("spec", *LIST, "number", "max_price", "limit")
+        .select("spec", *STORED, "number", "max_price", "limit")
     )
     cheapest = Window.partitionBy("spec").orderBy("price_brl", "product_id")
     answers = (
-        fetches.join(numbered, [*LIST, "number"])
+        fetches.join(index.postings, [*STORED, "number"])
         .where("max_price is null or price_brl <= max_price")
         .withColumn("rank", F.dense_rank().over(cheapest))
         .where(F.col("rank") <= F.col("limit"))
@@ -190,11 +238,6 @@ def search_batch(requests: DataFrame, catalogue: DataFrame, stems: bool = False)
     return asked.select("request_id", "spec").join(answers, "spec").select("request_id", "rank", "product_id")
 
 
-def largest_page(requests: DataFrame) -> int:
-    """The largest page any request asks for: one number, read by the driver so the plan can prune with it."""
-    return max(requests.agg(F.max("limit")).first()[0] or 0, 1)
-
-
 def with_products(hits: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Brief product columns for search hits."""
     brief = catalogue.select("product_id", "name", "category", "price_brl", "promo", "stock_quantity", "status")

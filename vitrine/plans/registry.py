@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from vitrine.plans import views as W
 from vitrine.sources import files, sessions, sinks
 from vitrine.sources.checkpoint import cut, scratch
 from vitrine.sources.schemas import TABLES
-from vitrine.sources.store import parsed_specs
+from vitrine.sources.store import Store, parsed_specs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -53,6 +54,21 @@ def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.store(spark, sf_dir).listing
 
 
+_indexes: dict[tuple[str, str], S.SearchIndex] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> S.SearchIndex:
+    """The search index of the whole catalogue, written by the first search of an application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = S.SearchIndex.build(_listing(spark, sf_dir))
+    return _indexes[key]
+
+
+def _store(spark: SparkSession, sf_dir: str) -> Store:
+    return replace(W.store(spark, sf_dir), index=_index(spark, sf_dir))
+
+
 def _flat_promo(df: DataFrame) -> DataFrame:
     return (
         df.withColumn("promo_name", F.col("promo.name"))
@@ -130,19 +146,19 @@ def search_index_stats(spark, sf_dir):
 
 @query
 def search_batch(spark, sf_dir):
-    hits = S.search_batch(W.search_requests(spark, sf_dir), _listing(spark, sf_dir))
+    hits = S.search_batch(W.search_requests(spark, sf_dir), _index(spark, sf_dir))
     return _flat_promo(S.with_products(hits, _catalogue(spark, sf_dir)))
 
 
 @query
 def search_stem_widened(spark, sf_dir):
-    return S.search_batch(W.search_requests(spark, sf_dir), _listing(spark, sf_dir), stems=True)
+    return S.search_batch(W.search_requests(spark, sf_dir), _index(spark, sf_dir), stems=True)
 
 
 @query
 def search_detail_level(spark, sf_dir):
     requests, catalogue = W.search_requests(spark, sf_dir), _listing(spark, sf_dir)
-    hits = S.detail_level(requests, S.search_batch(requests, catalogue), catalogue)
+    hits = S.detail_level(requests, S.search_batch(requests, _index(spark, sf_dir)), catalogue)
     return hits.select(
         "request_id", "product_id", "rank", "covers", "n_hits", "n_covering", "full", "partial",
         F.when(F.col("full"), F.col("description")).alias("description"),
@@ -153,7 +169,8 @@ def search_detail_level(spark, sf_dir):
 @query
 def search_no_hit_advice(spark, sf_dir):
     requests, catalogue = W.search_requests(spark, sf_dir), _listing(spark, sf_dir)
-    return S.advice(requests, S.detail_level(requests, S.search_batch(requests, catalogue), catalogue))
+    hits = S.search_batch(requests, _index(spark, sf_dir))
+    return S.advice(requests, S.detail_level(requests, hits, catalogue))
 
 
 @query
@@ -169,7 +186,7 @@ def promos_by_keyword(spark, sf_dir):
 
 def _missed(spark, sf_dir):
     requests, catalogue = W.search_requests(spark, sf_dir), _listing(spark, sf_dir)
-    return cut(S.missed(requests, S.search_batch(requests, catalogue))), catalogue
+    return cut(S.missed(requests, S.search_batch(requests, _index(spark, sf_dir)))), catalogue
 
 
 @query
@@ -427,7 +444,7 @@ def route_queries(spark, sf_dir):
 
 @query
 def route_and_answer(spark, sf_dir):
-    return R.answer(W.route_requests(spark, sf_dir), W.store(spark, sf_dir), W.AS_OF, compat=True)
+    return R.answer(W.route_requests(spark, sf_dir), _store(spark, sf_dir), W.AS_OF, compat=True)
 
 
 @query
@@ -452,7 +469,7 @@ def context_load(spark, sf_dir):
 
 @query
 def tool_calls_batch(spark, sf_dir):
-    return R.run_calls(W.tool_calls(spark, sf_dir), W.store(spark, sf_dir), W.AS_OF, compat=True)
+    return R.run_calls(W.tool_calls(spark, sf_dir), _store(spark, sf_dir), W.AS_OF, compat=True)
 
 
 @query

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.operators.catalogue import active_promotions, build_catalogue, listing
+from vitrine.operators.search import SearchIndex
 from vitrine.sources.files import current_folders
 from vitrine.sources.schemas import TABLES
 
@@ -20,6 +21,7 @@ class Store:
     orders: DataFrame
     order_items: DataFrame
     promotions: DataFrame
+    index: SearchIndex | None = None
 
     @classmethod
     def open(cls, spark: SparkSession, base: str) -> Store:
@@ -27,6 +29,14 @@ class Store:
         folders = current_folders(spark, base)
         return cls(**{name: spark.read.parquet(folders[name]) for name in TABLES})
 
+    def indexed(self, path: str | None = None) -> Store:
+        """This store with its search index, which searches then share; ``path`` keeps it for later sessions."""
+        return replace(self, index=SearchIndex.build(self.listing, path))
+
+    @property
+    def searchable(self) -> SearchIndex | DataFrame:
+        return self.index or self.listing
+
     @property
     def listing(self) -> DataFrame:
         return listing(self.products, self.categories)
