@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.sources.schemas import TABLES, Table
+from vitrine.sources.schemas import STATE_TABLES, TABLES, Table
 
 
 def _result(table: str, rule: str, count) -> tuple:
@@ -33,8 +33,9 @@ def _as_rules(counts: DataFrame, table: Table, rules: Iterable[str]) -> DataFram
 
 
 def _duplicates(df: DataFrame, table: Table) -> DataFrame:
-    repeated = df.groupBy(table.key).agg(F.count("*").alias("n")).where("n > 1")
-    return repeated.agg(F.count("*").alias("n")).select(*_result(table.name, f"unique({table.key})", F.col("n")))
+    key = (table.key,) if isinstance(table.key, str) else table.key
+    repeated = df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    return repeated.agg(F.count("*").alias("n")).select(*_result(table.name, f"unique({', '.join(key)})", F.col("n")))
 
 
 def _orphans(child: DataFrame, table: Table, column: str, parent: DataFrame, parent_key: str) -> DataFrame:
@@ -66,7 +67,7 @@ def audit(tables: dict[str, DataFrame], index: DataFrame | None = None) -> DataF
     """
     parts = []
     for name, df in tables.items():
-        table = TABLES[name]
+        table = {**TABLES, **STATE_TABLES}[name]
         if table.required or "cast_errors" in df.columns:
             parts.append(_row_rules(df, table))
         if table.key:

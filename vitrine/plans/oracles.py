@@ -128,6 +128,8 @@ select *, row_number() over (partition by order_id order by quantity, name, pric
 from (select case when l_linenumber = 1 then 0 else l_orderkey end order_id, product_id, name, cast(l_quantity as bigint) quantity,
         cast(price_brl as double) price_brl from lineitem join v_product on product_id = l_partkey)""",
     "v_message": "select 's' || conv_id session_id, turn message_id, role, text as content from conversations",
+    "v_long": """
+select 's' || (conv_id // 8) session_id, conv_id % 8 * 1000 + turn message_id, role, text as content from conversations""",
     "v_search": f"""
 select p_partkey * 2 request_id,
   case p_partkey % 8 when 0 then p_name when 1 then p_brand when 2 then '  ' || upper(p_name) || '!'
@@ -624,16 +626,16 @@ where cast(substr(session_id, 2) as bigint) % 3 > 0 or message_id > 4 group by s
         f"""select session_id, 'model: desk-1' || chr(10) || chr(10) || string_agg('**' ||
    case when role = 'user' then '{V.ROLE_CUSTOMER}' else '{V.ROLE_AGENT}' end || ':** ' || content || chr(10), chr(10)
    order by message_id) transcript
-from (select *, row_number() over (partition by session_id order by message_id desc) b from v_message)
+from (select *, row_number() over (partition by session_id order by message_id desc) b from v_long)
 where b <= {V.HISTORY_LIMIT} group by session_id""",
-        "v_message",
+        "v_long",
     ),
     "prompt_context": _sql(
         f"""select session_id, cast(to_json([{{role: 'system', content: 'Atendimento. Hoje: 02/09/1998.'}}]
    || list({{role: role, content: content}} order by message_id)) as varchar) context
-from (select *, row_number() over (partition by session_id order by message_id desc) b from v_message)
+from (select *, row_number() over (partition by session_id order by message_id desc) b from v_long)
 where b <= {V.HISTORY_LIMIT} group by session_id""",
-        "v_message",
+        "v_long",
     ),
     "fallback_rate": _sql(
         """select session_id, count(*) replies, count(*) filter (trim(content) = '') fallbacks,
@@ -732,6 +734,23 @@ union all select 'order_items', count(*) from lineitem union all select 'promoti
 union all select 'policy_chunks', count(*) from v_chunk""".replace("as table", 'as "table"').replace("as rows", 'as "rows"'),
         "v_category", "v_customer", *CHUNKS,
     ),
+    "dq_state_audit": _sql(
+        """select * from (
+select 'policy_chunks' as "table", 'not_null(section)' as rule, 0::bigint as violations
+union all select 'policy_chunks', 'not_null(text)', 0
+union all select 'policy_chunks', 'unique(doc_id, chunk_no)', count(distinct doc_id) from v_chunk where doc_id % 10 = 0
+union all select 'sessions', 'not_null(created_at)', 0
+union all select 'sessions', 'unique(session_id)', 0
+union all select 'messages', 'not_null(session_id)', 0
+union all select 'messages', 'not_null(role)', count(*) from v_message where role is null
+union all select 'messages', 'not_null(content)', count(*) from v_message where message_id <= 1 or content is null
+union all select 'messages', 'not_null(created_at)', 0
+union all select 'messages', 'unique(session_id, message_id)', count(*) from (
+  select 1 from v_message group by session_id, message_id having count(*) > 1)
+union all select 'messages', 'linked(session_id)', 0
+union all select 'messages', 'references(session_id)', count(*) from v_message where cast(substr(session_id, 2) as bigint) % 4 = 0)""",
+        "v_message", *CHUNKS,
+    ),
     "dq_constraint_audit": _sql(
         """select * from (
 select 'categories' as "table", 'not_null(name)' as rule, 0::bigint as violations

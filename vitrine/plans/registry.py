@@ -399,12 +399,12 @@ def chunk_table(spark, sf_dir):
 
 @query
 def transcript_render(spark, sf_dir):
-    return M.render(W.messages(spark, sf_dir), "desk-1")
+    return M.render(W.long_messages(spark, sf_dir), "desk-1")
 
 
 @query
 def prompt_context(spark, sf_dir):
-    context = M.prompt_context(W.messages(spark, sf_dir), "Atendimento. Hoje: {today}.", W.AS_OF)
+    context = M.prompt_context(W.long_messages(spark, sf_dir), "Atendimento. Hoje: {today}.", W.AS_OF)
     return context.select("session_id", F.to_json("context").alias("context"))
 
 
@@ -569,3 +569,21 @@ def dq_constraint_audit(spark, sf_dir):
     entries = S.build_index(store.listing).where("product_id % 30 > 0")
     ghost = spark.range(1).select(F.lit("fantasma").alias("token"), F.lit(-1).cast("long").alias("product_id"))
     return Q.audit(tables, entries.unionByName(ghost))
+
+
+@query
+def dq_state_audit(spark, sf_dir):
+    """The rules of chunks, sessions and messages, with repeated chunks, empty contents and messages without session."""
+    log = W.messages(spark, sf_dir).withColumn("created_at", F.timestamp_seconds("message_id"))
+    first = F.min(F.struct("message_id", "created_at")).alias("first")
+    known = log.groupBy("session_id").agg(first).select(
+        "session_id", F.col("first.message_id").alias("first_message_id"), "first.created_at"
+    )
+    chunks = D.doc_chunks(W.documents(spark, sf_dir))
+    return Q.audit(
+        {
+            "policy_chunks": chunks.unionByName(chunks.where("doc_id % 10 = 0 and chunk_no = 1")),
+            "sessions": known.where("cast(substring(session_id, 2) as long) % 4 > 0"),
+            "messages": log.withColumn("content", F.when(F.col("message_id") > 1, F.col("content"))),
+        }
+    )

@@ -141,6 +141,13 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def long_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight conversations after each other as one session: longer than the history bound."""
+    return table(spark, sf_dir, "conversations").selectExpr(
+        "concat('s', conv_id div 8) as session_id", "conv_id % 8 * 1000 + turn as message_id", "role", "text as content"
+    )
+
+
 HEADING_NUMBER = "if(i % 15 = 0, cast(i div 15 + 1 as string), concat(i div 15 + 1, '.', (i % 15) div 5))"
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 class Table:
     name: str
     columns: dict[str, str]
-    key: str | None = None
+    key: str | tuple[str, ...] | None = None
     required: tuple[str, ...] = ()
     references: dict[str, tuple[str, str]] = field(default_factory=dict)
     defaults: dict[str, object] = field(default_factory=dict)
@@ -86,5 +86,37 @@ TABLES = {
     )
 }
 
+#: Tables that are not loaded from feeds: the chunk table and the session registry.
+STATE_TABLES = {
+    t.name: t
+    for t in (
+        Table(
+            "policy_chunks",
+            {"doc_id": "long", "chunk_no": "int", "section": "string", "text": "string"},
+            key=("doc_id", "chunk_no"),
+            required=("section", "text"),
+        ),
+        Table(
+            "sessions",
+            {"session_id": "string", "first_message_id": "long", "created_at": "timestamp"},
+            key="session_id",
+            required=("created_at",),
+        ),
+        Table(
+            "messages",
+            {
+                "session_id": "string",
+                "message_id": "long",
+                "role": "string",
+                "content": "string",
+                "created_at": "timestamp",
+            },
+            key=("session_id", "message_id"),
+            required=("session_id", "role", "content", "created_at"),
+            references={"session_id": ("sessions", "session_id")},
+        ),
+    )
+}
+
 # Source columns whose name differs from the table's.
 SOURCE_NAMES = {"specs_raw": "specs"}
