@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -93,12 +94,16 @@ def load_all(
     Each table is written in one pass to a new folder; the counts come from the write itself. The list of current
     folders is extended in one commit when all are written, so a feed that fails leaves every table as it was.
     """
-    version, counts = uuid.uuid4().hex, []
-    for name, path in feeds.items():
+    version = uuid.uuid4().hex
+
+    def load(name: str) -> tuple[str, int]:
         seen = Observation(f"load_{name}")
-        rows = typed(read_csv(spark, path, multi_line), TABLES[name], strict, defaults)
+        rows = typed(read_csv(spark, feeds[name], multi_line), TABLES[name], strict, defaults)
         rows.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{target}/{version}/{name}")
-        counts.append((name, int(seen.get["rows"])))
+        return name, int(seen.get["rows"])
+
+    with ThreadPoolExecutor(max(1, len(feeds))) as pool:  # the writes overlap; one that fails ends the load
+        counts = list(pool.map(load, feeds))
     current = [(name, version, time.time_ns()) for name in feeds]
     spark.createDataFrame(current, CURRENT).coalesce(1).write.mode("append").parquet(f"{target}/current")
     return spark.createDataFrame(counts, "table string, rows long")
