@@ -1,8 +1,8 @@
 """Byte-level BPE by dynamic programming over byte prefixes.
 
 For every prefix of a piece there is exactly one token that its encoding ends with. ``last`` stores it per prefix, so a
-piece that extends a known prefix is encoded by appending the new bytes alone, and an edit re-encodes from the last
-prefix it leaves untouched. A token may follow another if encoding the two together gives the two again.
+piece that extends a known prefix is encoded by appending the new bytes alone; ``bpe_edits`` keeps texts encoded through
+appends and edits. A token may follow another if encoding the two together gives the two again.
 
 NULL and empty texts have no tokens; a piece of any length costs time in proportion to its length.
 """
