@@ -8,7 +8,9 @@ they have the same shingles in the same order, which follows edit similarity rat
 Texts with a sketch in common are candidates. A candidate pair is a link if its edit distance in words, found in a band
 around the diagonal, is at most (1 - SIMILARITY) times the longer text. Linked texts form classes.
 
-Candidates meet in two rounds. First each text of a bucket meets the least one, which joins most of a class by few pairs.
+Candidates meet in rounds. First each text of a bucket meets the least one, which joins most of a class by few pairs. In
+``LEADERS`` further rounds the texts of buckets that still hold several classes meet a leader drawn anew, where they are not
+of its class; so a crowd of near copies whose buckets began with unrelated texts is joined by as many pairs as it has texts.
 Then, in buckets that still hold several classes, all pairs of different classes meet: lengths and counts of hashed words
 rule out, inside a task and without an error, nearly all pairs that are too far apart; only the others are written and
 aligned. So two texts that share a bucket are in one class if they are near, whatever leads their buckets. The tests of
@@ -34,6 +36,8 @@ from vitrine.llm.common import blobs, classes, cut, edit_distance, mix, text_key
 SHINGLE, PICK, SIMILARITY = 5, 2, 0.8
 #: Sketches per text. At 10 % edited words two texts agree in a sketch with some 17 %, in one of 64 with nearly all; at 15 % with 99 %, at 20 % with 92 %.
 SKETCHES = 64
+#: Rounds with leaders drawn anew.
+LEADERS = 2
 #: Texts of a bucket that one task holds of either side, and word counts per text.
 BLOCK, BAG = 1024, 512
 _rng = np.random.default_rng(20)
@@ -135,6 +139,17 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from passed()
 
 
+def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose lengths and word counts allow them to be near, as ``possible`` tests them."""
+    for batch in batches:
+        a, b = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
+        counts = [np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BAG) for c in ("bag_a", "bag_b")]
+        most = ((1 - SIMILARITY) * np.maximum(a, b) + 1e-9).astype(np.int64)
+        apart = np.abs(counts[0].astype(np.int16) - counts[1]).sum(axis=1, dtype=np.int64)
+        at = pa.array(np.flatnonzero((np.abs(a - b) <= most) & (apart <= 2 * most - np.abs(a - b))))
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("a", "b")], names=["a", "b"])
+
+
 def merged(nodes: DataFrame, second: DataFrame) -> DataFrame:
     """(node, root): the classes ``nodes`` joined by further links, which connect roots in place of all members."""
     for end in ("a", "b"):
@@ -211,12 +226,33 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         )
         return cut(near.select("a", "b", "s", "t").mapInArrow(verify, "a binary, b binary, distance bigint"), "links")
 
-    first = verified(pairs)
-    nodes = classes(first)
-    rooted = rows.join(nodes.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rooted = cut(rooted.join(buckets.filter("least <> most"), "bucket").filter("key <> least").select("bucket", "key", "root"), "rooted")
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"))
-    mixed = mixed.filter("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    def mixed_buckets(rooted: DataFrame, *more) -> DataFrame:
+        """Buckets that hold several classes."""
+        ends = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *more)
+        return ends.filter("low <> high").drop("low", "high")
+
+    def with_roots(nodes: DataFrame) -> DataFrame:
+        """(bucket, key, root): members of the buckets that hold several classes, but for the least, which all have met."""
+        named = rows.join(nodes.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        named = named.join(buckets.filter("least <> most"), "bucket").filter("key <> least").select("bucket", "key", "root")
+        return cut(named.join(mixed_buckets(named), "bucket", "left_semi"), "rooted")
+
+    found = verified(pairs)
+    nodes = classes(found)
+    rooted = with_roots(nodes)
+    for turn in range(LEADERS):
+        leader = F.min_by(F.struct(F.col("key").alias("a"), F.col("root").alias("root_a")), F.xxhash64("key", F.lit(turn)))
+        led = rooted.groupBy("bucket").agg(leader.alias("leader")).select("bucket", "leader.*")
+        apart = rooted.join(led, "bucket").filter("root <> root_a")
+        apart = apart.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
+        known = sketched.select("key", "size", "bag")
+        sized = apart.join(known.withColumnsRenamed({"key": "a", "size": "size_a", "bag": "bag_a"}), "a")
+        sized = sized.join(known.withColumnsRenamed({"key": "b", "size": "size_b", "bag": "bag_b"}), "b")
+        near = verified(cut(sized.mapInArrow(allowed, "a binary, b binary"), "pairs"))
+        nodes = cut(merged(nodes, near), "nodes")
+        found = found.union(near)
+        rooted = with_roots(nodes)
+    mixed = mixed_buckets(rooted, F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("own")
     members = rooted.join(mixed, "bucket").select("bucket", "key", "root", "blocks", own)
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
@@ -225,7 +261,7 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     )
     ordered = members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "size")
     second = verified(cut(ordered.mapInArrow(meet, "a binary, b binary").distinct(), "pairs"))
-    return first.union(second), cut(merged(nodes, second), "nodes")
+    return found.union(second), cut(merged(nodes, second), "nodes")
 
 
 def classed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -264,4 +300,4 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     chosen = cut(best.select(F.col(f"best.{key}").alias(key), F.col("best._omh_low").alias("_omh_low")), "chosen")
     rows = keyed.join(chosen, key).filter(F.col(doc_id).eqNullSafe(F.col("_omh_low")))
     # Rows with equal id and text: one of them, told apart by their remaining columns.
-    return rows.dropDuplicates([key]).select(*docs.columns)
+    return rows.dropDuplicates([key]).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
