@@ -343,8 +343,14 @@ def test_tool_calls(spark):
     calls = spark.createDataFrame(calls, "conv_id bigint, call_id string, name string, arguments string, needs array<string>")
     results = spark.createDataFrame([(1, "a", 'say "x"\n'), (1, "a", "z"), (9, "a", "other")], "conv_id bigint, call_id string, content string")
     fields = spark.createDataFrame([("sum", "x", "number", True), ("sum", "y", "number", True)], "name string, field string, type string, required boolean")
-    rows = {(r["conv_id"], r["call_id"]): r for r in collected(toolcalls.linked(calls, results, fields))}
-    assert len(rows) == 8
+    every = collected(toolcalls.linked(calls, results, fields))
+    rows = {(r["conv_id"], r["call_id"]): r for r in every if r["name"]}
+    assert len(rows) == 8 and len(every) == 10
+    apart = [(r["conv_id"], r["call_id"], r["position"], r["has_result"], r["valid"], r["errors"], r["message"]) for r in every if not r["name"]]
+    assert sorted(apart) == [
+        (1, "a", 4, True, False, "further result of a call", '{"arguments":{},"id":"a","name":null,"result":"z"}'),
+        (9, "a", 1, True, False, "result without a call", '{"arguments":{},"id":"a","name":null,"result":"other"}'),
+    ]
     assert rows[3, "j"]["errors"] == "arguments are no JSON object"
     assert [(rows[1, c]["level"], rows[1, c]["position"]) for c in "abc"] == [(0, 1), (1, 2), (2, 3)]
     assert rows[1, "b"]["valid"] and rows[1, "b"]["message"] == '{"arguments":{"x":1,"y":2},"id":"b","name":"sum","result":null}'
@@ -377,8 +383,29 @@ def test_conversations_become_calls(spark):
     common.reach(spark)
     turns = [(1, 0, "user", "q"), (1, 1, "assistant", "r"), (1, 2, "user", None), (2, 0, "assistant", "x"), (None, 1, "user", "x")]
     calls, results, fields = toolcalls.from_turns(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string"))
-    rows = sorted(collected(toolcalls.linked(calls, results, fields)), key=lambda r: r["position"])
+    every = collected(toolcalls.linked(calls, results, fields))
+    rows = sorted((r for r in every if r["conv_id"] == 1), key=lambda r: r["position"])
     assert [(r["call_id"], r["level"], r["has_result"], r["valid"]) for r in rows] == [("call_000000", 0, True, True), ("call_000002", 1, False, True)]
+    rest = sorted((r["conv_id"] or 0, r["call_id"], r["name"], r["errors"], r["has_result"]) for r in every if r["conv_id"] != 1)
+    assert rest == [(0, None, "answer", "", False), (2, None, None, "result without a call", True)]
+
+
+def test_no_message_of_a_turn_is_lost(spark):
+    common.reach(spark)
+    turns = [
+        (1, 0, "user", "q"), (1, 0, "user", "q"), (1, 0, "user", "other q"), (1, 1, "assistant", "b"), (1, 1, "assistant", "a"),
+        (1, 2, "user", "next"), (1, 3, "system", "s"), (1, None, "user", "no turn"), (None, 4, "assistant", "no conversation"),
+        (1, 2, "assistant", "said at once"),
+    ]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    every = collected(toolcalls.linked(*toolcalls.from_turns(df)))
+    spoken = " ".join(r["message"] for r in every)
+    for _, _, role, text in turns:
+        assert role == "system" or f'"{text}"' in spoken
+    assert len(every) == 7 and all(r["message"].count('"q"') <= 1 for r in every)
+    calls = [r for r in every if r["name"]]
+    assert len({r["call_id"] for r in calls}) == len(calls) == 4
+    assert sorted(r["errors"] for r in every if r["errors"]) == ["further result of a call"] * 2 + ["missing turn", "result without a call"]
 
 
 def test_a_conversation_over_many_ranges(spark):
@@ -391,8 +418,8 @@ def test_a_conversation_over_many_ranges(spark):
         placed = common.positions(df, "conv_id", "position", F.col("turn").asc()).collect()
         assert len(placed) == len(turns) and all(r.position == r.turn + 1 for r in placed)
         calls, results, _ = toolcalls.from_turns(df)
-        calls = {(r.conv_id, r.call_id): r.needs for r in calls.collect()}
-        results = {(r.conv_id, r.call_id, r.content) for r in results.collect()}
+        calls = {(r.conv_id, r.call_id): r.needs for r in calls.filter("conv_id is not null").collect()}
+        results = {(r.conv_id, r.call_id, r.content) for r in results.filter("call_id is not null").collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want_calls, want_results = {}, set()

@@ -10,8 +10,9 @@ unknown fields and values of the wrong type are named in ``errors``. Canonical J
 no NULL members. Everything runs in Spark's own functions. Turns and calls are numbered by ranges, so that a
 conversation of any length is spread over tasks.
 
-Repeated identical calls or results count once; of different results of one call the least content is taken. Calls
-without an identifier are kept, link to nothing and come last. Empty tables give empty results.
+Repeated identical calls or results count once. Of different results of one call the least content is linked; each other
+one, and each result without a call, is a row of its own with an error. Calls without an identifier are kept, link to
+nothing and come last. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -127,17 +128,24 @@ def member(pairs: Column, key: Column) -> Column:
 
 
 def linked(calls: DataFrame, results: DataFrame, fields: DataFrame) -> DataFrame:
-    """(conv_id, position, level, call_id, name, has_result, valid, errors, message): one row per call; ``position`` is
-    the call's place in its conversation by level and identifier."""
+    """(conv_id, position, level, call_id, name, has_result, valid, errors, message): one row per call, and one per result
+    that no call takes; ``position`` is the place in the conversation by level and identifier, results last."""
     calls = calls.select("conv_id", "call_id", "name", "arguments", "needs").distinct()
-    outcome = results.filter(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.count("*").alias("n"))
+    given = cut(results.select("conv_id", "call_id", F.coalesce("content", F.lit("")).alias("content")).distinct(), "results")
+    outcome = given.filter(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.count("*").alias("n"))
     df = calls.join(outcome, ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"], "left")
+    ids = calls.select("conv_id", "call_id").filter("call_id is not null").distinct()
+    taken = given.join(ids, ["conv_id", "call_id"], "left_semi").join(
+        outcome.filter("n > 1").select("conv_id", "call_id", F.col("content").alias("least")), ["conv_id", "call_id"]
+    )
+    further = taken.filter("content <> least").select(*given.columns, F.lit("further result of a call").alias("errors"))
+    lost = given.join(ids, ["conv_id", "call_id"], "left_anti").withColumn("errors", F.lit("result without a call"))
     schema = fields.groupBy("name").agg(
         F.array_sort(F.collect_set(F.struct("field", "type", "required"))).alias("schema")
     )
     df = df.join(schema, "name", "left")
     pairs = members(F.col("arguments"))
-    given = F.map_keys(pairs)
+    named = F.map_keys(pairs)
     kinds = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
 
     def check(f: Column) -> Column:
@@ -147,20 +155,23 @@ def linked(calls: DataFrame, results: DataFrame, fields: DataFrame) -> DataFrame
         )
 
     known_fields = F.transform("schema", lambda f: f["field"])
-    unknown = F.transform(F.array_sort(F.array_except(given, known_fields)), lambda k: F.concat(F.lit("unknown "), k))
+    unknown = F.transform(F.array_sort(F.array_except(named, known_fields)), lambda k: F.concat(F.lit("unknown "), k))
     errors = (
         F.when(F.col("schema").isNull(), F.array(F.lit("unknown tool")))
         .when(~is_object(F.col("arguments")), F.array(F.lit("arguments are no JSON object")))
         .otherwise(F.concat(F.filter(F.transform("schema", check), lambda e: e.isNotNull()), unknown))
     )
-    df = df.withColumn("errors", errors).withColumn("args", canonical(F.col("arguments")))
+    df = df.withColumn("errors", errors).withColumn("args", canonical(F.col("arguments"))).withColumn("spare", F.lit(False))
+    apart = further.unionByName(lost).withColumn("errors", F.array("errors")).withColumn("spare", F.lit(True))
+    df = df.unionByName(apart.withColumn("n", F.lit(1).cast("long")), allowMissingColumns=True)
     message = F.concat(
         F.lit('{"arguments":'), F.coalesce("args", quoted(F.col("arguments")), F.lit("{}")),
         F.lit(',"id":'), F.coalesce(quoted(F.col("call_id")), F.lit("null")),
         F.lit(',"name":'), F.coalesce(quoted(F.col("name")), F.lit("null")),
         F.lit(',"result":'), F.coalesce(quoted(F.col("content")), F.lit("null")), F.lit("}"),
     )
-    order = [F.col("level").asc_nulls_last(), F.col("call_id").asc_nulls_last(), F.col("name").asc(), F.col("arguments").asc(), F.col("needs").asc()]
+    order = [F.col("level").asc_nulls_last(), F.col("call_id").asc_nulls_last(), F.col("name").asc(), F.col("arguments").asc(), F.col("needs").asc(), F.col("content").asc()]
+    order.insert(0, F.col("spare").asc())
     return positions(df.withColumn("message", message), "conv_id", "position", *order).select(
         "conv_id",
         "position",
@@ -176,9 +187,16 @@ def linked(calls: DataFrame, results: DataFrame, fields: DataFrame) -> DataFrame
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Calls, results and fields that a plain conversation amounts to: each user turn calls ``answer`` with its text
-    and needs the call before it; the assistant turn that follows is the result."""
+    and needs the call before it; the assistant turn that follows is the result.
+
+    Of different messages of one turn the least stands for it; the others are further calls, told apart by a digest, or
+    further results. Messages without conversation or turn are calls and results without identifier. Other roles than user
+    and assistant neither call nor answer."""
     reach(turns.sparkSession)
-    spoken = turns.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).groupBy("conv_id", "turn").agg(
+    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    keyed = turns.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
+    bare = turns.filter(F.col("conv_id").isNull() | F.col("turn").isNull())
+    spoken = keyed.groupBy("conv_id", "turn").agg(
         F.min(F.struct("role", "text")).alias("m")
     ).select("conv_id", "turn", "m.role", "m.text")
     user = F.when(F.col("role") == "user", F.col("turn"))
@@ -189,16 +207,26 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     here = Window.partitionBy("conv_id", "part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     line = ranged.withColumn("before", F.max(user).over(here)).join(tops, ["conv_id", "part"])
     line = line.withColumn("before", F.coalesce("before", "carried"))
+    line = cut(line.select("conv_id", "turn", "role", "text", "before", F.lit("").alias("mark")), "line")
+    main = line.select("conv_id", "turn", "before", F.struct("role", "text").alias("m"))
+    more = keyed.distinct().join(main, ["conv_id", "turn"]).filter(~F.struct("role", "text").eqNullSafe(F.col("m")))
+    digest = F.md5(F.to_json(F.struct("role", "text")).cast("binary"))
+    more = more.select("conv_id", "turn", "role", "text", "before", F.concat(F.lit("_"), digest).alias("mark"))
+    bare = bare.select(
+        "conv_id", "turn", "role", "text", F.lit(None).cast("long").alias("before"), F.lit(None).cast("string").alias("mark")
+    )
+    line = line.unionByName(more).unionByName(bare)
     name_of = lambda turn: F.concat(F.lit("call_"), F.format_string("%06d", turn))
     calls = line.filter("role = 'user'").select(
         "conv_id",
-        name_of(F.col("turn")).alias("call_id"),
+        F.when(F.col("turn").isNotNull(), F.concat(name_of(F.col("turn")), F.col("mark"))).alias("call_id"),
         F.lit("answer").alias("name"),
         F.to_json(F.struct(F.col("turn").alias("turn"), F.coalesce("text", F.lit("")).alias("text"))).alias("arguments"),
         F.when(F.col("before").isNotNull(), F.array(name_of(F.col("before")))).otherwise(F.array().cast("array<string>")).alias("needs"),
     )
-    results = line.filter("role = 'assistant' and before is not null").select(
-        "conv_id", name_of(F.col("before")).alias("call_id"), F.coalesce("text", F.lit("")).alias("content")
+    of = F.when(F.col("before").isNotNull(), name_of(F.col("before")))
+    results = line.filter("role = 'assistant'").select(
+        "conv_id", of.alias("call_id"), F.coalesce("text", F.lit("")).alias("content")
     )
     fields = turns.sparkSession.createDataFrame(
         [("answer", "text", "string", True), ("answer", "turn", "number", True)], "name string, field string, type string, required boolean"
