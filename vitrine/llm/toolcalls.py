@@ -131,15 +131,17 @@ def linked(calls: DataFrame, results: DataFrame, fields: DataFrame) -> DataFrame
     """(conv_id, position, level, call_id, name, has_result, valid, errors, message): one row per call, and one per result
     that no call takes; ``position`` is the place in the conversation by level and identifier, results last."""
     calls = calls.select("conv_id", "call_id", "name", "arguments", "needs").distinct()
-    given = cut(results.select("conv_id", "call_id", F.coalesce("content", F.lit("")).alias("content")).distinct(), "results")
-    outcome = given.filter(F.col("call_id").isNotNull()).groupBy("conv_id", "call_id").agg(F.min("content").alias("content"), F.count("*").alias("n"))
-    df = calls.join(outcome, ["conv_id", "call_id"], "left").join(levels(calls), ["conv_id", "call_id"], "left")
-    ids = calls.select("conv_id", "call_id").filter("call_id is not null").distinct()
-    taken = given.join(ids, ["conv_id", "call_id"], "left_semi").join(
-        outcome.filter("n > 1").select("conv_id", "call_id", F.col("content").alias("least")), ["conv_id", "call_id"]
-    )
-    further = taken.filter("content <> least").select(*given.columns, F.lit("further result of a call").alias("errors"))
-    lost = given.join(ids, ["conv_id", "call_id"], "left_anti").withColumn("errors", F.lit("result without a call"))
+    key = ["conv_id", "call_id"]
+    given = results.select(*key, F.coalesce("content", F.lit("")).alias("content"))
+    named_results = given.filter("conv_id is not null and call_id is not null")
+    content = (F.min("content").alias("content"), F.max("content").alias("most"), F.count("*").alias("n"))
+    outcome = cut(named_results.groupBy(*key).agg(*content), "outcome")
+    df = calls.withColumn("spare", F.lit(False)).join(outcome.drop("most"), key, "full").join(levels(calls), key, "left")
+    df = df.withColumn("spare", F.coalesce("spare", F.lit(True)))
+    # Few calls have several results: their other contents are looked up.
+    several = outcome.filter("most <> content").select(*key, F.col("content").alias("least"))
+    further = named_results.join(several, key).filter("content <> least").select(*given.columns).distinct()
+    bare = given.filter("conv_id is null or call_id is null").distinct()
     schema = fields.groupBy("name").agg(
         F.array_sort(F.collect_set(F.struct("field", "type", "required"))).alias("schema")
     )
@@ -157,13 +159,17 @@ def linked(calls: DataFrame, results: DataFrame, fields: DataFrame) -> DataFrame
     known_fields = F.transform("schema", lambda f: f["field"])
     unknown = F.transform(F.array_sort(F.array_except(named, known_fields)), lambda k: F.concat(F.lit("unknown "), k))
     errors = (
-        F.when(F.col("schema").isNull(), F.array(F.lit("unknown tool")))
+        F.when(F.col("spare"), F.array(F.lit("result without a call")))
+        .when(F.col("schema").isNull(), F.array(F.lit("unknown tool")))
         .when(~is_object(F.col("arguments")), F.array(F.lit("arguments are no JSON object")))
         .otherwise(F.concat(F.filter(F.transform("schema", check), lambda e: e.isNotNull()), unknown))
     )
-    df = df.withColumn("errors", errors).withColumn("args", canonical(F.col("arguments"))).withColumn("spare", F.lit(False))
-    apart = further.unionByName(lost).withColumn("errors", F.array("errors")).withColumn("spare", F.lit(True))
-    df = df.unionByName(apart.withColumn("n", F.lit(1).cast("long")), allowMissingColumns=True)
+    df = df.withColumn("errors", errors).withColumn("args", canonical(F.col("arguments")))
+    apart = further.withColumn("errors", F.array(F.lit("further result of a call"))).unionByName(
+        bare.withColumn("errors", F.array(F.lit("result without a call")))
+    )
+    apart = apart.withColumn("n", F.lit(1).cast("long")).withColumn("spare", F.lit(True))
+    df = df.unionByName(apart, allowMissingColumns=True)
     message = F.concat(
         F.lit('{"arguments":'), F.coalesce("args", quoted(F.col("arguments")), F.lit("{}")),
         F.lit(',"id":'), F.coalesce(quoted(F.col("call_id")), F.lit("null")),
@@ -196,9 +202,10 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
     keyed = turns.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull())
     bare = turns.filter(F.col("conv_id").isNull() | F.col("turn").isNull())
-    spoken = keyed.groupBy("conv_id", "turn").agg(
-        F.min(F.struct("role", "text")).alias("m")
-    ).select("conv_id", "turn", "m.role", "m.text")
+    message = F.struct("role", "text")
+    spoken = keyed.groupBy("conv_id", "turn").agg(F.min(message).alias("m"), F.max(message).alias("most")).select(
+        "conv_id", "turn", "m.role", "m.text", (~F.col("m").eqNullSafe(F.col("most"))).alias("several")
+    )
     user = F.when(F.col("role") == "user", F.col("turn"))
     ranged = in_ranges(spoken, "conv_id", F.col("turn").asc())
     earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -207,9 +214,10 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     here = Window.partitionBy("conv_id", "part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     line = ranged.withColumn("before", F.max(user).over(here)).join(tops, ["conv_id", "part"])
     line = line.withColumn("before", F.coalesce("before", "carried"))
-    line = cut(line.select("conv_id", "turn", "role", "text", "before", F.lit("").alias("mark")), "line")
-    main = line.select("conv_id", "turn", "before", F.struct("role", "text").alias("m"))
-    more = keyed.distinct().join(main, ["conv_id", "turn"]).filter(~F.struct("role", "text").eqNullSafe(F.col("m")))
+    line = cut(line.select("conv_id", "turn", "role", "text", "before", "several", F.lit("").alias("mark")), "line")
+    main = line.filter("several").select("conv_id", "turn", "before", message.alias("m"))
+    line = line.drop("several")
+    more = keyed.join(main, ["conv_id", "turn"]).filter(~message.eqNullSafe(F.col("m"))).distinct()
     digest = F.md5(F.to_json(F.struct("role", "text")).cast("binary"))
     more = more.select("conv_id", "turn", "role", "text", "before", F.concat(F.lit("_"), digest).alias("mark"))
     bare = bare.select(
