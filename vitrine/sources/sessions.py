@@ -22,7 +22,7 @@ RESETS = "session_id string, until long"
 BUCKETED = ", bucket int"
 RESET = "reset"
 #: Folders of a version by session: a change reads only those of its own sessions.
-BUCKETS = 64
+BUCKETS = 16
 
 
 @dataclass(frozen=True)
@@ -102,10 +102,10 @@ def merge(spark: SparkSession, base: str, changes: DataFrame, batch: str | None
     standing = _after(old.sessions, all_resets, "first_message_id").select("session_id").distinct()
     added["sessions"] = _write(opened.join(standing, "session_id", "left_anti"), to["sessions"])
 
-    before = _live(old)
+    before, ended = _live(old), _last_resets(spark.read.schema(RESETS + BUCKETED).parquet(to["resets"]))
     gone = {
-        "messages": before.messages.count() - _after(before.messages, all_resets, "message_id").count(),
-        "sessions": before.sessions.count() - _after(before.sessions, all_resets, "first_message_id").count(),
+        "messages": before.messages.join(ended, "session_id").where("message_id <= until").count(),
+        "sessions": before.sessions.join(ended, "session_id").where("first_message_id <= until").count(),
     }
     versions.commit(spark, base, version, batch)
     rows = [(name, added[name], gone[name]) for name in added]
