@@ -9,8 +9,8 @@ Texts with a sketch in common are candidates. A candidate pair is a link if its
 around the diagonal, is at most (1 - SIMILARITY) times the longer text. Linked texts form classes.
 
 Candidates meet in rounds. First each text of a bucket meets the least one, which joins most of a class by few pairs. In
-``LEADERS`` further rounds the texts of buckets that still hold several classes meet a leader drawn anew, where they are not
-of its class; so a crowd of near copies whose buckets began with unrelated texts is joined by as many pairs as it has texts.
+``LEADERS`` further rounds each text meets the leaders, drawn anew, of ``LED`` of its buckets that still hold several
+classes; so a crowd of near copies whose buckets began with unrelated texts is joined by pairs in proportion to its texts.
 Then, in buckets that still hold several classes, all pairs of different classes meet: lengths and counts of hashed words
 rule out, inside a task and without an error, nearly all pairs that are too far apart; only the others are written and
 aligned. So two texts that share a bucket are in one class if they are near, whatever leads their buckets. The tests of
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import blobs, classes, cut, edit_distance, mix, text_key, word_chunks, words
@@ -36,8 +36,8 @@ from vitrine.llm.common import blobs, classes, cut, edit_distance, mix, text_key
 SHINGLE, PICK, SIMILARITY = 5, 2, 0.8
 #: Sketches per text. At 10 % edited words two texts agree in a sketch with some 17 %, in one of 64 with nearly all; at 15 % with 99 %, at 20 % with 92 %.
 SKETCHES = 64
-#: Rounds with leaders drawn anew.
-LEADERS = 2
+#: Rounds with leaders drawn anew, and buckets whose leaders a text meets in each.
+LEADERS, LED = 2, 4
 #: Texts of a bucket that one task holds of either side, and word counts per text.
 BLOCK, BAG = 1024, 512
 _rng = np.random.default_rng(20)
@@ -226,24 +226,27 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         )
         return cut(near.select("a", "b", "s", "t").mapInArrow(verify, "a binary, b binary, distance bigint"), "links")
 
-    def mixed_buckets(rooted: DataFrame, *more) -> DataFrame:
-        """Buckets that hold several classes."""
-        ends = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *more)
-        return ends.filter("low <> high").drop("low", "high")
+    def with_roots(members: DataFrame, nodes: DataFrame) -> DataFrame:
+        """(bucket, key, root) of members (bucket, key)."""
+        named = members.join(nodes.withColumnsRenamed({"node": "key"}), "key", "left")
+        return cut(named.select("bucket", "key", F.coalesce("root", "key").alias("root")), "rooted")
 
-    def with_roots(nodes: DataFrame) -> DataFrame:
-        """(bucket, key, root): members of the buckets that hold several classes, but for the least, which all have met."""
-        named = rows.join(nodes.withColumnsRenamed({"node": "key"}), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        named = named.join(buckets.filter("least <> most"), "bucket").filter("key <> least").select("bucket", "key", "root")
-        return cut(named.join(mixed_buckets(named), "bucket", "left_semi"), "rooted")
+    def with_buckets(rooted: DataFrame, *facts) -> DataFrame:
+        """``rooted`` with facts about each bucket, for the buckets that hold several classes."""
+        ends = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *facts)
+        return rooted.join(ends.filter("low <> high").drop("low", "high"), "bucket")
 
     found = verified(pairs)
     nodes = classes(found)
-    rooted = with_roots(nodes)
+    # The least of a bucket has met all others; buckets with one class stay so, as classes only grow.
+    members = rows.join(buckets.filter("least <> most"), "bucket").filter("key <> least").select("bucket", "key")
     for turn in range(LEADERS):
         leader = F.min_by(F.struct(F.col("key").alias("a"), F.col("root").alias("root_a")), F.xxhash64("key", F.lit(turn)))
-        led = rooted.groupBy("bucket").agg(leader.alias("leader")).select("bucket", "leader.*")
-        apart = rooted.join(led, "bucket").filter("root <> root_a")
+        led = cut(with_buckets(with_roots(members, nodes), leader.alias("leader")), "led")
+        members = led.select("bucket", "key")
+        apart = led.select("bucket", "key", "root", "leader.*").filter("root <> root_a")
+        drawn = Window.partitionBy("key").orderBy(F.xxhash64("bucket", F.lit(turn)), "bucket")
+        apart = apart.withColumn("nth", F.row_number().over(drawn)).filter(F.col("nth") <= LED)
         apart = apart.select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b")).distinct()
         known = sketched.select("key", "size", "bag")
         sized = apart.join(known.withColumnsRenamed({"key": "a", "size": "size_a", "bag": "bag_a"}), "a")
@@ -251,10 +254,9 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         near = verified(cut(sized.mapInArrow(allowed, "a binary, b binary"), "pairs"))
         nodes = cut(merged(nodes, near), "nodes")
         found = found.union(near)
-        rooted = with_roots(nodes)
-    mixed = mixed_buckets(rooted, F.count("*").alias("n")).select("bucket", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("own")
-    members = rooted.join(mixed, "bucket").select("bucket", "key", "root", "blocks", own)
+    size = F.ceil(F.count("*") / BLOCK).alias("blocks")
+    members = with_buckets(with_roots(members, nodes), size).select("bucket", "key", "root", "blocks", own)
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     members = members.join(sketched.select("key", "size", "bag", "sketches"), "key").select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "size", "bag", "sketches"
