@@ -7,6 +7,7 @@ from decimal import Decimal
 import pytest
 
 from vitrine.operators import orders as O
+from vitrine.plans.registry import QUERIES
 
 DAY = dt.date(2026, 1, 5)
 
@@ -40,3 +41,13 @@ def test_whole_payloads_hold_every_line(tables):
     assert pages[1] == [(0, 1, [sun, sun, moon])] and pages[3] == [(0, 1, [])]
     assert len(pages[2]) <= 3 and {n for _, n, _ in pages[2]} == {3}
     assert sorted(i["quantity"] for _, _, items in pages[2] for i in items) == list(range(2500))
+
+
+def test_every_failed_session_is_known(spark, tmp_path):
+    users = [(1, "error"), (3, "error"), (6, "error"), (6, "error"), (9, "view")]
+    spark.createDataFrame(users, "user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    talks = [(i, turn, "user", "x") for i in (1, 3, 5, 6, 9) for turn in (1, 0)]
+    kind = "conv_id long, turn long, role string, text string"
+    spark.createDataFrame(talks, kind).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted(map(tuple, QUERIES["sessions_upsert"](spark, str(tmp_path)).collect()))
+    assert got == [("s5", 0), ("s9", 0)]
