@@ -5,8 +5,10 @@ import json
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitrine.operators import orders as O
+from vitrine.operators import search as S
 from vitrine.plans.registry import QUERIES
 
 DAY = dt.date(2026, 1, 5)
@@ -51,3 +53,26 @@ def test_every_failed_session_is_known(spark, tmp_path):
     spark.createDataFrame(talks, kind).write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted(map(tuple, QUERIES["sessions_upsert"](spark, str(tmp_path)).collect()))
     assert got == [("s5", 0), ("s9", 0)]
+
+
+def test_lookup_numbers_repeated_and_nameless_orders(tables, spark):
+    orders = tables[0].unionByName(tables[0].where("order_id = 2").withColumn("notes", F.lit("y"))).unionByName(
+        tables[0].where("order_id = 3").withColumn("order_id", F.lit(None).cast("long")).withColumn("customer_id", F.lit(7).cast("long"))
+    )
+    asked = spark.createDataFrame(
+        [(1, 2, None, None), (2, None, " trk0000001br", None), (3, None, None, 7), (4, None, None, 7), (5, None, None, None)],
+        "request_id long, order_id long, tracking_code string, customer_id long",
+    )
+    got = {}
+    for r in O.lookup(asked, orders).orderBy("seq").collect():
+        got.setdefault(r.request_id, []).append((r.key, r.seq, r.order_id))
+    assert got[1] == [("order_id", 1, 2), ("order_id", 2, 2)] and got[2] == [("tracking_code", 1, 1)]
+    assert got[3] == got[4] == [("customer_id", i, o) for i, o in enumerate((None, 1, 2, 2), 1)]
+
+
+def test_promotion_lists_bring_the_columns_of_their_terms(spark):
+    promos = spark.createDataFrame([(1, "Red Bolt"), (2, "Bolt"), (3, None)], "promotion_id long, product string")
+    terms = spark.createDataFrame([("bolt", 5), ("*", 2), ("rings", 9)], "term string, requests long")
+    got = sorted((r.term, r.requests, r.promotion_id) for r in S.promo_lists(terms, promos).collect())
+    assert got == [("*", 2, 1), ("*", 2, 2), ("*", 2, 3), ("bolt", 5, 1), ("bolt", 5, 2)]
+    assert sorted(r.promotion_id for r in S.promo_lists(terms.where("term = 'bolt'"), promos).collect()) == [1, 2]
