@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.operators import orders as O
+from vitrine.operators import router as R
 from vitrine.operators import search as S
 from vitrine.plans.registry import QUERIES
 
@@ -76,3 +77,15 @@ def test_promotion_lists_bring_the_columns_of_their_terms(spark):
     got = sorted((r.term, r.requests, r.promotion_id) for r in S.promo_lists(terms, promos).collect())
     assert got == [("*", 2, 1), ("*", 2, 2), ("*", 2, 3), ("bolt", 5, 1), ("bolt", 5, 2)]
     assert sorted(r.promotion_id for r in S.promo_lists(terms.where("term = 'bolt'"), promos).collect()) == [1, 2]
+
+
+def test_routing_looks_up_unsure_texts_only(spark, monkeypatch):
+    seen = []
+    found = R.find_customers
+    monkeypatch.setattr(R, "find_customers", lambda ruled, *rest: seen.append(ruled) or found(ruled, *rest))
+    asked = spark.createDataFrame([(1, "#1", "pedidos"), (2, "Ana Lua", "auto"), (3, "a@b", "auto"), (4, "Zezinho", "auto")], "request_id long, query string, entity string")
+    people = spark.createDataFrame([(7, "Ana Luar", "(67) 91234-5678", "a@b")], "customer_id long, name string, phone string, email string")
+    orders = spark.createDataFrame([], "tracking_code string")
+    got = {r.request_id: r.kind for r in R.route(asked, people, orders, compat=True).collect()}
+    assert got == {1: "customer", 2: "customer", 3: "email", 4: "product"}
+    assert sorted(r.request_id for r in seen[0].collect()) == [2, 4]
