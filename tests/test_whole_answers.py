@@ -89,3 +89,16 @@ def test_routing_looks_up_unsure_texts_only(spark, monkeypatch):
     got = {r.request_id: r.kind for r in R.route(asked, people, orders, compat=True).collect()}
     assert got == {1: "customer", 2: "customer", 3: "email", 4: "product"}
     assert sorted(r.request_id for r in seen[0].collect()) == [2, 4]
+
+
+def test_list_places_equal_brute_force_with_repeated_rows(tables, spark):
+    orders = tables[0].unionByName(tables[0].where("order_id = 1"))
+    lists = spark.createDataFrame([(1, "9", 7), (1, "9", 8), (1, "9", 8), (3, "a", 8), (3, "b", 99), (1, "9", None)], "way int, key string, customer_id long")
+    placed, ranked = R._placed_orders(lists, Holder(orders))
+    got = sorted(map(tuple, R._list_refs(placed, ranked, ("way", "key")).collect()))
+    assert got == sorted([(1, "9", 1, 1), (1, "9", 1, 2), (1, "9", 2, 3), (1, "9", 3, 4), (1, "9", 3, 5), (3, "a", 3, 1)])
+
+
+class Holder:
+    def __init__(self, orders):
+        self.orders = orders
