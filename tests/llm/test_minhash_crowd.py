@@ -68,3 +68,20 @@ def test_pairs_far_apart_are_not_allowed():
     columns = {"a": [b"1", b"2"], "b": [b"3", b"4"], "size_a": [10, 10], "size_b": [10, 10], "bag_a": [bag(a), bag(a)], "bag_b": [bag(b), bag(c)]}
     out = list(minhash.allowed(iter([pa.RecordBatch.from_pydict(columns)])))
     assert out[0].column("a").to_pylist() == [b"1"]
+
+
+def test_near_copies_are_joined_by_few_pairs(spark):
+    common.reach(spark)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    source = [rng.choice(words) for _ in range(300)]
+    texts = []
+    for _ in range(120):
+        copy = list(source)
+        for _ in range(15):
+            copy[rng.randrange(len(copy))] = rng.choice(words)
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], SCHEMA)
+    rows = minhash.classed(docs).collect()
+    assert {r.class_id for r in rows} == {0}
+    assert sum(r.links for r in rows) <= 2 * (4 + 1) * len(texts)

@@ -8,12 +8,12 @@ they have the same shingles in the same order, which follows edit similarity rat
 Texts with a sketch in common are candidates. A candidate pair is a link if its edit distance in words, found in a band
 around the diagonal, is at most (1 - SIMILARITY) times the longer text. Linked texts form classes.
 
-Candidates meet in rounds. First each text of a bucket meets the least one, which joins most of a class by few pairs. In
-``LEADERS`` further rounds each text meets the leaders, drawn anew, of ``LED`` of its buckets that still hold several
-classes; so a crowd of near copies whose buckets began with unrelated texts is joined by pairs in proportion to its texts.
-Then, in buckets that still hold several classes, all pairs of different classes meet: lengths and counts of hashed words
-rule out, inside a task and without an error, nearly all pairs that are too far apart; only the others are written and
-aligned. So two texts that share a bucket are in one class if they are near, whatever leads their buckets. The tests of
+Candidates meet in ``LEADERS`` rounds. In each a text meets the leaders, drawn anew, of ``LED`` of its buckets that still
+hold several classes; so a crowd of near copies is joined by at most ``LED`` pairs a text and round, whatever its size and
+whatever leads its buckets. Then, in buckets that still hold several classes, all pairs of different classes meet. In the
+rounds and in the end lengths and counts of hashed words rule out, without an error, nearly all pairs that are too far
+apart; only the others are aligned, and at the end only they are written. So two texts that share a bucket are in one
+class if they are near, whatever leads their buckets. The tests of
 lengths and counts, not the rows written, grow with the square of the texts that share a passage but are no near-duplicates;
 they are dealt out in pairs of blocks of some ``BLOCK`` texts.
 
@@ -37,7 +37,7 @@ SHINGLE, PICK, SIMILARITY = 5, 2, 0.8
 #: Sketches per text. At 10 % edited words two texts agree in a sketch with some 17 %, in one of 64 with nearly all; at 15 % with 99 %, at 20 % with 92 %.
 SKETCHES = 64
 #: Rounds with leaders drawn anew, and buckets whose leaders a text meets in each.
-LEADERS, LED = 2, 4
+LEADERS, LED = 3, 4
 #: Texts of a bucket that one task holds of either side, and word counts per text.
 BLOCK, BAG = 1024, 512
 _rng = np.random.default_rng(20)
@@ -101,7 +101,7 @@ def possible(size: np.ndarray, bags: np.ndarray, root: np.ndarray, own: np.ndarr
 
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b): the pairs of ``possible`` of each bucket and pair of blocks, each pair in the first bucket it shares only;
-    rows come sorted by these and by size. Where one of a pair led an earlier bucket they share, they have met before."""
+    rows come sorted by these and by size."""
     held: list[pa.RecordBatch] = []
     group: tuple | None = None
 
@@ -193,10 +193,8 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     )
     rows = sketched.select("key", F.explode("sketches").alias("bucket"))
     buckets = rows.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"))
-    shared = buckets.filter("least <> most").select("bucket", F.col("least").alias("a"))
-    pairs = cut(
-        rows.join(shared, "bucket").filter("a <> key").select("a", F.col("key").alias("b")).distinct(), "pairs"
-    )
+    members = cut(rows.join(buckets.filter("least <> most"), "bucket").select("bucket", "key"), "members")
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right, keep, far = blobs(batch, "s"), blobs(batch, "t"), [], []
@@ -236,10 +234,8 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         ends = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), *facts)
         return rooted.join(ends.filter("low <> high").drop("low", "high"), "bucket")
 
-    found = verified(pairs)
-    nodes = classes(found)
-    # The least of a bucket has met all others; buckets with one class stay so, as classes only grow.
-    members = rows.join(buckets.filter("least <> most"), "bucket").filter("key <> least").select("bucket", "key")
+    # Buckets with one class stay so, as classes only grow.
+    found, nodes = None, members.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
     for turn in range(LEADERS):
         leader = F.min_by(F.struct(F.col("key").alias("a"), F.col("root").alias("root_a")), F.xxhash64("key", F.lit(turn)))
         led = cut(with_buckets(with_roots(members, nodes), leader.alias("leader")), "led")
@@ -253,7 +249,7 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         sized = sized.join(known.withColumnsRenamed({"key": "b", "size": "size_b", "bag": "bag_b"}), "b")
         near = verified(cut(sized.mapInArrow(allowed, "a binary, b binary"), "pairs"))
         nodes = cut(merged(nodes, near), "nodes")
-        found = found.union(near)
+        found = near if found is None else found.union(near)
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("own")
     size = F.ceil(F.count("*") / BLOCK).alias("blocks")
     members = with_buckets(with_roots(members, nodes), size).select("bucket", "key", "root", "blocks", own)
