@@ -1,14 +1,16 @@
 """Language-model scores from Brown word classes.
 
 A text is its words (runs of anything but ASCII white space, A-Z lowered) and one end token. All counts are over all
-training texts. The ``CLUSTERED`` most frequent words are put into ``CLASSES`` classes by exchange: each word in turn
-moves to the class that raises the mutual information of neighbouring classes most. Other words fall into classes by
-byte length, and the end has a class of its own. The model multiplies the transition between neighbouring classes, add-one
-smoothed, with the emission (c + 1) / (N + V + 1) of the word in its class, where N and V are the class's tokens and
-words in training; the one is for all unseen words of the class.
+training texts. Words begin in classes by byte length, the ``LEADING`` most frequent in ``CLASSES`` further ones; the end
+has a class of its own. Every word moves to the class that raises the mutual information of neighbouring classes most:
+the leading words in turn, in ``SWEEPS`` sweeps; then all other words of the vocabulary at once, each against the classes
+its neighbours had before, as in distributed exchange (a word beside itself is beside its former class). Words that
+training lacks stay in the class of their length. The model multiplies the transition between neighbouring classes,
+add-one smoothed, with the emission (c + 1) / (N + V + 1) of the word in its class, where N and V are the class's tokens
+and words in training; the one is for all unseen words of the class.
 
-Counts of the words that are frequent (at most ``KNOWN`` words) travel to the tasks; each document's other words meet
-their counts in a join, so no task holds the vocabulary.
+Counts and classes of the words that are frequent (at most ``KNOWN`` words) travel to the tasks; each document's other
+words meet theirs in a join, so no task holds the vocabulary.
 
 NULL counts as an empty text: its one token is the end. Rows without an id neither train nor are held out. With no
 training rows every probability is that of unseen words.
@@ -17,23 +19,24 @@ training rows every probability is that of unseen words.
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 from operator import neg
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.common import blobs, cut
 
-KNOWN, CLUSTERED, CLASSES, SWEEPS = 150_000, 512, 32, 4
-#: Classes by byte length of the words that are not clustered: 1 to 15, and longer.
+KNOWN, LEADING, CLASSES, SWEEPS = 150_000, 512, 32, 4
+#: Classes by byte length: 1 to 15, and longer.
 SIZES = 16
-#: Distinct words that a task counts before it passes them on.
-HOLD = 300_000
+#: Distinct words, and words in all, that a task counts before it passes them on.
+HOLD, HELD = 300_000, 1_500_000
 
 
 def tokens(raw: bytes) -> list[bytes]:
@@ -82,7 +85,7 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int]]:
 
 
 def pairs(docs: DataFrame, top: list[bytes], text: str) -> np.ndarray:
-    """Counts of neighbouring symbols in all texts: the clustered words, the length classes, and the rim of a text."""
+    """Counts of neighbouring symbols in all texts: the leading words, the length classes, and the rim of a text."""
     rim = len(top) + SIZES
     shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(top)})
 
@@ -159,36 +162,195 @@ def exchange(between: np.ndarray, n: int) -> np.ndarray:
     return of
 
 
-class Model:
-    """What a task needs to score: counts and classes of frequent words, class sizes and transitions."""
-
-    def __init__(self, known: list[tuple[bytes, int]], between: np.ndarray, by_size: dict[int, tuple[int, int]], ends: int):
-        n = min(CLUSTERED, len(known))
-        of = exchange(between, n)
-        size = int(of.max()) + 1
-        first = size - SIZES - 1
-        self.rim = size - 1
-        joint = np.zeros((size, len(between)))
-        np.add.at(joint, of, between)
-        trans = np.zeros((size, size))
-        np.add.at(trans.T, of, joint.T)
-        self.trans = np.log10((trans + 1) / (trans.sum(axis=1, keepdims=True) + size))
-        self.first = first
+def neighbours(docs: DataFrame, start: dict[bytes, int], first: int, text: str) -> DataFrame:
+    """(token, packed): how often each word that is not in ``start`` stands before and after each class, as 32-bit pairs
+    of code and count. ``first`` is the class of length 1; codes are classes after the word, then classes before it."""
+    rim = first + SIZES
+    shared = docs.sparkSession.sparkContext.broadcast(start)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get, width = shared.value.get, 2 * (rim + 1)
+        ids: defaultdict = defaultdict()
+        ids.default_factory = ids.__len__
+        held, size = [], 0
+
+        def passed() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            data = np.stack([code % width, n], axis=1).astype(np.int32)
+            ends = np.searchsorted(code, np.arange(len(ids) + 1) * width) * 8
+            packed = pa.Array.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+            return pa.RecordBatch.from_arrays([pa.array(list(ids), pa.binary()), packed.cast(pa.binary())], names=["token", "packed"])
+
+        for batch in batches:
+            for raw in blobs(batch, "t"):
+                words = tokens(raw)
+                s = np.full(len(words) + 2, rim, dtype=np.int64)
+                s[1:-1] = list(map(get, words, map(neg, map(len, words))))
+                at = np.flatnonzero(s < 0)
+                s[at] = first - 1 + np.minimum(-s[at], SIZES)
+                row = np.array([ids[words[i]] for i in (at - 1).tolist()], dtype=np.int64) * width
+                held += [row + s[at + 1], row + rim + 1 + s[at - 1]]
+                size += len(at)
+                if len(ids) > HOLD or size > HELD:
+                    yield passed()
+                    ids.clear()
+                    held, size = [], 0
+        yield passed()
+
+    found = docs.select(F.col(text).alias("t")).mapInArrow(run, "token binary, packed binary")
+    return found.groupBy("token").agg(F.collect_list("packed").alias("packed"))
+
+
+def moved(row: np.ndarray, code: np.ndarray, n: np.ndarray, old: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """Class that each word moves to from its class ``old``, given its counts ``n`` by word ``row`` and ``code``, in that
+    order and each once; the last class of ``joint`` takes no words."""
+    size, words = len(joint), len(old)
+    k = size - 1
+    own = np.arange(k)
+    sides = np.zeros((2, words, size))
+    sides[code // size, row, code % size] = n
+    gain = np.zeros((words, k))
+    for side, table in ((0, joint), (1, joint.T)):
+        here = code // size == side
+        r, j, c = row[here], code[here] % size, n[here, None]
+        cell = table[:k, j].T - c * (own == old[r, None])  # without the word itself
+        cell = np.maximum(cell - sides[1 - side][r, :k] * (j == old[r])[:, None], 0)
+        if len(r):
+            starts = np.flatnonzero(np.diff(r, prepend=-1))
+            gain[r[starts]] += np.add.reduceat(weight(cell + c) - weight(cell), starts)
+        total = table.sum(axis=1)[:k] - sides[side].sum(axis=1)[:, None] * (own == old[:, None])
+        gain -= weight(total + sides[side].sum(axis=1)[:, None]) - weight(np.maximum(total, 0))
+    out, into = sides[0][:, :k], sides[1][:, :k]
+    r, c = np.nonzero((out > 0) & (into > 0))  # both meet in the cell of the class with itself
+    x, y = out[r, c], into[r, c]
+    cell = np.maximum(joint[c, c] - (x + y) * (c == old[r]), 0)
+    np.add.at(gain, (r, c), weight(cell + x + y) - weight(cell + x) - weight(cell + y) + weight(cell))
+    best = gain.argmax(axis=1)
+    at = np.arange(words)
+    return np.where(gain[at, best] > gain[at, old] + 1e-9, best, old)
+
+
+def assigned(near: DataFrame, joint: np.ndarray, first: int) -> DataFrame:
+    """(token, c, class) of ``neighbours``."""
+    shared = near.sparkSession.sparkContext.broadcast(joint)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 10_000):
+                part = batch.slice(low, 10_000)
+                packed, owner = part.column("packed").flatten(), pc.list_parent_indices(part.column("packed")).to_numpy()
+                data = np.frombuffer(b"".join(packed.to_pylist()), dtype=np.int32).reshape(-1, 2).astype(np.int64)
+                row = np.repeat(owner, pc.binary_length(packed).to_numpy() // 8)
+                lengths = pc.binary_length(part.column("token")).to_numpy().astype(np.int64)
+                old = first - 1 + np.minimum(lengths, SIZES)
+                code, n = data[:, 0], data[:, 1].astype(np.float64)
+                whole, at = np.unique(row * 2 * len(shared.value) + code, return_inverse=True)
+                n = np.bincount(at, n)
+                row, code = np.divmod(whole, 2 * len(shared.value))
+                c = np.bincount(row, n * (code < len(shared.value)), len(old)).astype(np.int64)
+                of = moved(row, code, n, old, shared.value)
+                yield pa.RecordBatch.from_arrays([part.column("token"), pa.array(c), pa.array(of)], names=["token", "c", "class"])
+
+    return near.mapInArrow(run, "token binary, c bigint, class bigint")
+
+
+class Words:
+    """Counts and classes of frequent words; the class of length 1, and how often a text ends."""
+
+    def __init__(self, known: list[tuple[bytes, int]], of: dict[bytes, int], first: int, ends: int):
         self.index = {w: i for i, (w, _) in enumerate(known)}
-        sizes = np.array([min(len(w), SIZES) for w, _ in known], dtype=np.int64)
-        self.of = np.concatenate([of[:n], first - 1 + sizes[n:]]) if known else np.zeros(0, np.int64)
-        c = np.array([x for _, x in known], dtype=np.float64)
-        total, kinds = np.zeros(size), np.zeros(size)
-        np.add.at(total, of[:n], c[:n])
-        np.add.at(kinds, of[:n], 1)
-        for k, (t, v) in by_size.items():
-            total[first - 1 + k] += t
-            kinds[first - 1 + k] += v
-        np.add.at(total, first - 1 + sizes[:n], -c[:n])
-        np.add.at(kinds, first - 1 + sizes[:n], -1)
-        self.floor = np.log10(total + kinds + 1)  # of an emission's denominator
-        self.logs = np.log10(c + 1)
-        self.ends = ends
+        self.of = np.array([of[w] for w, _ in known], dtype=np.int64)
+        self.logs = np.log10(np.array([c for _, c in known], dtype=np.float64) + 1)
+        self.first, self.ends = first, ends
+
+
+def encoded(docs: DataFrame, training: Column, words: DataFrame, frequent_words: Words, text: str, doc_id: str) -> DataFrame:
+    """doc_id, learn, n_tokens, n_known, logs, of: the sum of log10(c + 1) and the classes of the words of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_words)
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        get = m.index.get
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(5)]
+            for raw in blobs(batch, "t"):
+                here = tokens(raw)
+                ids = np.array(list(map(get, here, repeat(-1))), dtype=np.int64)
+                of = m.of[ids] if len(m.of) else ids.copy()
+                rare = np.flatnonzero(ids < 0)
+                strange: defaultdict = defaultdict()
+                strange.default_factory = strange.__len__
+                of[rare] = [-1 - strange[here[i]] for i in rare.tolist()]
+                columns[0].append(len(here) + 1)
+                columns[1].append(len(here) - len(rare) + (m.ends > 0))
+                columns[2].append(float(m.logs[ids[ids >= 0]].sum()) + math.log10(m.ends + 1))
+                columns[3].append(of.astype(np.int32))
+                columns[4].append(list(strange))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int32()), pa.list_(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("d"), batch.column("learn"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
+                names=["doc_id", "learn", "n_tokens", "n_known", "logs", "of", "tail"],
+            )
+
+    def flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """Values of all lists, where each list begins in them, and how many it has."""
+        values, n = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        return values, np.cumsum(n) - n, n
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in batches:
+            words, begins, lengths = flat(batch.column("of"))
+            tail, places, _ = flat(batch.column("tail"))
+            found, _, found_n = flat(batch.column("found"))
+            of = words.to_numpy().copy()
+            classes = m.first - 1 + np.minimum(pc.binary_length(tail).to_numpy(zero_copy_only=False), SIZES)
+            c = np.zeros(len(tail), dtype=np.int64)
+            k, count_, class_ = (x.to_numpy(zero_copy_only=False) for x in found.flatten())
+            at = np.repeat(places, found_n) + k
+            classes[at], c[at] = class_, count_
+            rare = np.flatnonzero(of < 0)
+            row = np.repeat(np.arange(len(lengths)), lengths)[rare]
+            which = places[row] - 1 - of[rare]
+            of[rare] = classes[which]
+            known = batch.column("n_known").to_numpy() + np.bincount(row[c[which] > 0], minlength=len(lengths))
+            logs = batch.column("logs").to_numpy() + np.bincount(row, np.log10(c[which] + 1), len(lengths))
+            out = pa.ListArray.from_arrays(pa.array(np.append(begins, len(of)).astype(np.int32)), pa.array(of))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in ("doc_id", "learn", "n_tokens")), pa.array(known), pa.array(logs), out],
+                names=["doc_id", "learn", "n_tokens", "n_known", "logs", "of"],
+            )
+
+    facts = f"doc_id {kind}, learn boolean, n_tokens bigint, n_known bigint, logs double, of array<int>"
+    first = cut(
+        docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"), F.coalesce(training, F.lit(False)).alias("learn"))
+        .mapInArrow(common, facts + ", tail array<binary>")
+        .withColumn("row", F.monotonically_increasing_id()),
+        "encoded",
+    )
+    tail = first.select("row", F.posexplode("tail").alias("k", "token")).join(words, "token")
+    found = tail.groupBy("row").agg(F.collect_list(F.struct("k", "c", "class")).alias("found"))
+    return cut(first.join(found, "row", "left").drop("row").mapInArrow(whole, facts), "classes")
+
+
+def transitions(docs: DataFrame, size: int) -> np.ndarray:
+    """Counts of neighbouring classes of ``encoded`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, dtype=np.int64)
+        for batch in batches:
+            for of in batch.column("of"):
+                s = np.full(len(of) + 2, size - 1, dtype=np.int64)
+                s[1:-1] = of.values.to_numpy()
+                total += np.bincount(s[:-1] * size + s[1:], minlength=size * size)
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(total[code])], names=["code", "n"])
+
+    out = np.zeros(size * size, dtype=np.float64)
+    for r in docs.select("of").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).collect():
+        out[r.code] = r.n
+    return out.reshape(size, size)
 
 
 def scores(docs: DataFrame, training: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -200,68 +362,55 @@ def scores(docs: DataFrame, training: Column, text: str = "text", doc_id: str =
     n, v, ends = counts.agg(F.sum("c"), F.count("*"), F.max(F.when(F.col("token").isNull(), F.col("c")))).first()
     n, v, ends = n or 0, v or 0, ends or 0
     known = frequent(counts, KNOWN)
-    size = F.least(F.length("token"), F.lit(SIZES))
-    by_size = {
-        r.k: (r.c, r.v)
-        for r in counts.filter("token is not null").groupBy(size.alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    }
-    between = pairs(learn, [w for w, _ in known[:CLUSTERED]], text)
-    shared = spark.sparkContext.broadcast(Model(known, between, by_size, ends))
-    kind = docs.schema[doc_id].dataType.simpleString()
+    top = [w for w, _ in known[:LEADING]]
+    between = pairs(learn, top, text)
+    of = exchange(between, len(top))
+    size = int(of.max()) + 1
+    first = size - SIZES - 1
+    half = np.zeros((size, len(between)))
+    np.add.at(half, of, between)
+    joint = np.zeros((size, size))
+    np.add.at(joint.T, of, half.T)
+    start = {w: int(k) for w, k in zip(top, of)}
+    words = cut(assigned(neighbours(learn, start, first, text), joint, first), "words")
+    least = known[-1][1] if known else 0
+    classes = {bytes(r.token): r["class"] for r in words.filter(F.col("c") >= least).select("token", "class").collect()} if known else {}
+    frequent_words = Words(known, {**classes, **start}, first, ends)
+    rows = encoded(docs, training, words, frequent_words, text, doc_id)
+    trans = transitions(rows.filter("learn"), size)
+    log_trans = np.log10((trans + 1) / (trans.sum(axis=1, keepdims=True) + size))
+    total, kinds = np.zeros(size), np.zeros(size)
+    np.add.at(total, of[: len(top)], [c for _, c in known[: len(top)]])
+    np.add.at(kinds, of[: len(top)], 1)
+    for r in words.groupBy("class").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        total[r["class"]] += r.c
+        kinds[r["class"]] += r.v
+    shared = spark.sparkContext.broadcast((log_trans, np.log10(total + kinds + 1)))  # and an emission's denominator
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        get = m.index.get
+        log_trans, floor = shared.value
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            for raw in blobs(batch, "t"):
-                words = tokens(raw)
-                ids = np.array(list(map(get, words, repeat(-1))), dtype=np.int64)
-                rare = np.flatnonzero(ids < 0)
-                of = np.full(len(words) + 2, m.rim, dtype=np.int64)
-                of[1:-1] = m.of[ids] if len(m.of) else 0
-                strange = [words[i] for i in rare.tolist()]
-                of[rare + 1] = m.first - 1 + np.minimum(np.array([len(w) for w in strange], dtype=np.int64), SIZES)
-                common = m.logs[ids[ids >= 0]].sum()
-                tail = Counter(strange)
-                columns[0].append(len(words) + 1)
-                columns[1].append(len(words) - len(rare) + (m.ends > 0))
-                columns[2].append(float(common) + math.log10(m.ends + 1))
-                columns[3].append(float(common + m.trans[of[:-1], of[1:]].sum() - m.floor[of[1:-1]].sum()))
-                columns[4].append(list(tail))
-                columns[5].append(list(tail.values()))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            model = []
+            for of in batch.column("of"):
+                s = np.full(len(of) + 2, size - 1, dtype=np.int64)
+                s[1:-1] = of.values.to_numpy()
+                model.append(float(log_trans[s[:-1], s[1:]].sum() - floor[s[1:-1]].sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("d"), *(pa.array(c, k) for c, k in zip(columns, kinds))],
-                names=["doc_id", "n_tokens", "n_known", "base", "model", "tail", "times"],
+                [*(batch.column(c) for c in ("doc_id", "n_tokens", "n_known", "logs")), pa.array(model, pa.float64())],
+                names=["doc_id", "n_tokens", "n_known", "logs", "model"],
             )
 
-    scored = cut(
-        docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t"))
-        .mapInArrow(
-            run,
-            f"doc_id {kind}, n_tokens bigint, n_known bigint, base double, model double, tail array<binary>, times array<bigint>",
-        )
-        .withColumn("row", F.monotonically_increasing_id()),
-        "scored",
-    )
-    tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("row", "x.tail", "x.times")
-    rare = (
-        tail.join(counts.withColumnsRenamed({"token": "tail"}), "tail")
-        .groupBy("row")
-        .agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"), F.sum("times").alias("seen"))
-    )
-    none = F.lit(0.0)
+    kind = docs.schema[doc_id].dataType.simpleString()
     return (
-        scored.drop("tail", "times")
-        .join(rare, "row", "left")
+        rows.drop("learn")
+        .mapInArrow(run, f"doc_id {kind}, n_tokens bigint, n_known bigint, logs double, model double")
         .select(
             "doc_id",
             "n_tokens",
-            (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+            "n_known",
             F.lit(n).cast("long").alias("train_tokens"),
-            (F.col("base") + F.coalesce("logs", none) - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
-            (F.col("model") + F.coalesce("logs", none)).alias("score"),
+            (F.col("logs") - F.col("n_tokens") * math.log10(n + v + 1)).alias("base_score"),
+            (F.col("logs") + F.col("model") - math.log10(ends + 1)).alias("score"),
         )
         .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
     )
