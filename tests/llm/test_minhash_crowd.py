@@ -85,3 +85,28 @@ def test_near_copies_are_joined_by_few_pairs(spark):
     rows = minhash.classed(docs).collect()
     assert {r.class_id for r in rows} == {0}
     assert sum(r.links for r in rows) <= 2 * (4 + 1) * len(texts)
+
+
+def test_rows_of_representatives_travel_once(spark):
+    common.reach(spark)
+    docs = spark.createDataFrame([(i, f"text {i % 7} of some words", "x") for i in range(30)] + [(None, "a b", "y")] * 2, SCHEMA)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = minhash.representatives(docs)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        rows = {(r.doc_id, r.text) for r in kept.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2, plan  # the rows and the choice
+    assert rows == {(i, f"text {i} of some words") for i in range(7)} | {(None, "a b")}
+
+
+def test_only_texts_to_align_travel(spark):
+    keyed = spark.range(20_000).selectExpr("unhex(md5(cast(id as string))) as key", "cast(id as string) as t")
+    involved = keyed.filter("t % 400 = 0").select("key").union(spark.createDataFrame([(b"elsewhere",)], "key binary"))
+    found = minhash.sought(keyed, involved.distinct())
+    assert found.columns == ["key", "t"]
+    got = {int(r.t) for r in found.collect()}
+    assert got >= set(range(0, 20_000, 400)) and len(got) <= 60
+    assert minhash.sought(keyed, involved.limit(0)).count() == 0 and minhash.sought(keyed.limit(0), involved).count() == 0

@@ -40,6 +40,8 @@ SKETCHES = 64
 LEADERS, LED = 3, 4
 #: Texts of a bucket that one task holds of either side, and word counts per text.
 BLOCK, BAG = 1024, 512
+#: Bits of the table of the texts that a round aligns: at most 8 MB, whatever the number of texts.
+BITS = 1 << 26
 _rng = np.random.default_rng(20)
 _turn = _rng.integers(1, 1 << 63, (SKETCHES, 1), dtype=np.uint64) | np.uint64(1)
 _salt = _rng.integers(1, 1 << 63, (SKETCHES, 1), dtype=np.uint64)
@@ -150,6 +152,17 @@ def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("a", "b")], names=["a", "b"])
 
 
+def sought(keyed: DataFrame, involved: DataFrame) -> DataFrame:
+    """Rows of ``keyed`` whose key may be among the keys of ``involved``: all that are, and others that share their bit. Tasks
+    drop the other rows before these travel; a table that fills up drops fewer."""
+    place = F.pmod(F.xxhash64("key"), F.lit(BITS)) + 1
+    block, bit = F.bitmap_bucket_number(place), F.bitmap_bit_position(place)
+    known = involved.groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    found = keyed.withColumn("_block", block).join(F.broadcast(known), "_block")
+    return found.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*keyed.columns)
+
+
 def merged(nodes: DataFrame, second: DataFrame) -> DataFrame:
     """(node, root): the classes ``nodes`` joined by further links, which connect roots in place of all members."""
     for end in ("a", "b"):
@@ -216,9 +229,9 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 
     def verified(pairs: DataFrame) -> DataFrame:
         involved = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-        texts = cut(
-            keyed.join(involved, "key", "left_semi").groupBy("key").agg(F.first("t").alias("t")), "texts"
-        )
+        # Equal texts combine before the shuffle.
+        texts = sought(keyed, involved).groupBy("key").agg(F.first("t").alias("t"))
+        texts = cut(texts.join(involved, "key", "left_semi"), "texts")
         near = pairs.join(texts.withColumnsRenamed({"key": "b"}), "b").join(
             texts.withColumnsRenamed({"key": "a", "t": "s"}), "a"
         )
@@ -296,6 +309,10 @@ def representatives(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         F.min(F.struct(F.col("_omh_low").isNull().alias("none"), "_omh_low", key)).alias("best")
     )
     chosen = cut(best.select(F.col(f"best.{key}").alias(key), F.col("best._omh_low").alias("_omh_low")), "chosen")
-    rows = keyed.join(chosen, key).filter(F.col(doc_id).eqNullSafe(F.col("_omh_low")))
+    # Both steps deal by key and id as one value (NULL ids are equal in it), so that the rows travel once and copies of a
+    # text, which differ in id, do not meet in one task.
+    row = "_omh_row"
+    chosen = chosen.select(F.struct(key, F.col("_omh_low").alias("id")).alias(row))
+    rows = keyed.withColumn(row, F.struct(key, F.col(doc_id).alias("id"))).join(chosen, row)
     # Rows with equal id and text: one of them, told apart by their remaining columns.
-    return rows.dropDuplicates([key]).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
+    return rows.dropDuplicates([row]).select(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns])
