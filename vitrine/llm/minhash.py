@@ -40,8 +40,8 @@ SKETCHES = 64
 LEADERS, LED = 3, 4
 #: Texts of a bucket that one task holds of either side, and word counts per text.
 BLOCK, BAG = 1024, 512
-#: Bits of the table of the texts that a round aligns: at most 8 MB, whatever the number of texts.
-BITS = 1 << 26
+#: Bits of the table of the texts that a round aligns: at most 2 MB, whatever the number of texts.
+BITS = 1 << 24
 _rng = np.random.default_rng(20)
 _turn = _rng.integers(1, 1 << 63, (SKETCHES, 1), dtype=np.uint64) | np.uint64(1)
 _salt = _rng.integers(1, 1 << 63, (SKETCHES, 1), dtype=np.uint64)
