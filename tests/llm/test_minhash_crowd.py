@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from vitrine.llm import common, minhash
 
 SCHEMA = "doc_id bigint, text string, `odd.name` string"
@@ -110,3 +112,68 @@ def test_only_texts_to_align_travel(spark):
     got = {int(r.t) for r in found.collect()}
     assert got >= set(range(0, 20_000, 400)) and len(got) <= 60
     assert minhash.sought(keyed, involved.limit(0)).count() == 0 and minhash.sought(keyed.limit(0), involved).count() == 0
+
+
+def near_and_far_pairs():
+    rng, out = random.Random(3), []
+    for _ in range(300):
+        size = rng.choice([1, 2, 9, 40, 63, 64, 65, 150, 160, 161, 300])
+        few = rng.random() < 0.4
+        a = [rng.randrange(7) * 987654321987 if few else rng.randrange(1 << 63) for _ in range(size)]
+        b = list(a)
+        for _ in range(int(rng.random() * 0.4 * size) + rng.randrange(2)):
+            word = rng.choice(a) if rng.random() < 0.5 else rng.randrange(1 << 63)
+            at, kind = rng.randrange(len(b)), rng.random()
+            if kind < 0.4 or len(b) == 1:
+                b[at] = word
+            elif kind < 0.7:
+                del b[at]
+            else:
+                b.insert(at, word)
+        out.append((np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64)))
+    return out + [(np.zeros(0, dtype=np.uint64), out[0][0])]
+
+
+def test_pairs_tested_side_by_side_are_those_of_single_alignments():
+    pairs = near_and_far_pairs()
+    most = [int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    exact = [common.edit_distance(a.tolist(), b.tolist(), k) for (a, b), k in zip(pairs, most)]
+    far = minhash.far_apart(pairs)
+    assert not any(x and d <= k for x, d, k in zip(far.tolist(), exact, most))
+    assert far.sum() >= 0.95 * sum(d > k for d, k in zip(exact, most)) > 50
+    at = [i for i, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= most[i]]
+    least = minhash.lower_bounds([pairs[i] for i in at], np.array([most[i] for i in at]))
+    assert all(x <= exact[i] if exact[i] <= most[i] else True for x, i in zip(least.tolist(), at))
+    # Words alike in their last bits only: the bound is less, never more.
+    assert minhash.lower_bounds([(np.array([1 << 20, 5], dtype=np.uint64), np.array([1 << 21, 5], dtype=np.uint64))], np.array([1]))[0] == 0
+
+
+def test_classes_of_chains_read_by_many_tasks(spark):
+    common.reach(spark)
+    rng = random.Random(8)
+    chains = [[f"{c:02d}-{i:03d}" for i in rng.sample(range(60), 60)] for c in range(2)]
+    edges = [(c[i], c[i + 1]) for c in chains for i in range(59)] + [("alone", "alone"), (chains[0][3], chains[0][9])]
+    rng.shuffle(edges)
+    for size, parts in (("128m", 1), ("1k", 12)):  # one task, and some that need the rounds
+        before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        try:
+            got = common.classes(spark.createDataFrame(edges, "a string, b string").repartition(parts)).collect()
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
+        assert {(r.node, r.root) for r in got} == {(n, min(c)) for c in chains for n in c} | {("alone", "alone")}
+        assert len(got) == 121
+    assert common.classes(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_rounds_end_when_they_join_next_to_nothing(spark, monkeypatch):
+    common.reach(spark)
+    made = []
+    monkeypatch.setattr(minhash, "cut", lambda df, name: made.append(name) or common.cut(df, name))
+    shared = " ".join(f"shared{k}" for k in range(90))
+    texts = [f"{shared} {' '.join(f'own{i}x{k}' for k in range(90))}" for i in range(12)]
+    rows = minhash.classed(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.class_id for r in rows} == {i: i for i in range(12)}
+    assert made.count("led") == 2 < minhash.LEADERS and made.count("pairs") <= made.count("led")

@@ -10,7 +10,8 @@ around the diagonal, is at most (1 - SIMILARITY) times the longer text. Linked t
 
 Candidates meet in ``LEADERS`` rounds. In each a text meets the leaders, drawn anew, of ``LED`` of its buckets that still
 hold several classes; so a crowd of near copies is joined by at most ``LED`` pairs a text and round, whatever its size and
-whatever leads its buckets. Then, in buckets that still hold several classes, all pairs of different classes meet. In the
+whatever leads its buckets. Rounds end early when one leaves nearly all rows in such buckets. Then, in buckets that still
+hold several classes, all pairs of different classes meet. In the
 rounds and in the end lengths and counts of hashed words rule out, without an error, nearly all pairs that are too far
 apart; only the others are aligned, and at the end only they are written. So two texts that share a bucket are in one
 class if they are near, whatever leads their buckets. The tests of
@@ -25,6 +26,7 @@ are kept apart; a class is named by its least id, NULL if no row of the class ha
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +40,14 @@ SHINGLE, PICK, SIMILARITY = 5, 2, 0.8
 SKETCHES = 64
 #: Rounds with leaders drawn anew, and buckets whose leaders a text meets in each.
 LEADERS, LED = 3, 4
+#: A round that leaves this share of the rows or more in buckets of several classes is the last.
+STALLED = 0.99
 #: Texts of a bucket that one task holds of either side, and word counts per text.
 BLOCK, BAG = 1024, 512
 #: Bits of the table of the texts that a round aligns: at most 2 MB, whatever the number of texts.
 BITS = 1 << 24
+#: Pairs that ``far_apart`` tests side by side, at least and at most, and the widest band it takes.
+SIDE, WIDEST = (48, 512), 1024
 _rng = np.random.default_rng(20)
 _turn = _rng.integers(1, 1 << 63, (SKETCHES, 1), dtype=np.uint64) | np.uint64(1)
 _salt = _rng.integers(1, 1 << 63, (SKETCHES, 1), dtype=np.uint64)
@@ -152,6 +158,78 @@ def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("a", "b")], names=["a", "b"])
 
 
+def lower_bounds(pairs: list[tuple[np.ndarray, np.ndarray]], most: np.ndarray) -> np.ndarray:
+    """What the edit distance of each pair is at least, or above its ``most`` if that is: ``edit_distance`` of the last 15 bits of
+    the word hashes, in bands of 64-bit words, one line a pair. Words that agree in these bits can only make it less."""
+
+    def short(h: np.ndarray) -> np.ndarray:
+        return (h.astype(np.uint16) & np.uint16(0x7FFF)) + np.uint16(1)  # 0 stands beside the text
+
+    count, width = len(pairs), 2 * most + 1
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    limbs = int(width.max()) // 64 + 1
+    span = limbs * 64
+    # Column j compares its word with the rows from j - most on, which stand from place j on.
+    rows = np.zeros((count, int(m.max()) + span + 1), dtype=np.uint16)
+    columns = np.zeros((int(m.max()) + 1, count, 1), dtype=np.uint16)
+    for i, (a, b) in enumerate(pairs):
+        take = min(len(a), rows.shape[1] - int(most[i]) - 1)
+        rows[i, most[i] + 1 : most[i] + 1 + take] = short(a[:take])
+        columns[1 : len(b) + 1, i, 0] = short(b)
+
+    def ones(size: np.ndarray) -> np.ndarray:
+        return np.packbits(np.arange(span) < size[:, None], axis=1, bitorder="little").view(np.uint64)
+
+    full = ones(width)
+    plus, minus = full & ~ones(most), np.zeros_like(full)
+    score, out = most.astype(np.int64), np.zeros(count, dtype=np.int64)
+    at, bit = (width - 1) // 64, ((width - 1) % 64).astype(np.uint64)
+    lines, one, all_ones = np.arange(count), np.uint64(1), np.uint64((1 << 64) - 1)
+    ends: dict[int, list[int]] = {}
+    for i, j in enumerate(m.tolist()):
+        ends.setdefault(j, []).append(i)
+    for j in range(1, int(m.max()) + 1):
+        eq = np.packbits(rows[:, j : j + span] == columns[j], axis=1, bitorder="little").view(np.uint64) & full
+        x = eq & plus
+        total = x + plus
+        over = total < x
+        carry = over[:, 0]
+        for k in range(1, limbs):
+            carried = over[:, k] | (carry & (total[:, k] == all_ones))
+            total[:, k] += carry
+            carry = carried
+        d0 = ((total ^ plus) | eq | minus) & full
+        hp = minus | (full & ~(d0 | plus))
+        hn = d0 & plus
+        score += 1 - (d0[lines, at] >> bit & one).astype(np.int64)
+        down = d0 >> one
+        down[:, :-1] |= d0[:, 1:] << np.uint64(63)
+        plus = hn | (full & ~(down | hp))
+        minus = down & hp
+        for i in ends.get(j, ()):
+            # From the lowest cell of the band up to the last row.
+            low = int(n[i] - m[i] + most[i])
+            above = (1 << max(0, 2 * int(most[i]) - low)) - 1
+            up, back = (int.from_bytes(v[i].tobytes(), "little") >> low & above for v in (plus, minus))
+            out[i] = score[i] - up.bit_count() + back.bit_count()
+    return out
+
+
+def far_apart(pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Which pairs of word hashes are surely too far apart to be near; many of like size are tested side by side."""
+    n, m = (np.array([len(p[k]) for p in pairs], dtype=np.int64) for k in (0, 1))
+    longer = np.maximum(n, m)
+    most = ((1 - SIMILARITY) * longer + 1e-9).astype(np.int64)
+    out = np.abs(n - m) > most
+    order = np.argsort(longer, kind="stable")
+    order = order[~out[order] & (np.minimum(n, m)[order] > 0) & (2 * most[order] < WIDEST)]
+    for first in range(0, len(order), SIDE[1]):
+        group = order[first : first + SIDE[1]]
+        if len(group) >= SIDE[0]:
+            out[group] = lower_bounds([pairs[i] for i in group.tolist()], most[group]) > most[group]
+    return out
+
+
 def sought(keyed: DataFrame, involved: DataFrame) -> DataFrame:
     """Rows of ``keyed`` whose key may be among the keys of ``involved``: all that are, and others that share their bit. Tasks
     drop the other rows before these travel; a table that fills up drops fewer."""
@@ -208,26 +286,32 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     buckets = rows.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"))
     members = cut(rows.join(buckets.filter("least <> most"), "bucket").select("bucket", "key"), "members")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def verify(batches: Iterator[pa.RecordBatch], sifted: bool = False) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right, keep, far = blobs(batch, "s"), blobs(batch, "t"), [], []
-            known: dict[bytes, list[int]] = {}
-            for i, (s, t) in enumerate(zip(left, right)):
-                if s not in known:
-                    known = {s: words(s)[0].tolist()}
-                a, b = known[s], words(t)[0].tolist()
-                most = int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
-                distance = edit_distance(a, b, most)
-                if distance <= most:
-                    keep.append(i)
-                    far.append(distance)
+            for first in range(0, len(left), SIDE[1]):
+                known: dict[bytes, np.ndarray] = {}
+                pairs = []
+                for s, t in zip(left[first : first + SIDE[1]], right[first : first + SIDE[1]]):
+                    for text in (s, t):
+                        if text not in known:
+                            known[text] = words(text)[0]
+                    pairs.append((known[s], known[t]))
+                out = far_apart(pairs) if sifted else np.zeros(len(pairs), dtype=bool)
+                for i in np.flatnonzero(~out).tolist():
+                    a, b = (h.tolist() for h in pairs[i])
+                    most = int((1 - SIMILARITY) * max(len(a), len(b)) + 1e-9)
+                    distance = edit_distance(a, b, most)
+                    if distance <= most:
+                        keep.append(first + i)
+                        far.append(distance)
             take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").take(take), batch.column("b").take(take), pa.array(far, pa.int64())],
                 names=["a", "b", "distance"],
             )
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, sifted: bool = False) -> DataFrame:
         involved = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
         # Equal texts combine before the shuffle.
         texts = sought(keyed, involved).groupBy("key").agg(F.first("t").alias("t"))
@@ -235,7 +319,8 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         near = pairs.join(texts.withColumnsRenamed({"key": "b"}), "b").join(
             texts.withColumnsRenamed({"key": "a", "t": "s"}), "a"
         )
-        return cut(near.select("a", "b", "s", "t").mapInArrow(verify, "a binary, b binary, distance bigint"), "links")
+        near = near.select("a", "b", "s", "t").mapInArrow(partial(verify, sifted=sifted), "a binary, b binary, distance bigint")
+        return cut(near, "links")
 
     def with_roots(members: DataFrame, nodes: DataFrame) -> DataFrame:
         """(bucket, key, root) of members (bucket, key)."""
@@ -249,10 +334,15 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
 
     # Buckets with one class stay so, as classes only grow.
     found, nodes = None, members.select(F.col("key").alias("node"), F.col("key").alias("root")).limit(0)
+    before = None
     for turn in range(LEADERS):
         leader = F.min_by(F.struct(F.col("key").alias("a"), F.col("root").alias("root_a")), F.xxhash64("key", F.lit(turn)))
         led = cut(with_buckets(with_roots(members, nodes), leader.alias("leader")), "led")
-        members = led.select("bucket", "key")
+        members, mixed = led.select("bucket", "key"), led.count()
+        if before is not None and mixed >= STALLED * before:
+            rooted = led.select("bucket", "key", "root")
+            break
+        before = mixed
         apart = led.select("bucket", "key", "root", "leader.*").filter("root <> root_a")
         drawn = Window.partitionBy("key").orderBy(F.xxhash64("bucket", F.lit(turn)), "bucket")
         apart = apart.withColumn("nth", F.row_number().over(drawn)).filter(F.col("nth") <= LED)
@@ -263,15 +353,17 @@ def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
         near = verified(cut(sized.mapInArrow(allowed, "a binary, b binary"), "pairs"))
         nodes = cut(merged(nodes, near), "nodes")
         found = near if found is None else found.union(near)
+    else:
+        rooted = with_roots(members, nodes)
     own = F.pmod(F.xxhash64("key"), F.col("blocks")).alias("own")
     size = F.ceil(F.count("*") / BLOCK).alias("blocks")
-    members = with_buckets(with_roots(members, nodes), size).select("bucket", "key", "root", "blocks", own)
+    members = with_buckets(rooted, size).select("bucket", "key", "root", "blocks", own)
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     members = members.join(sketched.select("key", "size", "bag", "sketches"), "key").select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "root", "size", "bag", "sketches"
     )
     ordered = members.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "size")
-    second = verified(cut(ordered.mapInArrow(meet, "a binary, b binary").distinct(), "pairs"))
+    second = verified(cut(ordered.mapInArrow(meet, "a binary, b binary").distinct(), "pairs"), sifted=True)
     return found.union(second), cut(merged(nodes, second), "nodes")
 
 
