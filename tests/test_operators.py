@@ -463,6 +463,22 @@ def test_answers(spark, store):
     assert numbers[15] == [(1, 9)]
 
 
+def test_whole_answers_write_the_promotions_out(spark, store):
+    asked = spark.createDataFrame(
+        [(1, "prazela lira", "promocoes"), (2, "", "promocoes"), (3, "solvanta vento prazela", "produtos"), (4, "xyzw", "promocoes")],
+        "request_id long, query string, entity string",
+    )
+    got = {}
+    for r in R.answer(asked, store, "2026-01-01", compat=True, whole=True).where("part = 'promocoes'").collect():
+        got.setdefault(r.request_id, []).append((r.seq, json.loads(r.payload)))
+    lira = {"product": "Prazela Lira NY", "promo_name": "Semana", "original_price_brl": 388.5, "discount_percent": 20.0, "promo_price_brl": 310.8}
+    assert got[1] == [(1, lira)] and set(got) == {1, 2, 3}
+    assert [(seq, p["product"], p["promo_name"]) for seq, p in sorted(got[2], key=lambda x: x[0])] == [
+        (1, "Prazela Lira NY", "Semana"), (2, "Solvanto LM45 Bruma", "b"), (3, "Solvanto LM45 Bruma", "a"), (4, "Belkaro Vento", "nada"),
+    ]
+    assert sorted(seq for seq, _ in got[3]) == [1, 4]
+
+
 def test_tool_calls_never_fail(spark, store):
     calls = spark.createDataFrame(
         [

@@ -79,6 +79,16 @@ def test_promotion_lists_bring_the_columns_of_their_terms(spark):
     assert sorted(r.promotion_id for r in S.promo_lists(terms.where("term = 'bolt'"), promos).collect()) == [1, 2]
 
 
+def test_written_promotions_are_the_union_of_the_lists(spark):
+    promos = [(1, "Red Bolt"), (2, "Bolt"), (2, "Bolt"), (3, None), (4, "Rédbolts nut"), (5, "Ring")]
+    rows = spark.createDataFrame(promos, "promotion_id long, product string")
+    asked = [(1, "bolt REDB red_"), (1, "bolt REDB red_"), (2, "rings"), (3, "a b"), (4, None), (5, "ring nut bolt"), (None, "ring")]
+    got = sorted(map(tuple, S.written_promotions(spark.createDataFrame(asked, "request_id long, query string"), rows).select("request_id", "promotion_id").collect()), key=repr)
+    every, bolts = [1, 2, 2, 3, 4, 5], [1, 2, 2, 4]
+    held = {1: bolts * 2, 3: every, 4: every, 5: [*bolts, 5], None: [5]}
+    assert got == sorted([(k, p) for k, ps in held.items() for p in ps], key=repr)
+
+
 def test_routing_looks_up_unsure_texts_only(spark, monkeypatch):
     seen = []
     found = R.find_customers
