@@ -89,6 +89,37 @@ def test_written_promotions_are_the_union_of_the_lists(spark):
     assert got == sorted([(k, p) for k, ps in held.items() for p in ps], key=repr)
 
 
+def test_sides_that_grow_with_the_requests_are_not_broadcast(tables, spark):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    asked = spark.createDataFrame([(1, "sol"), (2, "zz")], "request_id long, query string")
+    hits = spark.createDataFrame([(1, 1, 2)], "request_id long, rank long, product_id long")
+    missed = S.missed(asked, hits)
+    assert [r.request_id for r in missed.collect()] == [2] and "BroadcastHashJoin" not in plan(missed)
+    orders = spark.createDataFrame([(1, 2, None, None)], "request_id long, order_id long, tracking_code string, customer_id long")
+    found = O.lookup(orders, tables[0])
+    assert [r.order_id for r in found.collect()] == [2]
+    payloads = R._payloads(found, Shop(*tables), "2026-01-31")
+    assert [json.loads(r.payload)["items"] for r in payloads.collect()] == [{"list": 2, "count": 2500}]
+    ruled = R._with_rule(asked)
+    settled = R._settle(ruled, asked.select("request_id"), tables[0], compat=False)
+    assert settled.count() == 2 and "BroadcastHashJoin" not in plan(settled)
+
+
+class Shop:
+    def __init__(self, *tables):
+        self.orders, self.customers, self.order_items, self.products = tables
+
+
+def test_list_sizes_count_every_promotion_once(spark):
+    promos = [(1, "Red Bolt"), (2, "Bolt"), (2, "Bolt"), (3, None), (4, "Ring")]
+    rows = spark.createDataFrame(promos, "promotion_id long, product string")
+    asked = spark.createDataFrame([(1, "bolt nuts"), (2, "a"), (3, "bolt")], "request_id long, query string")
+    got = sorted((r.request_id, json.loads(r.payload)["list"], json.loads(r.payload)["count"]) for r in R.answer_promotions(asked, rows).collect())
+    assert got == [(1, "bolt", 3), (2, "*", 5), (3, "bolt", 3)]
+
+
 def test_routing_looks_up_unsure_texts_only(spark, monkeypatch):
     seen = []
     found = R.find_customers
